@@ -1,8 +1,9 @@
 """The registered queries of the llm operators, over whole tables, and their SQL where SQL expresses them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditloom.llm import exact_dedup, mixing, simhash
+from auditloom.llm import exact_dedup, mixing, quality, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -13,10 +14,32 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"), width=3)
 
 
+def _judged(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+    return scored.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    return _judged(quality.score_quality(docs, model), 5, 0)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+#: Rules of the url filter's query: `host/path` and what it says.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels speak of ids; a page takes the label of its own id, and is bad if that says low quality or toxic."""
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, labels, URL_RULES)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.group_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -32,7 +55,9 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_mix_sources": op7_mix_sources,
+        "op9_url_filter": op9_url_filter,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
