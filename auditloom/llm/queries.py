@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import exact_dedup, mixing, quality, simhash, url_filter
+from auditloom.llm import exact_dedup, mixing, quality, simhash, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,12 @@ def _judged(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    return _judged(toxicity.score_toxicity(docs, model), 4, 2)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -54,6 +60,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_mix_sources": op7_mix_sources,
