@@ -58,8 +58,8 @@ def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def mine_terms(sample: DataFrame, most: int, least_texts: int) -> list[tuple[str, float]]:
-    """The `most` terms whose share of toxic texts differs most from the sample's, by |z|, with their log odds.
-    Only terms of at least least_texts texts; ties go by the term."""
+    """The `most` terms whose log odds of a toxic text are surest to differ from the sample's (by the near end of
+    their 90 % interval), with those log odds. Only terms of at least least_texts texts; ties go by the term."""
     counted = sample.select("text", "y").mapInPandas(_mine, "term string, toxic bigint, other bigint")
     counted = counted.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).where(F.col("t") + F.col("o") >= least_texts)
     n = sample.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
@@ -68,7 +68,7 @@ def mine_terms(sample: DataFrame, most: int, least_texts: int) -> list[tuple[str
     t, o = float(n.t), float(n.n - n.t)
     odds = F.log((F.col("t") + 0.5) / (t - F.col("t") + 0.5)) - F.log((F.col("o") + 0.5) / (o - F.col("o") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (t - F.col("t") + 0.5) + 1 / (F.col("o") + 0.5) + 1 / (o - F.col("o") + 0.5))
-    ranked = counted.select("term", odds.alias("odds"), F.abs(odds / error).alias("z")).orderBy(F.desc("z"), "term").limit(most)
+    ranked = counted.select("term", odds.alias("odds"), (F.abs(odds) - 1.64 * error).alias("sure")).orderBy(F.desc("sure"), "term").limit(most)
     return [(r.term, r.odds) for r in ranked.collect()]  # `most` rows
 
 
@@ -131,19 +131,43 @@ class LabelModel:
         return cov / np.outer(scale, scale)
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets: accelerated gradient descent with a small ridge."""
-    n, d = x.shape
-    x = x.astype(np.float32)
-    w, b, w0, b0 = np.zeros(d, np.float32), 0.0, np.zeros(d, np.float32), 0.0
-    rate = 4.0 / max(float((x.sum(1) + 1).mean()) * 2, 4.0)
-    for k in range(steps):
-        look, lb = w + k / (k + 3) * (w - w0), b + k / (k + 3) * (b - b0)
-        error = 1 / (1 + np.exp(-np.clip(x @ look + lb, -30, 30))) - target
-        w0, b0 = w, b
-        w = look - rate * ((x.T @ error.astype(np.float32)) / n + ridge * look)
-        b = lb - rate * float(error.mean())
-    return w, float(b)
+def diverse(votes: np.ndarray, most: int, limit: float = 0.6) -> list[int]:
+    """Columns in their order, without those that correlate by over limit with an earlier one that was taken, so
+    that the words of one often-copied text don't crowd out the others; at most `most`."""
+    v = votes.T.astype(np.float32)
+    v -= v.mean(1, keepdims=True)
+    v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+    chosen, taken = np.zeros((most, v.shape[1]), np.float32), []
+    for j, voter in enumerate(v):
+        if len(taken) == most:
+            break
+        if not taken or np.abs(chosen[: len(taken)] @ voter).max() <= limit:
+            chosen[len(taken)] = voter
+            taken.append(j)
+    return taken
+
+
+def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-5, rounds: int = 10, inner: int = 40) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets with a small ridge: Newton steps, each solved by conjugate gradients."""
+    n = len(x)
+    x = np.hstack([x, np.ones((n, 1))]).astype(np.float32)
+    w = np.zeros(x.shape[1], np.float32)
+    for _ in range(rounds):
+        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = ((s * (1 - s) + 1e-6) / n).astype(np.float32)
+        left = x.T @ ((s - target) / n).astype(np.float32) + ridge * w
+        step, toward, size = np.zeros_like(w), left.copy(), float(left @ left)
+        for _ in range(inner):
+            if size < 1e-12:
+                break
+            bent = x.T @ (curve * (x @ toward)) + ridge * toward
+            rate = size / float(toward @ bent)
+            step += rate * toward
+            left -= rate * bent
+            size, before = float(left @ left), size
+            toward = left + size / before * toward
+        w -= step
+    return w[:-1], float(w[-1])
 
 
 class Model:
@@ -168,17 +192,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(self.weights[t] for t in hits)), -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, bound: int = 8000, voters: int = 200, terms: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, bound: int = 8000, voters: int = 200, features: int = 800, terms: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Voters are the terms with the strongest association with the labels in a sample of at most bound labelled
-    rows: lexicon entries (words) and patterns (beginnings of words). The label model turns their votes into
-    posterior labels, and a linear classifier over all mined terms is trained on those. bound x terms bits
-    come to the driver. Without labels of both kinds the model knows no term and scores 0.5 everywhere."""
+    rows: lexicon entries (words) and patterns (beginnings of words), those aside that nearly repeat another.
+    The label model turns the votes of the first `voters` into posterior labels, and a linear classifier over
+    the first `features` terms is trained on those. bound x terms bits come to the driver. Without labels of both kinds the model knows no term and scores 0.5 everywhere."""
     sample = stash(labelled_sample(docs, labels, label_col, modulus, held_out, bound, id_col, text_col).select("text", "y"), "sample")
     mined = mine_terms(sample, terms, 5)
     if not mined:
         return Model({}, 0.0)
     names = [t for t, _ in mined]
     votes, given = vote_matrix(sample, names)
+    apart = diverse(votes, features)
+    names, votes = [names[j] for j in apart], votes[:, apart]
     posterior = LabelModel().fit(votes[:, :voters], given)
     weights, bias = fit_linear(votes, posterior)
     return Model({t: float(w) for t, w in zip(names, weights, strict=True) if w}, bias)
