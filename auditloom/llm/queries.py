@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import exact_dedup, mixing, quality, simhash, toxicity, url_filter
+from auditloom.llm import exact_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 #: Rules of the url filter's query: `host/path` and what it says.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -64,6 +69,7 @@ def queries() -> dict:
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_mix_sources": op7_mix_sources,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_exact_dedup": op10_exact_dedup,
     }
