@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import exact_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from auditloom.llm import embedding_dedup, exact_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_toxicity(docs, model), 4, 2)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -67,6 +71,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_mix_sources": op7_mix_sources,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
