@@ -3,7 +3,6 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,27 +50,37 @@ def bucket_keys(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarr
     return np.stack(keys, axis=1)
 
 
+def _lists(column: pa.Array, kind: type) -> np.ndarray:
+    """A list column whose lists are of one length, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that neither huge nor tiny numbers over- or underflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _hash_rows(tables: int, hashes: int, probes: int):
     """For each vector one row per bucket that it enters, with all of its buckets, for later comparison."""
-    schema = pa.schema([("node", pa.int64()), ("label", pa.string()), ("vector", pa.list_(pa.float64())), ("keys", pa.list_(pa.int64())), ("tab", pa.int32()), ("bucket", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("label", pa.string()), ("d", pa.int32()), ("keys", pa.list_(pa.int64())), ("tab", pa.int32()), ("bucket", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.array([len(v) for v in batch.column(2)])
+            dims = batch.column(2).value_lengths().to_numpy()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 part = batch.take(pa.array(at))
-                x = np.array(part.column(2).to_pylist(), np.float64).reshape(len(at), d)
-                unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-                keys = np.stack([bucket_keys(unit, t, hashes, probes) for t in range(tables)], axis=1)
+                x = unit(_lists(part.column(2), np.float64))
+                keys = np.stack([bucket_keys(x, t, hashes, probes) for t in range(tables)], axis=1)
                 n, t, p = keys.shape
-                rows = np.repeat(np.arange(n), t * p)
+                take = pa.array(np.repeat(np.arange(n), t * p))
                 whole = pa.array(list(keys.reshape(n, t * p)), pa.list_(pa.int64()))
-                vectors = pa.array(list(unit), pa.list_(pa.float64()))
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), vectors.take(take), whole.take(take), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(keys.reshape(-1))], schema=schema)
+                dim = pa.array(np.full(len(take), d, np.int32))
+                tab = pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), dim, whole.take(take), tab, pa.array(keys.reshape(-1))], schema=schema)
 
-    return run, "node bigint, label string, vector array<double>, keys array<bigint>, tab int, bucket bigint"
+    return run, "node bigint, label string, d int, keys array<bigint>, tab int, bucket bigint"
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,45 +95,100 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return table, least[np.arange(len(a)), table]
 
 
+class _Links:
+    """Counts and a forest of the links of one run of groups."""
+
+    def __init__(self, node: np.ndarray, copies: np.ndarray):
+        self.node, self.copies = node, copies
+        self.counts, self.root, self.edges = np.zeros(len(node), np.int64), list(range(len(node))), []
+
+    def _top(self, k: int) -> int:
+        root = self.root
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        np.add.at(self.counts, p, self.copies[q])
+        np.add.at(self.counts, q, self.copies[p])
+        for m, n in zip(p.tolist(), q.tolist(), strict=True):
+            m, n = self._top(m), self._top(n)
+            if m != n:
+                self.root[max(m, n)] = min(m, n)
+                self.edges.append((self.node[m], self.node[n]))
+
+    def batch(self) -> pa.RecordBatch:
+        hit = np.flatnonzero(self.counts)
+        ends = np.array(self.edges, np.int64).reshape(-1, 2)
+        own = self.node[hit]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, ends[:, 0]])), pa.array(np.concatenate([own, ends[:, 1]])), pa.array(np.concatenate([self.counts[hit], np.zeros(len(ends), np.int64)]))], ["a", "b", "n"])
+
+
+def _candidates(starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within each group [start, end): one member of its first block, one of its second (of
+    the same block: each pair once). At most some 100,000 at a time."""
+    left, right, size = [], [], 0
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+        rows, cols = np.flatnonzero(one[lo:hi]) + lo, np.flatnonzero(two[lo:hi]) + lo
+        same = len(rows) == len(cols) and (rows == cols).all()
+        for k, row in enumerate(rows.tolist()):
+            partners = cols[k + 1 :] if same else cols
+            left.append(np.full(len(partners), row))
+            right.append(partners)
+            size += len(partners)
+            if size > 100_000:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, size = [], [], 0
+    if size:
+        yield np.concatenate(left), np.concatenate(right)
+
+
 def _compare(tables: int, threshold: float):
-    """Verifies a bucket, or a pair of blocks of one, by exact cosines: per vector the copies that it links to,
-    and a forest over the links, from which their components follow."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, tab, bucket, d, i, j = key
-        x = np.array(pdf["vector"].tolist(), np.float64).reshape(len(pdf), d)
-        keys = np.array(pdf["keys"].tolist(), np.int64).reshape(len(pdf), tables, -1)
-        node, copies, block = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        counts, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        edges = []
-        for lo in range(0, len(one), 256):
-            rows = one[lo : lo + 256]
-            a, b = np.nonzero(x[rows] @ x[two].T >= threshold)
-            a, b = rows[a], two[b]
-            mine = node[a] < node[b] if i == j else node[a] != node[b]
-            a, b = a[mine], b[mine]
-            for at in range(0, len(a), 1 << 14):
-                p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-                first, where = _first_meeting(keys[p], keys[q])
-                mine = (first == tab) & (where == bucket)
-                p, q = p[mine], q[mine]
-                np.add.at(counts, p, copies[q])
-                np.add.at(counts, q, copies[p])
-                for m, n in zip(p.tolist(), q.tolist(), strict=True):
-                    m, n = top(m), top(n)
-                    if m != n:
-                        root[max(m, n)] = min(m, n)
-                        edges.append((node[m], node[n]))
-        hit = counts > 0
-        return pd.concat([pd.DataFrame({"a": node[hit], "b": node[hit], "n": counts[hit]}), pd.DataFrame(edges, columns=["a", "b"]).assign(n=0)]).astype("int64")
+    """Rows arrive sorted by bucket and pair of blocks; each such group, of two blocks at most, is verified by exact
+    cosines. Results: per vector the copies that it links to, and a forest over the links, from which
+    their components follow. A group that a batch cuts is carried over to the next."""
+
+    def groups(table: pa.Table) -> np.ndarray:
+        """Where a new group starts."""
+        changed = np.zeros(len(table), bool)
+        changed[:1] = True
+        for name in ("label", "tab", "bucket", "d", "i", "j"):
+            v = table.column(name).to_numpy()
+            changed[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(changed)
+
+    def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        dims = table.column("d").to_numpy()
+        for d in np.unique(dims):
+            part = table.take(pa.array(np.flatnonzero(dims == d))).combine_chunks()
+            get = {n: part.column(n).to_numpy() for n in ("node", "copies", "block", "i", "j", "tab", "bucket")}
+            x = unit(_lists(part.column("vector").combine_chunks(), np.float64))
+            keys = _lists(part.column("keys").combine_chunks(), np.int64).reshape(len(part), tables, -1)
+            starts = groups(part)
+            links = _Links(get["node"], get["copies"])
+            for p, q in _candidates(starts, np.append(starts[1:], len(part)), get["block"] == get["i"], get["block"] == get["j"]):
+                close = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+                p, q = p[close], q[close]
+                apart = get["node"][p] != get["node"][q]
+                p, q = p[apart], q[apart]
+                if len(p):
+                    first, where = _first_meeting(keys[p], keys[q])
+                    mine = (first == get["tab"][p]) & (where == get["bucket"][p])
+                    links.add(p[mine], q[mine])
+            yield links.batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            last = int(groups(table)[-1]) if len(table) else 0
+            if last:
+                yield from verify(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None and len(held):
+            yield from verify(held)
 
     return run, "a bigint, b bigint, n bigint"
 
@@ -158,15 +222,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 8, h
     nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     run, schema = _hash_rows(tables, hashes, probes)
     hashed = stash(nodes.select("node", "label", "vector").mapInArrow(run, schema), "hashed")
-    size = F.size("vector").alias("d")
     bucket = ["label", "tab", "bucket", "d"]
-    met = hashed.select("label", "tab", "bucket", size).groupBy(*bucket).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("met")).where("met > 1").drop("met")
-    inside = hashed.withColumn("d", F.size("vector")).join(met, bucket).join(nodes.select("node", "copies"), "node")
+    met = hashed.groupBy(*bucket).agg(F.count("*").alias("met")).where("met > 1").select(*bucket, F.ceil(F.col("met") / block).cast("int").alias("blocks"))
+    inside = hashed.join(met, bucket).join(nodes.select("node", "copies", "vector"), "node")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    group = [*bucket, "i", "j"]
     dealt = inside.withColumn("pair", F.explode(pairs)).select(*bucket, "pair.i", "pair.j", "node", "vector", "keys", "copies", "block")
-    compare, schema = _compare(tables, threshold)
-    links = stash(dealt.groupBy(*bucket, "i", "j").applyInPandas(compare, schema), "links")
+    run, schema = _compare(tables, threshold)
+    links = stash(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema), "links")
     counts = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     comps = connected_components(links.where("a <> b").select("a", "b"))
     placed = nodes.select("_name", "node", "copies", "least").join(comps, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
