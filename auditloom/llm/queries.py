@@ -3,13 +3,45 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import embedding_dedup, exact_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from auditloom.llm import embedding_dedup, exact_dedup, mixing, pii, quality, sentencepiece_nbest, simhash, suffix_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The vocabulary file of the SentencePiece queries, and how many segmentations they ask for.
+PIECES, N_BEST = "/opt/tokenizers/piece_bpe_32k.model", 3
+
+
+def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best segmentation as a digest of its ids, how far the others fall behind, and whether
+    each of them decodes to the text."""
+    model = sentencepiece_nbest.read_model(PIECES)
+    decode = sentencepiece_nbest.decoder(spark, model)
+    encoded = sentencepiece_nbest.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model, N_BEST)
+    best = F.col("nbest")[0]
+    return encoded.select(
+        "doc_id",
+        F.size(best["ids"]).cast("bigint").alias("n_pieces"),
+        best["score"].alias("score"),
+        F.size("nbest").cast("bigint").alias("n_segmentations"),
+        (best["score"] - F.element_at("nbest", -1)["score"]).alias("margin"),
+        F.sha2(F.array_join(best["ids"], " "), 256).alias("ids_sha256"),
+        (decode(best["ids"]) == F.col("text")).alias("round_trip"),
+    )
+
+
+#: The key of the pseudonym query; a user brings an own, secret one.
+PSEUDONYM_KEY = "for this query only"
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = pii.pseudonymise(docs, pii.key_from(PSEUDONYM_KEY))
+    return changed.select("doc_id", F.coalesce(F.size("pii_spans"), F.lit(0)).cast("bigint").alias("n_found"), F.col("pii_spans").alias("spans"), "text")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"), width=3)
 
@@ -70,6 +102,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
+        "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_quality_classifier": op6_quality_classifier,

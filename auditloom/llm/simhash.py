@@ -81,7 +81,7 @@ def _linked(tagged: DataFrame, hot_bucket: int) -> DataFrame:
     return fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hot_bucket: int = 512) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot_bucket: int = 512) -> DataFrame:
     """One row per row of docs: its id, fingerprint (16 hex digits) and component_id, the smallest id that
     links reach. Texts without words, and null texts, share the fingerprint zero and link like any other.
     A component whose ids are all null has a null component_id; null ids are passed over else. Repeated rows
@@ -95,7 +95,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return tagged.join(final, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hot_bucket: int = 512) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot_bucket: int = 512) -> DataFrame:
     """docs with one row of each component: the one with the smallest id (nulls last; of equal ids the first
     read). Columns are those of docs, whatever their names."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
