@@ -188,8 +188,8 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("date", r"(?<![\w.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?![\w\-/]|\.\d)", _date),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
+    ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<mark>[ -])\d{4}(?P=mark)\d{4}(?P=mark)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])", _card),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3} ?\d{7,12}(?!\w)", _phone),
-    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
 )
 NUMBERS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS if kind not in ("email", "key", "secret")), re.ASCII)
 WORDS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS if kind in ("email", "key", "secret")), re.ASCII)
@@ -209,16 +209,27 @@ class Pseudonymiser:
             self.known[kind, value] = MAKERS[kind](self.feistel, value)
         return self.known[kind, value]
 
+    def _found(self, pattern: re.Pattern, text: str) -> list[tuple[int, int, str, str]]:
+        """Validated matches with their pseudonyms; after one that fails, the search goes on right behind its start."""
+        found, at = [], 0
+        while m := pattern.search(text, at):
+            kind = next(k for k in MAKERS if k in m.re.groupindex and m.group(k) is not None)
+            new = self._value(kind, m.group())
+            at = m.start() + 1 if new is None else m.end()
+            if new is not None:
+                found.append((m.start(), m.end(), kind, new))
+        return found
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in the new text, in characters."""
         matches = []
         if HINT.search(text):
-            matches += [(m.start(), m.end(), m.lastgroup, m.group()) for m in WORDS.finditer(text)]
+            matches += self._found(WORDS, text)
         if DIGIT_RUN.search(text):
-            matches += [(m.start(), m.end(), m.lastgroup, m.group()) for m in NUMBERS.finditer(text)]
+            matches += self._found(NUMBERS, text)
         out, spans, at, length = [], [], 0, 0
-        for start, end, kind, value in sorted(matches, key=lambda m: (m[0], -m[1])):
-            if start < at or (new := self._value(kind, value)) is None:
+        for start, end, kind, new in sorted(matches, key=lambda m: (m[0], -m[1])):
+            if start < at:
                 continue
             out += [text[at:start], new]
             length += start - at
