@@ -56,153 +56,133 @@ def anchors(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _blocks(length: int) -> list[tuple[int, int]]:
-    """(start, end) of the blocks of a string: an eighth of it, then as much again, a quarter, and a half."""
-    cuts = [0, length // 8, length // 4, length // 2, length]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
+def _hashes(around: bytes, mid: int, lo: int, length: int, node: int) -> tuple[int, int | None] | None:
+    """For the node starts mid - lo - node + 1 ... mid - lo: a hash of the core that the strings of length at these
+    starts share, and one of the span that they cover together (null where that leaves the text); null if none of
+    the strings lies in the text."""
+    far, near = mid - lo - node + 1, mid - lo
+    if near < 0 or far + length > len(around):
+        return None
+    core = xxhash.xxh3_64_intdigest(around[near : far + length])
+    span = xxhash.xxh3_64_intdigest(around[far : near + length], seed=1) if far >= 0 and near + length <= len(around) else None
+    return _signed(core), None if span is None else _signed(span)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _core(text: bytes, a: int, length: int, node: int) -> int | None:
-    """A hash of what all strings of length that start up to node - 1 bytes before a share."""
-    end = a + length - node + 1
-    return _signed(xxhash.xxh3_64_intdigest(text[a:end])) if end <= len(text) else None
-
-
 def _tell(length: int):
-    """Per anchor: the hash of its core, at the first node size."""
+    """Per anchor: the hashes of the first node."""
+    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("core", pa.int64()), ("span", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = batch.column(0).to_pylist(), batch.column(1)
-            out: dict[str, list] = {"row": [], "at": [], "core": []}
-            for row, value in zip(rows, texts, strict=True):
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_buffer().to_pybytes()
                 for a in anchors(text).tolist():
-                    if (core := _core(text, a, length, NODES[0])) is not None:
-                        out["row"].append(row)
-                        out["at"].append(a)
-                        out["core"].append(core)
-                if len(out["row"]) > 200_000:
-                    yield pa.RecordBatch.from_pydict(out, pa.schema([("row", pa.int64()), ("at", pa.int32()), ("core", pa.int64())]))
-                    out = {"row": [], "at": [], "core": []}
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("row", pa.int64()), ("at", pa.int32()), ("core", pa.int64())]))
-
-    return run
-
+                    if got := _hashes(text, a, 0, length, NODES[0]):
+                        for name, v in zip(schema.names, (row, a, *got), strict=True):
+                            out[name].append(v)
+                if len(out["row"]) > 100_000:
+                    yield pa.RecordBatch.from_pydict(out, schema)
+                    out = {f.name: [] for f in schema}
+            yield pa.RecordBatch.from_pydict(out, schema)
 
-CONTEXT = T.StructType([T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType())])
+    return run, "row bigint, at int, core bigint, span bigint"
 
 
 def _contexts(length: int):
     """The bytes around each listed anchor that its strings can reach: WINDOW - 1 before it, length after it."""
+    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("mid", pa.int32()), ("around", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
             for row, value, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = value.as_buffer().to_pybytes()
                 for a in listed:
-                    out["row"].append(row)
-                    out["at"].append(a)
-                    out["left"].append(text[max(0, a - WINDOW + 1) : a])
-                    out["right"].append(text[a : a + length])
+                    lo = max(0, a - WINDOW + 1)
+                    for name, v in zip(schema.names, (row, a, a - lo, text[lo : a + length]), strict=True):
+                        out[name].append(v)
                 if len(out["row"]) > 20_000:
                     yield pa.RecordBatch.from_pydict(out, schema)
                     out = {f.name: [] for f in schema}
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    return run
+    return run, "row bigint, at int, mid int, around binary"
 
 
-def _spans(length: int, node: int, first: bool):
-    """Rows of one node size: for a group of node starts, the hash of the core that all their strings share, and
-    of the blocks of the span that all of them cover (null where the span would leave the text)."""
-    names = ["row", "at", "lo", "start", "core", *(f"b{k}" for k in range(4))]
-    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("start", pa.int32()), ("core", pa.int64()), *((f"b{k}", pa.int64()) for k in range(4))])
-    span = length + node - 1
+def _nodes(length: int, node: int):
+    """Rows (row, at, mid, around, los): each lo begins a node of the size before, whose parts get their hashes."""
+    size = NODES[NODES.index(node) - 1]
+    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("core", pa.int64()), ("span", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            get = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for row, at, left, right, *parent in zip(*get, strict=True):
-                around, mid = left + right, len(left)
-                los = [0] if first else range(parent[0], parent[0] + NODES[NODES.index(node) - 1], node)
-                for lo in los:
-                    # starts are mid - lo - node + 1 ... mid - lo
-                    near, far = mid - lo, mid - lo - node + 1
-                    core_end = far + length
-                    if near < 0 or core_end > len(around):
-                        continue
-                    core = _signed(xxhash.xxh3_64_intdigest(around[max(near, 0) : core_end])) if node > 1 else 0
-                    blocks: list = [None] * 4
-                    if far >= 0 and far + span <= len(around):
-                        blocks = [_signed(xxhash.xxh3_64_intdigest(around[far + i : far + j])) for i, j in _blocks(span)]
-                    for name, v in zip(names, (row, at, lo, at - lo - node + 1, core, *blocks), strict=True):
-                        out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema)
-
-    return run, "row bigint, at int, lo int, start int, core bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
-
-
-def _classes(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The values of keys that rows have at two different places (row, at). Counting is done before the shuffle
-    as far as it goes, so a string that is everywhere doesn't pile up in one task."""
-    met = rows.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min(at).alias("a0"), F.max(at).alias("a1"))
-    return met.where("r0 <> r1 or a0 <> a1").select(*keys)
-
+            for begin in range(0, batch.num_rows, 2000):
+                part = batch.slice(begin, 2000)
+                out: dict[str, list] = {f.name: [] for f in schema}
+                for row, at, mid, around, los in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                    for lo in (k for first in los for k in range(first, first + size, node)):
+                        if got := _hashes(around, mid, lo, length, node):
+                            for name, v in zip(schema.names, (row, at, lo, *got), strict=True):
+                                out[name].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema)
 
-def _rerank(rows: DataFrame, block: str, label: str) -> DataFrame:
-    """The sorted pairs (rank, block) that occur in two places get new ranks; rows whose pair is unique go."""
-    keys = ["rank", block]
-    named = stash(_classes(rows, keys, "start").sort(*keys).withColumn("new", F.monotonically_increasing_id()), label)
-    return rows.join(named, keys).drop(*keys).withColumnRenamed("new", "rank")
+    return run, "row bigint, at int, lo int, core bigint, span bigint"
 
 
-def _double(spans: DataFrame) -> DataFrame:
-    """Prefix doubling on rows (row, at, lo, start, core, b0...b3): those still alike to another row after all
-    rounds, with their rank. A round's rank stands for as many bytes as the block that it is paired with."""
-    ranked = spans.where("b3 is not null").withColumn("rank", F.lit(0).cast("bigint"))
-    for block in ("b0", "b1", "b2", "b3"):
-        ranked = _rerank(ranked, block, "ranks")
-    return ranked
+def _rank(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """The pairs of a shorter string's rank and the longer string's hash that occur in two places, in their order,
+    with a place of each. Counting is done before the shuffle as far as it goes, so a string that is
+    everywhere doesn't pile up in one task."""
+    placed = rows.withColumn("place", F.xxhash64("row", F.col("at") - F.col("lo")))
+    met = placed.groupBy(*keys).agg(F.min("place").alias("p0"), F.max("place").alias("p1"), *(F.first(c).alias(c) for c in ("row", "at", "lo")))
+    return stash(met.where("p0 <> p1").select(*keys, "row", "at", "lo").sort(*keys), label)
 
 
 def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     """(row, first, last): ranges of positions at which a string of length bytes starts that also starts elsewhere;
     texts has (row, text). All such positions are covered; ranges may overlap.
 
-    Starts are judged in groups that lie side by side before an anchor, at first WINDOW of them. If the span
-    over a whole group repeats, all of its starts do; if the core that its strings share doesn't, none does;
-    else the group is split. With an undecided group, one group of each different repeated span over the same
-    core is split too, so that no start lacks its partner.
+    Starts are judged in nodes that lie side by side before an anchor, at first WINDOW of them. If the span of a
+    node, which covers all of its strings, repeats, all of its starts do; if the core that its strings share
+    doesn't, none does; else the node is split. With an undecided node, one node of each different repeated span
+    over the same core is split too, so that no start lacks its partner. From level to level the compared strings
+    grow from length - WINDOW + 1 to length; a row takes part in the next only while it isn't unique.
     """
-    if not (WINDOW + GRAM <= length - WINDOW):
+    if WINDOW + GRAM > length - WINDOW:
         raise ValueError(f"length must be at least {2 * WINDOW + GRAM}")
-    told = stash(texts.select("row", "text").mapInArrow(_tell(length), "row bigint, at int, core bigint"), "anchors")
-    shared = stash(told.join(_classes(told, ["core"], "at"), "core").select("row", "at"), "shared")
-    listed = shared.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("listed"))  # one document's own
-    contexts = stash(texts.join(listed, "row").select("row", "text", "listed").mapInArrow(_contexts(length), CONTEXT), "contexts")
-    parents, found = contexts, []
-    for node in NODES:
-        run, schema = _spans(length, node, node == NODES[0])
-        spans = stash(parents.mapInArrow(run, schema), "spans")
-        whole = stash(_double(spans).select("row", "at", "lo", "start", "core", "rank"), "repeated")
-        found.append(whole.select("row", F.col("start").alias("first"), (F.col("start") + node - 1).alias("last")).distinct())
-        if node == 1:
+    run, schema = _tell(length)
+    rows = stash(texts.select("row", "text").mapInArrow(run, schema), "anchors").withColumn("lo", F.lit(0))
+    contexts, found = None, []
+    for node, smaller in zip(NODES, (*NODES[1:], None), strict=True):
+        # the core first: in a level, most rows end there
+        cores = rows.groupBy("core").agg(F.min(F.xxhash64("row", F.col("at") - F.col("lo"))).alias("p0"), F.max(F.xxhash64("row", F.col("at") - F.col("lo"))).alias("p1")).where("p0 <> p1").select("core")
+        alike = stash(rows.join(cores, "core"), "alike") if node > 1 else rows
+        ranks = _rank(alike.where("span is not null"), ["core", "span"], "ranks")
+        whole = ranks.select("core", "span", F.lit(True).alias("whole"))
+        judged = alike.join(whole, ["core", "span"], "left")
+        judged = stash(judged.select("row", "at", "lo", "core", F.coalesce("whole", F.lit(False)).alias("whole")), "judged")
+        first = F.col("at") - F.col("lo") - node + 1
+        found.append(judged.where("whole").select("row", first.alias("first"), (F.col("at") - F.col("lo")).alias("last")))
+        if smaller is None:
             break
-        cores = _classes(spans.withColumn("core_at", F.col("at") - F.col("lo")), ["core"], "core_at")
-        undecided = spans.join(whole.select("row", "start").distinct(), ["row", "start"], "left_anti").join(cores, "core")
-        undecided = stash(undecided.select("row", "at", "lo", "core"), "undecided")
-        one_each = whole.groupBy("rank").agg(*(F.first(c).alias(c) for c in ("row", "at", "lo", "core"))).drop("rank")
-        partners = one_each.join(undecided.select("core").distinct(), "core", "left_semi").select("row", "at", "lo", "core")
-        split = undecided.unionByName(partners).select("row", "at", "lo")
-        parents = contexts.join(split, ["row", "at"]).select("row", "at", "left", "right", "lo")
+        undecided = judged.where("not whole").select("row", "at", "lo", "core")
+        partners = ranks.join(undecided.select("core").distinct(), "core", "left_semi").select("row", "at", "lo", "core")
+        split = undecided.unionByName(partners).groupBy("row", "at").agg(F.collect_set("lo").alias("los"))
+        if contexts is None:
+            split = stash(split, "split")
+            listed = split.groupBy("row").agg(F.collect_list("at").alias("listed"))  # one document's own
+            run, schema = _contexts(length)
+            contexts = stash(texts.join(listed, "row").select("row", "text", "listed").mapInArrow(run, schema), "contexts")
+            opened = contexts.withColumn("los", F.array(F.lit(0)))
+        else:
+            opened = contexts.join(split, ["row", "at"])
+        run, schema = _nodes(length, smaller)
+        rows = stash(opened.select("row", "at", "mid", "around", "los").mapInArrow(run, schema), "nodes")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
