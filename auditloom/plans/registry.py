@@ -1,9 +1,11 @@
 """The registered queries and, where SQL can express them, their DuckDB twins."""
 
+from auditloom.plans import pages
+
 
 def queries() -> dict:
-    return {}
+    return {**pages.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**pages.SQL}
