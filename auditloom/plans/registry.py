@@ -1,11 +1,13 @@
 """The registered queries and, where SQL can express them, their DuckDB twins."""
 
-from auditloom.plans import pages
+from auditloom.plans import pages, sites
+
+MODULES = (pages, sites)
 
 
 def queries() -> dict:
-    return {**pages.QUERIES}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {**pages.SQL}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
