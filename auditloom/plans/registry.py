@@ -1,8 +1,8 @@
 """The registered queries and, where SQL can express them, their DuckDB twins."""
 
-from auditloom.plans import pages, sites
+from auditloom.plans import pages, sites, tables, texts
 
-MODULES = (pages, sites)
+MODULES = (pages, sites, tables, texts)
 
 
 def queries() -> dict:

@@ -32,7 +32,7 @@ def rate_limit(events: DataFrame, most: int, key: str, when: str, ident: str, wi
 
     Where a window ends depends on where it began, so each key is scanned in order, in Arrow batches with
     one number of state; its rows arrive sorted and a key may span batches."""
-    rows = events.select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.unix_millis(F.col(when)).alias("ms"))
+    rows = events.select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.unix_millis(F.col(when).cast("timestamp")).alias("ms"))
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "ms", "ident")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
