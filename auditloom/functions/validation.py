@@ -145,7 +145,7 @@ def guarded(narrative: Column, fallback: Column, any_blocked: Column) -> Column:
 
 
 def comma_list(v: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(v, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(v, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def outer_json(v: Column) -> Column:
