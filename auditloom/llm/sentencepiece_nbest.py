@@ -1,9 +1,10 @@
 """SentencePiece N-best encoding and exact decoding with a given vocabulary."""
 
-import heapq
+import hashlib
 import math
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 SPACE = "▁"
 CACHED_CHUNKS = 150_000
+UNREACHED = -(1 << 62)
 #: Scores are counted in millionths, as whole numbers, so that sums are exact and ties are real ties.
 UNIT = 1_000_000
 
@@ -37,7 +39,6 @@ class Vocabulary:
         self.ids = {p.id_to_piece(i): i for i in ordinary}
         self.byte_ids = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.byte_score = min(self.scores.values()) - 2 * UNIT
-        self.longest = max(map(len, self.ids))
         self.bytes_of: list[bytes] = [b""] * n
         for piece, i in self.ids.items():
             self.bytes_of[i] = piece.replace(SPACE, " ").encode()
@@ -47,6 +48,9 @@ class Vocabulary:
             raise ValueError("the vocabulary needs a piece for each byte")
         if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
             raise ValueError("a piece may have the space mark at its start only")
+        # each piece with its ids and score, and each beginning of one with an empty entry
+        self.table: dict[str, tuple] = {piece[:k]: () for piece in self.ids for k in range(1, len(piece))}
+        self.table |= {piece: ((i,), self.scores[i]) for piece, i in self.ids.items()}
         self.chunk = self._cuts()
 
     def _cuts(self) -> re.Pattern:
@@ -69,27 +73,35 @@ class Vocabulary:
         own is none: it becomes a private character here, and bytes in the end."""
         return SPACE + text.replace("\ue000", "\ue000").replace(SPACE, "\ue000\ue001").replace(" ", SPACE)
 
-    def arcs(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
-        """For each end position, the lattice's arcs into it: (start, ids, score)."""
-        ids, scores = self.ids, self.scores
-        into: list[list] = [[] for _ in range(len(chunk) + 1)]
-        i, n = 0, len(chunk)
+    def lattice(self, chunk: str) -> tuple[list[int], list[list[tuple[int, tuple[int, ...], int]]]]:
+        """(best, arcs): the forward Viterbi score of every prefix, and for each end position the arcs into it as
+        (start, ids, score)."""
+        table, n = self.table, len(chunk)
+        into: list[list] = [[] for _ in range(n + 1)]
+        best = [0] + [UNREACHED] * n
+        i = 0
         while i < n:
-            if chunk[i] == "\ue000":
-                raw = SPACE if chunk[i + 1] == "\ue001" else "\ue000"
-                into[i + 2].append((i, *self._fallback(raw)))
+            here = best[i]
+            if chunk[i] == "\ue000":  # a marked character and the one that tells which
+                ids, score = self._fallback(SPACE if chunk[i + 1] == "\ue001" else "\ue000")
+                into[i + 2].append((i, ids, score))
+                best[i + 2] = here + score
                 i += 2
                 continue
-            known = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                got = ids.get(chunk[i:j])
-                if got is not None:
-                    into[j].append((i, (got,), scores[got]))
-                    known |= j == i + 1
-            if not known:
-                into[i + 1].append((i, *self._fallback(" " if chunk[i] == SPACE else chunk[i])))
+            j = i + 1
+            while j <= n and (got := table.get(chunk[i:j])) is not None:
+                if got:
+                    ids, score = got
+                    into[j].append((i, ids, score))
+                    if here + score > best[j]:
+                        best[j] = here + score
+                j += 1
+            if not table.get(chunk[i]):
+                ids, score = self._fallback(" " if chunk[i] == SPACE else chunk[i])
+                into[i + 1].append((i, ids, score))
+                best[i + 1] = max(best[i + 1], here + score)
             i += 1
-        return into
+        return best, into
 
     def _fallback(self, char: str) -> tuple[tuple[int, ...], int]:
         raw = tuple(self.byte_ids[b] for b in char.encode())
@@ -97,21 +109,17 @@ class Vocabulary:
 
 
 def nbest_chunk(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The n best segmentations of a chunk, (score, ids), best first; of equal ones the one with fewer pieces, then
-    the smaller ids, taken from the end. A forward Viterbi pass gives the best score of every prefix; the
-    backward A* search adds it to the score of the suffix chosen so far. As that heuristic is exact, paths
-    leave the queue in the order of their scores, and none is expanded that isn't part of a result."""
-    into = vocabulary.arcs(chunk)
-    low = -(1 << 62)
-    best = [0] + [low] * len(chunk)
-    for end in range(1, len(chunk) + 1):
-        for start, _, score in into[end]:
-            if best[start] + score > best[end]:
-                best[end] = best[start] + score
-    queue = [(-best[len(chunk)], 0, (), len(chunk), 0)]
+    """The n best segmentations of a chunk, (score, ids), best first; equal scores stand in a fixed order.
+
+    The forward Viterbi score of a prefix is an exact heuristic for the backward A* search, which adds it to the score
+    of the suffix chosen so far. So paths leave the queue in the order of their scores. Entries of the queue
+    stand for disjoint sets of paths, each with one of the score that it is queued by, so all but the best n can go."""
+    best, into = vocabulary.lattice(chunk)
+    queue: list[tuple] = [(-best[-1], 0, len(chunk), 0, ())]
     found: list[tuple[int, tuple[int, ...]]] = []
+    made = 0
     while queue and len(found) < n:
-        _, pieces, suffix, at, score = heapq.heappop(queue)
+        _, _, at, score, suffix = queue.pop(0)
         if at == 0:
             ids: tuple[int, ...] = ()
             while suffix:
@@ -119,14 +127,19 @@ def nbest_chunk(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, t
                 ids += part
             found.append((score, ids))
             continue
+        room = n - len(found)
         for start, ids, more in into[at]:
-            if best[start] > low:
-                heapq.heappush(queue, (-(best[start] + more + score), pieces + len(ids), (ids, suffix), start, score + more))
+            cost = -(best[start] + more + score)
+            if len(queue) < room or cost < queue[-1][0]:
+                made += 1
+                insort(queue, (cost, made, start, score + more, (ids, suffix)))
+                del queue[room:]
     return found
 
 
 class Encoder:
-    """Encodes texts; keeps the results of chunks in two generations of at most CACHED_CHUNKS each."""
+    """Encodes texts; keeps the results of chunks in two generations of at most CACHED_CHUNKS each. Ids are held
+    as bytes, four for each."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.vocabulary, self.n, self.cache, self.older = vocabulary, n, {}, {}
@@ -135,51 +148,62 @@ class Encoder:
         """(best score, best ids, alternatives as (loss, ids))."""
         got = self.older.get(chunk)
         if got is None:
-            found = nbest_chunk(self.vocabulary, chunk, self.n)
-            top, ids = found[0]
-            got = (top, array("i", ids), [(top - score, array("i", other)) for score, other in found[1:]])
+            (top, ids), *others = nbest_chunk(self.vocabulary, chunk, self.n)
+            got = (top, array("i", ids).tobytes(), tuple((top - score, array("i", other).tobytes()) for score, other in others))
         if len(chunk) <= 64:
             if len(self.cache) >= CACHED_CHUNKS:
                 self.cache, self.older = {}, self.cache
             self.cache[chunk] = got
         return got
 
-    def encode(self, text: str) -> list[tuple[int, array]]:
+    def encode(self, text: str) -> list[tuple[int, bytes]]:
         """The n best segmentations of the text, best first. The text is a series of chunks, so a segmentation loses
         against the best one what its chunks lose. The n - 1 least losses of single chunks bound which of
         them can take part; subsets of those, with at most one for a chunk, give the n best."""
         if not text:
-            return [(0, array("i"))]
-        ids, score, room = array("i"), 0, self.n - 1
-        worst = 1 << 62
-        losses: list[tuple[int, int, int, array, int]] = []
-        for k, chunk in enumerate(self.vocabulary.chunk.findall(self.vocabulary.mark(text))):
-            got = self.cache.get(chunk) or self._chunk(chunk)
-            top, own, others = got
-            if others and others[0][0] < worst and room:
-                for loss, other in others:
-                    losses.append((loss, k, len(ids), other, len(own)))
-                losses.sort(key=lambda x: x[:2])
+            return [(0, b"")]
+        parts, score, length, room, worst = [], 0, 0, self.n - 1, 1 << 62 if self.n > 1 else -1
+        losses: list[tuple[int, int, int, bytes, int]] = []
+        for chunk in self.vocabulary.chunk.findall(self.vocabulary.mark(text)):
+            top, own, others = self.cache.get(chunk) or self._chunk(chunk)
+            if others and others[0][0] < worst:
+                losses += [(loss, length, k, other, len(own)) for k, (loss, other) in enumerate(others)]
+                losses.sort(key=lambda x: x[:3])
                 del losses[room:]
                 if len(losses) == room:
                     worst = losses[-1][0]
-            ids += own
+            parts.append(own)
+            length += len(own)
             score += top
+        ids = b"".join(parts)
         choices = []
         for size in range(len(losses) + 1):
             for some in combinations(losses, size):
                 if len({x[1] for x in some}) == size:
-                    choices.append((sum(x[0] for x in some), size, tuple(x[1] for x in some), some))
+                    choices.append((sum(x[0] for x in some), size, [x[1:3] for x in some], some))
         choices.sort(key=lambda c: c[:3])
-        out = []
-        for loss, _, _, some in choices[: self.n]:
-            whole = ids[:]
-            for _, _, at, other, length in sorted(some, key=lambda x: -x[1]):
-                whole[at : at + length] = other
-            out.append((score - loss, whole))
+        out = [(score, ids)]
+        for loss, _, _, some in choices[1 : self.n]:
+            pieces, at = [], 0
+            for _, start, _, other, size in sorted(some, key=lambda x: x[1]):
+                pieces += [ids[at:start], other]
+                at = start + size
+            out.append((score - loss, b"".join([*pieces, ids[at:]])))
         return out
 
 
+_encoders: dict[tuple[bytes, int], Encoder] = {}
+
+
+def encoder_for(model: bytes, n: int) -> Encoder:
+    """The worker process's encoder, which one task leaves to the next; one vocabulary is kept at a time."""
+    key = (hashlib.sha256(model).digest(), n)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(Vocabulary(model), n)
+    return _encoders[key]
+
+
 def decode_ids(vocabulary: Vocabulary, ids) -> str | None:
     """The text of a sequence of ids; ids out of range and broken byte sequences are replaced by U+FFFD."""
     table = vocabulary.bytes_of
@@ -207,19 +231,19 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text") ->
     kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(shared.value), n)
+        encoder = encoder_for(shared.value, n)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                flat, ends, scores, rows, known = array("i"), array("i", [0]), [], array("i", [0]), []
+                flat, ends, scores, rows, known = bytearray(), array("i", [0]), [], array("i", [0]), []
                 for text in batch.column(place).to_pylist():
                     for score, ids in encoder.encode(text) if text is not None else ():
                         flat += ids
-                        ends.append(len(flat))
+                        ends.append(len(flat) // 4)
                         scores.append(score / UNIT)
                     rows.append(len(scores))
                     known.append(text is not None)
-                ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)) if len(flat) else pa.array([], pa.int32()))
+                ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
                 each = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), ids], ["score", "ids"])
                 offsets = pa.array(np.frombuffer(rows, np.int32), mask=np.append(~np.array(known, bool), False))
                 nbest = pa.ListArray.from_arrays(offsets, each)
@@ -232,12 +256,10 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text") ->
 def decoder(spark: SparkSession, model: bytes):
     """A function of a column of ids that gives the text; null for null."""
     shared = spark.sparkContext.broadcast(model)
-    made: list[Vocabulary] = []
 
     @pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Vocabulary(shared.value))
-        return pd.Series([None if x is None else decode_ids(made[0], x.tolist()) for x in ids], dtype=object)
+        vocabulary = next((e.vocabulary for (key, _), e in _encoders.items() if key == hashlib.sha256(shared.value).digest()), None) or encoder_for(shared.value, 1).vocabulary
+        return pd.Series([None if x is None else decode_ids(vocabulary, x.tolist()) for x in ids], dtype=object)
 
     return decode
