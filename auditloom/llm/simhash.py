@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from auditloom.llm.common import connected_components, stash
@@ -14,7 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-@pandas_udf("bigint")
+@pandas_udf(T.LongType())
 def fold_bits(hashes: pd.Series) -> pd.Series:
     """The fingerprint of each array of hashes: the bits that are set in over half of them."""
 
