@@ -13,17 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import stash
+from auditloom.llm.common import Stash, stash
 
 GRAM = 16
 WINDOW = 128
 PIECE = 1 << 20
 #: Starts a group of `node` neighbouring starts is judged as a whole; undecided groups split to the next size.
-NODES = (WINDOW, 16, 1)
+NODES = (WINDOW, 16, 4, 1)
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -56,39 +57,71 @@ def anchors(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _hashes(around: bytes, mid: int, lo: int, length: int, node: int) -> tuple[int, int | None] | None:
-    """For the node starts mid - lo - node + 1 ... mid - lo: a hash of the core that the strings of length at these
-    starts share, and one of the span that they cover together (null where that leaves the text); null if none of
-    the strings lies in the text."""
-    far, near = mid - lo - node + 1, mid - lo
-    if near < 0 or far + length > len(around):
-        return None
-    core = xxhash.xxh3_64_intdigest(around[near : far + length])
-    span = xxhash.xxh3_64_intdigest(around[far : near + length], seed=1) if far >= 0 and near + length <= len(around) else None
-    return _signed(core), None if span is None else _signed(span)
+def _node_hashes(around: bytes, mid: int, los, length: int, node: int) -> tuple[list[int], list[int], list[int | None]]:
+    """(los, cores, spans): for each lo the hash of the core that the strings of length starting at mid - lo - node + 1
+    ... mid - lo share, and of the span that they cover together (null where that leaves the text). A node
+    none of whose strings lies in the text is left out."""
+    kept, cores, spans = [], [], []
+    size, core_hash, span_hash = len(around), xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
+    for lo in los:
+        near = mid - lo
+        far = near - node + 1
+        end = far + length
+        if near < 0 or end > size:
+            continue
+        kept.append(lo)
+        cores.append(core_hash(around[near:end]))
+        spans.append(span_hash(around[far : near + length]) if far >= 0 and near + length <= size else None)
+    return kept, cores, spans
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _signed(values: list) -> pa.Array:
+    """Unsigned 64-bit numbers, some of them null, as signed ones."""
+    return pa.array(values, pa.uint64()).view(pa.int64())
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(v.as_buffer()) for v in column)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, so that the two joins that bring them to their positions move less; and, for those
+    that nothing is removed from, their size and hash."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        whole = [v.as_buffer().to_pybytes() for v in batch.column(2)]
+        more = [pa.array([pack(t) for t in whole], pa.binary()), pa.array([len(t) for t in whole], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in whole])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["row", "_id", "packed", "n_bytes", "sha"])
 
 
 def _tell(length: int):
     """Per anchor: the hashes of the first node."""
-    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("core", pa.int64()), ("span", pa.int64())])
+    names = ["row", "at", "core", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for row, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_buffer().to_pybytes()
+            rows, counts, ats, cores, spans = [], [], [], [], []
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), counts)), pa.array(ats, pa.int32()), _signed(cores), _signed(spans)], names)
+                for x in (rows, counts, ats, cores, spans):
+                    x.clear()
+                return out
+
+            for row, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
+                before = len(ats)
                 for a in anchors(text).tolist():
-                    if got := _hashes(text, a, 0, length, NODES[0]):
-                        for name, v in zip(schema.names, (row, a, *got), strict=True):
-                            out[name].append(v)
-                if len(out["row"]) > 100_000:
-                    yield pa.RecordBatch.from_pydict(out, schema)
-                    out = {f.name: [] for f in schema}
-            yield pa.RecordBatch.from_pydict(out, schema)
+                    kept, core, span = _node_hashes(text, a, (0,), length, NODES[0])
+                    if kept:
+                        ats.append(a)
+                        cores += core
+                        spans += span
+                rows.append(row)
+                counts.append(len(ats) - before)
+                if len(ats) > 100_000:
+                    yield flush()
+            yield flush()
 
     return run, "row bigint, at int, core bigint, span bigint"
 
@@ -100,8 +133,7 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for row, value, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = value.as_buffer().to_pybytes()
+            for row, text, listed in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for a in listed:
                     lo = max(0, a - WINDOW + 1)
                     for name, v in zip(schema.names, (row, a, a - lo, text[lo : a + length]), strict=True):
@@ -117,19 +149,20 @@ def _contexts(length: int):
 def _nodes(length: int, node: int):
     """Rows (row, at, mid, around, los): each lo begins a node of the size before, whose parts get their hashes."""
     size = NODES[NODES.index(node) - 1]
-    schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("core", pa.int64()), ("span", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 part = batch.slice(begin, 2000)
-                out: dict[str, list] = {f.name: [] for f in schema}
-                for row, at, mid, around, los in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    for lo in (k for first in los for k in range(first, first + size, node)):
-                        if got := _hashes(around, mid, lo, length, node):
-                            for name, v in zip(schema.names, (row, at, lo, *got), strict=True):
-                                out[name].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema)
+                counts, los, cores, spans = [], [], [], []
+                for mid, around, firsts in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    kept, core, span = _node_hashes(around, mid, [k for first in firsts for k in range(first, first + size, node)], length, node)
+                    counts.append(len(kept))
+                    los += kept
+                    cores += core
+                    spans += span
+                take = np.repeat(np.arange(part.num_rows), counts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)), pa.array(los, pa.int32()), _signed(cores), _signed(spans)], ["row", "at", "lo", "core", "span"])
 
     return run, "row bigint, at int, lo int, core bigint, span bigint"
 
@@ -145,7 +178,7 @@ def _rank(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     """(row, first, last): ranges of positions at which a string of length bytes starts that also starts elsewhere;
-    texts has (row, text). All such positions are covered; ranges may overlap.
+    texts has (row, packed). All such positions are covered; ranges may overlap.
 
     Starts are judged in nodes that lie side by side before an anchor, at first WINDOW of them. If the span of a
     node, which covers all of its strings, repeats, all of its starts do; if the core that its strings share
@@ -156,16 +189,21 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     if WINDOW + GRAM > length - WINDOW:
         raise ValueError(f"length must be at least {2 * WINDOW + GRAM}")
     run, schema = _tell(length)
-    rows = stash(texts.select("row", "text").mapInArrow(run, schema), "anchors").withColumn("lo", F.lit(0))
+    held = Stash(texts.select("row", "packed").mapInArrow(run, schema), "anchors")
+    rows = held.df.withColumn("lo", F.lit(0))
     contexts, found = None, []
     for node, smaller in zip(NODES, (*NODES[1:], None), strict=True):
         # the core first: in a level, most rows end there
         cores = rows.groupBy("core").agg(F.min(F.xxhash64("row", F.col("at") - F.col("lo"))).alias("p0"), F.max(F.xxhash64("row", F.col("at") - F.col("lo"))).alias("p1")).where("p0 <> p1").select("core")
-        alike = stash(rows.join(cores, "core"), "alike") if node > 1 else rows
+        kept = Stash(rows.join(cores, "core"), "alike") if node > 1 else held
+        if kept is not held:
+            held.drop()
+        alike = kept.df if kept is not held else rows
         ranks = _rank(alike.where("span is not null"), ["core", "span"], "ranks")
         whole = ranks.select("core", "span", F.lit(True).alias("whole"))
         judged = alike.join(whole, ["core", "span"], "left")
         judged = stash(judged.select("row", "at", "lo", "core", F.coalesce("whole", F.lit(False)).alias("whole")), "judged")
+        kept.drop()
         first = F.col("at") - F.col("lo") - node + 1
         found.append(judged.where("whole").select("row", first.alias("first"), (F.col("at") - F.col("lo")).alias("last")))
         if smaller is None:
@@ -177,12 +215,13 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
             split = stash(split, "split")
             listed = split.groupBy("row").agg(F.collect_list("at").alias("listed"))  # one document's own
             run, schema = _contexts(length)
-            contexts = stash(texts.join(listed, "row").select("row", "text", "listed").mapInArrow(run, schema), "contexts")
+            contexts = stash(texts.select("row", "packed").join(listed, "row").select("row", "packed", "listed").mapInArrow(run, schema), "contexts")
             opened = contexts.withColumn("los", F.array(F.lit(0)))
         else:
             opened = contexts.join(split, ["row", "at"])
         run, schema = _nodes(length, smaller)
-        rows = stash(opened.select("row", "at", "mid", "around", "los").mapInArrow(run, schema), "nodes")
+        held = Stash(opened.select("row", "at", "mid", "around", "los").mapInArrow(run, schema), "nodes")
+        rows = held.df
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -196,8 +235,8 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for row, value, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text, runs = value.as_buffer().to_pybytes(), []
+            for row, text, starts in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                runs: list[list[int]] = []
                 for s in sorted(starts or (), key=lambda s: (s["first"], s["last"])):
                     lo, hi = s["first"], s["last"] + length
                     if runs and lo <= runs[-1][1]:
@@ -225,12 +264,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     columns are ignored; an empty table gives an empty result.
     """
     whole = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = stash(whole, "texts")
+    kind = T.StructType([T.StructField("row", T.LongType()), whole.schema["_id"], T.StructField("packed", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.StringType())])
+    texts = stash(whole.mapInArrow(_pack, kind), "texts")
     starts = repeated_starts(texts, length)
     told = stash(starts.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "starts")
     run, schema = _cut(length)
-    cut = texts.join(told, "row").select("row", "text", "starts").mapInArrow(run, schema)
-    plain = texts.select("row", "_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    cut = texts.select("row", "packed").join(told, "row").select("row", "packed", "starts").mapInArrow(run, schema)
+    plain = texts.select("row", "_id", "n_bytes", "sha")
     return plain.join(cut, "row", "left").select(
         F.col("_id").alias(id_col),
         "n_bytes",
