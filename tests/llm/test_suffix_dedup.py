@@ -72,7 +72,7 @@ def test_query(spark, sf_dir):
 def test_empty_and_bounds(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
-        suffix_dedup.repeated_starts(spark.createDataFrame([], "row long, text string"), 200)
+        suffix_dedup.repeated_starts(spark.createDataFrame([], "row long, packed binary"), 200)
 
 
 def test_anchors_of_long_texts_do_not_depend_on_pieces(monkeypatch):
