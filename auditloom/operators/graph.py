@@ -46,9 +46,20 @@ def crawl_order(found: DataFrame, most: int = 30) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def inlink_edges(links: DataFrame) -> DataFrame:
+    """(site, url, source): who links to a page, itself aside, each source once."""
+    return links.where("src <> dst").select("site", F.col("dst").alias("url"), F.col("src").alias("source")).distinct()
+
+
 def inlinks(links: DataFrame) -> DataFrame:
-    """(site, url, inlinks): distinct sources of links to a page, without its own."""
-    return links.where("src <> dst").groupBy("site", F.col("dst").alias("url")).agg(F.array_sort(F.collect_set("src")).alias("inlinks"))
+    """(site, url, n_inlinks)."""
+    return inlink_edges(links).groupBy("site", "url").agg(F.count("*").alias("n_inlinks"))
+
+
+def first_inlinks(links: DataFrame, most: int = 3) -> DataFrame:
+    """The first sources of each page, for display."""
+    order = W.partitionBy("site", "url").orderBy("source")
+    return inlink_edges(links).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
 def orphans(pages: DataFrame, links: DataFrame, sitemap: DataFrame, sites: DataFrame) -> DataFrame:

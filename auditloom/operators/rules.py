@@ -61,8 +61,8 @@ STALE_DAYS, DEEP, FEW_SAMEAS, FEW_SHOPS = 365, 3, 3, 2
 
 
 def by_site(facts: DataFrame) -> DataFrame:
-    """Facts with site (the host), ord (the page's place in its site) and homepage; columns that the capture lacks get
-    the value of a page fetched without trouble."""
+    """Facts with site (the host) and ord (the page's place in its site: its id); the first page is the homepage. Columns
+    that the capture lacks get the value of a page fetched without trouble."""
     defaults = {
         "status": F.lit(200),
         "last_modified": F.lit(None).cast("timestamp"),
@@ -72,8 +72,7 @@ def by_site(facts: DataFrame) -> DataFrame:
         "faq_mismatches": F.lit(0),
     }
     filled = facts.withColumns({c: v for c, v in defaults.items() if c not in facts.columns})
-    sited = filled.withColumn("site", urls.host(F.col("url")))
-    return sited.withColumn("ord", F.row_number().over(W.partitionBy("site").orderBy("page_id"))).withColumn("homepage", F.col("ord") == 1)
+    return filled.withColumn("site", urls.host(F.col("url"))).withColumn("ord", F.col("page_id"))
 
 
 def duplicates(facts: DataFrame, value: str) -> DataFrame:
@@ -120,9 +119,13 @@ def page_hits(sited: DataFrame, now: Column | None = None) -> DataFrame:
     """(site, ord, url, rule): one pass; the rules that a page breaks are filtered from an array and exploded."""
     ok = F.col("status").between(200, 299)
     sets = {"ok": ok, "content": ok & ~urls.path(F.col("url")).rlike(UTILITY_PATH), "all": F.lit(True)}
-    with_counts = sited.withColumns(
-        {name: F.when(v != "", F.count(F.when(ok, 1)).over(W.partitionBy("site", v))).otherwise(0) for name, v in (("_titles", F.lower(F.trim("title"))), ("_descriptions", F.lower(F.trim("description"))))}
-    )
+    def alike(value: str) -> Column:
+        v = F.lower(F.trim(value))
+        # blanks don't count, and each forms a group of its own
+        group = W.partitionBy("site", v, F.when(v == "", F.col("ord")))
+        return F.when(v != "", F.count(F.when(ok, 1)).over(group)).otherwise(0)
+
+    with_counts = sited.withColumns({"_titles": alike("title"), "_descriptions": alike("description")})
     tests = page_rules(F.current_timestamp() if now is None else now)
     hit = F.filter(F.array(*(F.when(sets[on] & test, F.lit(rule)) for rule, (on, test) in tests.items())), lambda r: r.isNotNull())
     return with_counts.select("site", "ord", "url", F.explode(hit).alias("rule"))
@@ -163,14 +166,22 @@ def site_hits(sited: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return found.unionByName(extra) if extra is not None else found
 
 
+def issue_pages(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """(site, rule, ord, url): the pages of every issue, one a row; ord is null where a rule about a site names a page."""
+    named = site_hits(sited, extra).select("site", "rule", F.lit(None).cast("bigint").alias("ord"), F.explode("pages").alias("url"))
+    return page_hits(sited, now).select("site", "rule", F.col("ord").cast("bigint").alias("ord"), "url").unionByName(named)
+
+
 def issues(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None, overrides: dict | None = None) -> DataFrame:
-    """(site, rule_ord, rule, category, severity, impact, effort, priority, quadrant, pages): every broken rule of every
-    site with its pages in their order; sorted, it goes by priority, severity and the rule's place in the table."""
+    """(site, rule_ord, rule, category, severity, impact, effort, priority, quadrant, n_pages): every broken rule of every
+    site. Which pages break it is a table of its own, issue_pages(), so that a site's size doesn't matter. overrides:
+    category, severity, impact and effort of rules that depend on how far they are broken."""
     spark = sited.sparkSession
-    listed = page_hits(sited, now).groupBy("site", "rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("pages"))
-    rows = [(i, r[0], r[1], *(overrides or {}).get(r[0], r[2:])) for i, r in enumerate(RULES, 1)]
+    counted = page_hits(sited, now).groupBy("site", "rule").agg(F.count("*").alias("n_pages"))
+    wide = site_hits(sited, extra).select("site", "rule", F.size("pages").cast("bigint").alias("n_pages"))
+    rows = [(i, r[0], *(overrides or {}).get(r[0], r[1:])) for i, r in enumerate(RULES, 1)]
     dim = spark.createDataFrame(rows, "rule_ord int, rule string, category string, severity string, impact int, effort int")
-    found = listed.unionByName(site_hits(sited, extra)).join(F.broadcast(dim), "rule")  # 46 fixed rows
+    found = counted.unionByName(wide).join(F.broadcast(dim), "rule")  # 46 fixed rows
     return found.withColumn("priority", scoring.priority(F.col("impact"), F.col("severity"), F.col("effort"))).withColumn("quadrant", scoring.quadrant(F.col("impact"), F.col("effort")))
 
 
@@ -180,21 +191,21 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def site_scores(found: DataFrame, sited: DataFrame) -> DataFrame:
-    """(site, pages, errors, warnings, notices, site_health, ai_readiness)."""
+def site_scores(found: DataFrame, pages: DataFrame, sited: DataFrame) -> DataFrame:
+    """(site, pages, errors, warnings, notices, site_health, ai_readiness) from issues(), issue_pages() and the facts."""
     weight = F.create_map(*(F.lit(x) for kv in scoring.SEVERITY_WEIGHTS.items() for x in kv))
     error = F.col("severity") == "error"
+    errors = [r[0] for r in RULES if r[2] == "error"]
     counts = {f"{s}s": F.count_if(F.col("severity") == s) for s in scoring.SEVERITY_WEIGHTS}
-    touched = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(error, F.transform("pages", lambda p: F.substring_index(p, " ", 1)))))))
+    touched = pages.where(F.col("rule").isin(errors)).select("site", F.substring_index("url", " ", 1).alias("url")).distinct().groupBy("site").agg(F.count("*").alias("_touched"))
     ready = F.col("category").isin(*READINESS) | F.col("rule").isin("js_rendered_shell", "noindex")
     told = found.groupBy("site").agg(
         *(v.alias(k) for k, v in counts.items()),
-        touched.alias("_touched"),
-        F.count_if(error & (F.size("pages") == 0)).alias("_wide"),
+        F.count_if(error & (F.col("n_pages") == 0)).alias("_wide"),
         F.sum(F.when(ready, F.col("impact") * F.element_at(weight, F.col("severity"))).otherwise(0)).alias("_penalty"),
     )
     sizes = sited.groupBy("site").agg(F.count("*").alias("pages"))
-    joined = sizes.join(told, "site", "left").na.fill(0)
+    joined = sizes.join(told, "site", "left").join(touched, "site", "left").na.fill(0)
     health = F.round(100 * (F.col("pages") - F.col("_touched")) / F.col("pages")) - 10 * F.col("_wide")
     return joined.select("site", "pages", *counts, F.greatest(F.lit(0), health).cast("int").alias("site_health"), F.greatest(F.lit(0), 100 - F.col("_penalty")).cast("int").alias("ai_readiness"))
 

@@ -56,18 +56,22 @@ def thin_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issues_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every host is a site, its page with the least id the homepage."""
     found = rules.issues(rules.by_site(_facts(spark, sf_dir)))
-    return found.select("site", "rule", "category", "severity", "impact", "effort", "priority", "quadrant", F.size("pages").alias("n_pages"))
+    return found.select("site", "rule", "category", "severity", "impact", "effort", "priority", "quadrant", "n_pages")
 
 
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     sited = rules.by_site(_facts(spark, sf_dir))
-    return rules.site_scores(rules.issues(sited), sited)
+    return rules.site_scores(rules.issues(sited), rules.issue_pages(sited), sited)
 
 
 def quadrant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quadrant_counts(rules.issues(rules.by_site(_facts(spark, sf_dir))))
 
 
+def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.issue_pages(rules.by_site(_facts(spark, sf_dir))).select("site", "rule", "url")
+
+
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.page_hits(rules.by_site(_facts(spark, sf_dir))).groupBy("rule").agg(F.count("*").alias("n_pages"))
 
@@ -160,8 +164,9 @@ issues AS (SELECT *, round(impact * weight * 10 / effort)::INT AS priority,
 
 SQL = {
     "rule_hits": HITS_SQL + " SELECT rule, count(*) AS n_pages FROM hits GROUP BY rule",
-    "issues_ranked": ISSUES_SQL + "SELECT site, rule, category, severity, impact, effort, priority, quadrant, len(pages)::INT AS n_pages FROM issues",
+    "issues_ranked": ISSUES_SQL + "SELECT site, rule, category, severity, impact, effort, priority, quadrant, len(pages) AS n_pages FROM issues",
     "quadrant_counts": ISSUES_SQL + "SELECT v.quadrant, count(issues.rule) AS n FROM (VALUES ('Quick win'), ('Major project'), ('Fill-in'), ('Deprioritize')) v(quadrant) LEFT JOIN issues USING (quadrant) GROUP BY v.quadrant",
+    "issue_pages": ISSUES_SQL + "SELECT site, rule, unnest(pages) AS url FROM issues",
     "site_scores": ISSUES_SQL + """, touched AS (SELECT site, count(DISTINCT p) AS touched FROM (SELECT site, unnest(pages) AS p FROM issues WHERE severity = 'error') GROUP BY site),
 sums AS (SELECT site, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'notice') AS notices,
   count(*) FILTER (severity = 'error' AND len(pages) = 0) AS wide, coalesce(sum(impact * weight) FILTER (category IN ('AI access', 'Entity & schema', 'Content') OR rule IN ('js_rendered_shell', 'noindex')), 0) AS penalty FROM issues GROUP BY site)
@@ -177,4 +182,4 @@ FROM homes JOIN sums USING (site) LEFT JOIN touched USING (site)""",
     "thin_content": f"WITH {FACTS_SQL} SELECT page_id, word_count FROM facts WHERE word_count < 300",
 }
 
-QUERIES = {f.__name__: f for f in (scan_score, scan_grade_counts, page_facts_native, link_normalize, link_hosts, title_duplicates, title_length_issue, thin_content, issues_ranked, site_scores, quadrant_counts, rule_hits)}
+QUERIES = {f.__name__: f for f in (scan_score, scan_grade_counts, page_facts_native, link_normalize, link_hosts, title_duplicates, title_length_issue, thin_content, issues_ranked, site_scores, quadrant_counts, issue_pages, rule_hits)}

@@ -119,7 +119,11 @@ def deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.inlinks(_links(spark)).select("site", "url", F.array_join("inlinks", " ").alias("inlinks"))
+    return graph.inlinks(_links(spark))
+
+
+def first_inlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.first_inlinks(_links(spark), 1).select("site", "url", "source")
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +178,13 @@ SQL = {
     "llms_problems": f"""WITH {table("t", "id, body", LLMS)} SELECT id, ((NOT regexp_matches(body, '(?m)^#\\s+\\S'))::INT + (NOT regexp_matches(body, '(?m)^>\\s+\\S'))::INT + (NOT regexp_matches(body, '\\[[^\\]]+\\]\\(https?://[^)]+\\)'))::INT)::INT AS n_problems FROM t""",
     "crawl_depth": _DEPTHS + " SELECT site, url, depth FROM depths",
     "deep_pages": _DEPTHS + " SELECT site, url, depth FROM depths WHERE depth > 3",
-    "inlinks": f"WITH {_LINKS_SQL} SELECT site, dst AS url, string_agg(DISTINCT src, ' ' ORDER BY src) AS inlinks FROM links WHERE src <> dst GROUP BY site, dst",
+    "inlinks": f"WITH {_LINKS_SQL} SELECT site, dst AS url, count(DISTINCT src) AS n_inlinks FROM links WHERE src <> dst GROUP BY site, dst",
+    "first_inlinks": f"WITH {_LINKS_SQL} SELECT site, dst AS url, min(src) AS source FROM links WHERE src <> dst GROUP BY site, dst",
     "orphans": f"WITH {_LINKS_SQL}, {table('maps', 'site, url', SITEMAP_PAGES)}, {table('sites', 'site, homepage, uncrawled', SITE_ROWS)} SELECT m.site, m.url FROM maps m JOIN sites s USING (site) WHERE uncrawled = 0 AND url <> homepage AND NOT EXISTS (SELECT 1 FROM links l WHERE l.site = m.site AND l.dst = m.url AND l.src <> l.dst)",
     "profile_detect": f"WITH {table('t', 'id, urls', PROFILE_URLS)}, {table('kinds', 'kind, pattern', graph.PROFILES)}, hits AS (SELECT id, kind, pos, url FROM (SELECT id, unnest(urls) AS url, generate_subscripts(urls, 1) AS pos FROM t) CROSS JOIN kinds WHERE regexp_matches(url, pattern)) SELECT id, kind, min_by(url, pos) AS url FROM hits GROUP BY id, kind",
 }
 
 QUERIES = {
     f.__name__: f
-    for f in (robots_parse, robots_sitemaps, robots_access_paths, bot_access_matrix, bot_points, sitemap_locs, llms_problems, jsonld_types, jsonld_summary, faq_mismatch, crawl_depth, deep_pages, inlinks, orphans, profile_detect, canonical_check, link_resolution)
+    for f in (robots_parse, robots_sitemaps, robots_access_paths, bot_access_matrix, bot_points, sitemap_locs, llms_problems, jsonld_types, jsonld_summary, faq_mismatch, crawl_depth, deep_pages, inlinks, first_inlinks, orphans, profile_detect, canonical_check, link_resolution)
 }

@@ -106,7 +106,9 @@ def test_rules_with_responses(spark):
     extra = spark.createDataFrame([("s.com", "sitemap_missing", [])], "site string, rule string, pages array<string>")
     found = {r.rule: r for r in rules.ranked(rules.issues(sited, extra)).collect()}
     assert {"broken_internal_links", "server_errors", "title_missing", "h1_missing", "lang_missing", "not_https", "sitemap_missing"} <= set(found)
-    assert found["broken_internal_links"].pages == ["http://s.com/x"] and found["server_errors"].pages == ["http://s.com/y"]
+    pages = {r.rule: r.url for r in rules.issue_pages(sited, extra).collect() if r.rule in ("broken_internal_links", "server_errors")}
+    assert pages == {"broken_internal_links": "http://s.com/x", "server_errors": "http://s.com/y"}
+    assert found["sitemap_missing"].n_pages == 0 and found["server_errors"].n_pages == 1
     ordered = sorted(found.values(), key=lambda r: r["rank"])
     assert [r.priority for r in ordered] == sorted((r.priority for r in ordered), reverse=True)
 
