@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import html, urls
-from auditloom.operators import facts, rules
+from auditloom.operators import artifacts, facts, rules
 from auditloom.plans.literals import quoted as q
+from auditloom.sources import lists
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,25 @@ def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.issue_pages(rules.by_site(_facts(spark, sf_dir))).select("site", "rule", "url")
 
 
+def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sited = rules.by_site(_facts(spark, sf_dir))
+    return artifacts.inventory(sited, rules.issue_pages(sited)).select("page_id", "title", "n_issues")
+
+
+def site_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overview file for each host; its homepage is the page with the least id."""
+    sited = rules.by_site(_facts(spark, sf_dir))
+    homes = sited.groupBy("site").agg(F.min_by(F.struct("title", "description", "url"), "ord").alias("h"))
+    names = homes.select("site", artifacts.guess_name(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("h.title")).alias("name"), F.col("h.description").alias("description"), F.col("h.url").alias("home"))
+    return artifacts.overview(sited, names)
+
+
+def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a batch scan's CSV file."""
+    scanned = facts.scan(_facts(spark, sf_dir), F.lit(4), F.lit(True), F.lit(False)).withColumn("status", F.lit(200))
+    return lists.csv_rows(artifacts.flat_rows(scanned.select("url", "status", "score", "grade", "h1_count", "h2_count", "word_count")))
+
+
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.page_hits(rules.by_site(_facts(spark, sf_dir))).groupBy("rule").agg(F.count("*").alias("n_pages"))
 
@@ -167,6 +187,8 @@ SQL = {
     "issues_ranked": ISSUES_SQL + "SELECT site, rule, category, severity, impact, effort, priority, quadrant, len(pages) AS n_pages FROM issues",
     "quadrant_counts": ISSUES_SQL + "SELECT v.quadrant, count(issues.rule) AS n FROM (VALUES ('Quick win'), ('Major project'), ('Fill-in'), ('Deprioritize')) v(quadrant) LEFT JOIN issues USING (quadrant) GROUP BY v.quadrant",
     "issue_pages": ISSUES_SQL + "SELECT site, rule, unnest(pages) AS url FROM issues",
+    "page_inventory": ISSUES_SQL + ", hit AS (SELECT url, count(DISTINCT rule) AS n FROM (SELECT rule, unnest(pages) AS url FROM issues) GROUP BY url) SELECT page_id, title, coalesce(n, 0) AS n_issues FROM facts LEFT JOIN hit USING (url)",
+    "scan_rows": SCORED_SQL + """SELECT CASE WHEN regexp_matches(url, '[",\n]') THEN '"' || replace(url, '"', '""') || '"' ELSE url END || ',200,' || score || ',' || CASE WHEN grade LIKE '%,%' THEN '"' || grade || '"' ELSE grade END || ',,,,,' || h1_count || ',' || h2_count || ',,,,,,,,,,,' || word_count || ',,,' AS line FROM graded""",
     "site_scores": ISSUES_SQL + """, touched AS (SELECT site, count(DISTINCT p) AS touched FROM (SELECT site, unnest(pages) AS p FROM issues WHERE severity = 'error') GROUP BY site),
 sums AS (SELECT site, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'notice') AS notices,
   count(*) FILTER (severity = 'error' AND len(pages) = 0) AS wide, coalesce(sum(impact * weight) FILTER (category IN ('AI access', 'Entity & schema', 'Content') OR rule IN ('js_rendered_shell', 'noindex')), 0) AS penalty FROM issues GROUP BY site)
@@ -182,4 +204,4 @@ FROM homes JOIN sums USING (site) LEFT JOIN touched USING (site)""",
     "thin_content": f"WITH {FACTS_SQL} SELECT page_id, word_count FROM facts WHERE word_count < 300",
 }
 
-QUERIES = {f.__name__: f for f in (scan_score, scan_grade_counts, page_facts_native, link_normalize, link_hosts, title_duplicates, title_length_issue, thin_content, issues_ranked, site_scores, quadrant_counts, issue_pages, rule_hits)}
+QUERIES = {f.__name__: f for f in (scan_score, scan_grade_counts, page_facts_native, link_normalize, link_hosts, title_duplicates, title_length_issue, thin_content, issues_ranked, site_scores, quadrant_counts, issue_pages, page_inventory, site_overviews, scan_rows, rule_hits)}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditloom.functions import html, scoring, urls, validation
-from auditloom.operators import facts, graph, jsonld, reports, rules
+from auditloom.operators import artifacts, facts, graph, jsonld, reports, rules
 from auditloom.plans import sites, texts
 from auditloom.sources import lists
 
@@ -136,3 +136,27 @@ def test_empty_tables(spark):
 def test_nulls(spark):
     row = facts.page_facts(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")).first()
     assert (row.title, row.word_count, row.h1_count) == ("", 0, 0)
+
+
+def test_artifacts(spark):
+    assert one(spark, artifacts.guess_name(F.lit(None).cast("string"), F.lit(" "), F.lit("Jane Author — Official"))) == "Jane Author"
+    assert one(spark, artifacts.robots_txt(F.lit("https://a.com"))).endswith("Sitemap: https://a.com/sitemap.xml")
+    assert '"@type":"Person"' in one(spark, artifacts.person_json(F.lit("https://a.com"), F.lit("J"), F.lit(""), F.array(F.lit("https://g.com"))))
+    assert '"name":"B"' in one(spark, artifacts.book_json(F.lit("https://a.com"), F.lit("B")))
+    assert one(spark, artifacts.model_source(F.lit("T"), F.lit(""), F.array(F.lit("b")), F.lit("x" * 9000))).startswith("Title: T\n\nBooks (structured data):\nb\n\nPage text:\nx")
+    files = spark.createDataFrame([("index.html",), ("a.html",), ("b/index.html",)], "file string")
+    asked = spark.createDataFrame([("/",), ("/a",), ("/b/",), ("/c",)], "path string")
+    assert [r.path for r in artifacts.sitemap_files(asked, files).collect()] == ["/c"]
+
+
+def test_overview_caps(spark):
+    rows = [(i, f"https://s.com/{'books' if i else ''}/{i}", f"<title>Title number {i}</title>") for i in range(20)] + [(30, "https://s.com/about", ""), (31, "https://s.com/privacy", "")]
+    sited = rules.by_site(facts.page_facts(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    names = spark.createDataFrame([("s.com", "Jane", "", "https://s.com/")], "site string, name string, description string, home string")
+    text = artifacts.overview(sited, names).first().text
+    assert text.count("/books/") == 15 and "## About" in text and "privacy" not in text and text.startswith("# Jane\n\n> The official pages of Jane.")
+
+
+def test_report_blocks(spark):
+    df = spark.createDataFrame([("s", 1, "a<b", "error", "Quick win", 2)], "site string, rank int, rule string, severity string, quadrant string, n_pages long")
+    assert "a&lt;b" in artifacts.report_html(df).first().html
