@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 SPACE = "▁"
-CACHED_CHUNKS = 150_000
-UNREACHED = -(1 << 62)
+CACHED_CHUNKS = 300_000
+UNREACHED, NONE = -(1 << 62), 1 << 62
 #: Scores are counted in millionths, as whole numbers, so that sums are exact and ties are real ties.
 UNIT = 1_000_000
 
@@ -88,14 +88,14 @@ class Vocabulary:
                 best[i + 2] = here + score
                 i += 2
                 continue
-            j = i + 1
-            while j <= n and (got := table.get(chunk[i:j])) is not None:
+            for j in range(i + 1, n + 1):
+                got = table.get(chunk[i:j])
+                if got is None:
+                    break
                 if got:
-                    ids, score = got
-                    into[j].append((i, ids, score))
-                    if here + score > best[j]:
-                        best[j] = here + score
-                j += 1
+                    into[j].append((i, *got))
+                    if here + got[1] > best[j]:
+                        best[j] = here + got[1]
             if not table.get(chunk[i]):
                 ids, score = self._fallback(" " if chunk[i] == SPACE else chunk[i])
                 into[i + 1].append((i, ids, score))
@@ -108,66 +108,76 @@ class Vocabulary:
         return raw, self.byte_score * len(raw)
 
 
-def nbest_chunk(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The n best segmentations of a chunk, (score, ids), best first; equal scores stand in a fixed order.
+def search(vocabulary: Vocabulary, chunk: str, n: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
+    """The n best segmentations of a chunk, best first, as (score, ids, loss of the next one); equal scores stand in a
+    fixed order, and the loss is NONE after the last.
 
     The forward Viterbi score of a prefix is an exact heuristic for the backward A* search, which adds it to the score
     of the suffix chosen so far. So paths leave the queue in the order of their scores. Entries of the queue
     stand for disjoint sets of paths, each with one of the score that it is queued by, so all but the best n can go."""
     best, into = vocabulary.lattice(chunk)
     queue: list[tuple] = [(-best[-1], 0, len(chunk), 0, ())]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    made = 0
-    while queue and len(found) < n:
+    made, room = 0, n
+    while queue and room:
         _, _, at, score, suffix = queue.pop(0)
         if at == 0:
             ids: tuple[int, ...] = ()
             while suffix:
                 part, suffix = suffix
                 ids += part
-            found.append((score, ids))
+            room -= 1
+            yield score, ids, queue[0][0] + score if queue else NONE
             continue
-        room = n - len(found)
         for start, ids, more in into[at]:
             cost = -(best[start] + more + score)
             if len(queue) < room or cost < queue[-1][0]:
                 made += 1
                 insort(queue, (cost, made, start, score + more, (ids, suffix)))
                 del queue[room:]
-    return found
 
 
 class Encoder:
-    """Encodes texts; keeps the results of chunks in two generations of at most CACHED_CHUNKS each. Ids are held
-    as bytes, four for each."""
+    """Encodes texts. Results of chunks are kept in two generations of at most CACHED_CHUNKS each: the best segmentation,
+    and what the next one loses against it. The others are searched for when they can matter, which is seldom.
+    Ids are held as bytes, four for each."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
-        self.vocabulary, self.n, self.cache, self.older = vocabulary, n, {}, {}
+        self.vocabulary, self.n, self.cache, self.older, self.others = vocabulary, n, {}, {}, {}
 
-    def _chunk(self, chunk: str) -> tuple:
-        """(best score, best ids, alternatives as (loss, ids))."""
+    def _chunk(self, chunk: str) -> tuple[int, bytes, int]:
         got = self.older.get(chunk)
         if got is None:
-            (top, ids), *others = nbest_chunk(self.vocabulary, chunk, self.n)
-            got = (top, array("i", ids).tobytes(), tuple((top - score, array("i", other).tobytes()) for score, other in others))
+            top, ids, loss = next(search(self.vocabulary, chunk, 2))
+            got = (top, array("i", ids).tobytes(), loss)
         if len(chunk) <= 64:
             if len(self.cache) >= CACHED_CHUNKS:
                 self.cache, self.older = {}, self.cache
             self.cache[chunk] = got
         return got
 
+    def _alternatives(self, chunk: str, top: int) -> list[tuple[int, bytes]]:
+        """(loss, ids) of all but the best."""
+        got = self.others.get(chunk)
+        if got is None:
+            found = list(search(self.vocabulary, chunk, self.n))
+            got = [(top - score, array("i", ids).tobytes()) for score, ids, _ in found[1:]]
+            if len(self.others) >= CACHED_CHUNKS // 8:
+                self.others.clear()
+            self.others[chunk] = got
+        return got
+
     def encode(self, text: str) -> list[tuple[int, bytes]]:
         """The n best segmentations of the text, best first. The text is a series of chunks, so a segmentation loses
         against the best one what its chunks lose. The n - 1 least losses of single chunks bound which of
         them can take part; subsets of those, with at most one for a chunk, give the n best."""
         if not text:
             return [(0, b"")]
-        parts, score, length, room, worst = [], 0, 0, self.n - 1, 1 << 62 if self.n > 1 else -1
+        parts, score, length, room, worst = [], 0, 0, self.n - 1, NONE if self.n > 1 else -1
         losses: list[tuple[int, int, int, bytes, int]] = []
         for chunk in self.vocabulary.chunk.findall(self.vocabulary.mark(text)):
-            top, own, others = self.cache.get(chunk) or self._chunk(chunk)
-            if others and others[0][0] < worst:
-                losses += [(loss, length, k, other, len(own)) for k, (loss, other) in enumerate(others)]
+            top, own, second = self.cache.get(chunk) or self._chunk(chunk)
+            if second < worst:
+                losses += [(loss, length, k, other, len(own)) for k, (loss, other) in enumerate(self._alternatives(chunk, top))]
                 losses.sort(key=lambda x: x[:3])
                 del losses[room:]
                 if len(losses) == room:
@@ -204,10 +214,13 @@ def encoder_for(model: bytes, n: int) -> Encoder:
     return _encoders[key]
 
 
-def decode_ids(vocabulary: Vocabulary, ids) -> str | None:
+def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     """The text of a sequence of ids; ids out of range and broken byte sequences are replaced by U+FFFD."""
     table = vocabulary.bytes_of
-    raw = b"".join([table[i] if 0 <= i < len(table) else b"\xef\xbf\xbd" for i in ids])
+    if ids and (min(ids) < 0 or max(ids) >= len(table)):
+        raw = b"".join([table[i] if 0 <= i < len(table) else b"\xef\xbf\xbd" for i in ids])
+    else:
+        raw = b"".join(map(table.__getitem__, ids))
     return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
 
@@ -217,40 +230,44 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text") -> DataFrame:
-    """docs without the text and with text and nbest: array<struct<score: double, ids: array<int>>>, best first.
+def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False) -> DataFrame:
+    """docs and nbest: array<struct<score: double, ids: array<int>>>, best first; with verify also lossless: whether the
+    best segmentation decodes to the text.
 
     Fewer than n segmentations come back where a text has fewer. An empty text has one, without pieces; a null
-    text has a null nbest. Every text decodes to itself. Repeated rows are encoded alike; an empty table stays empty;
-    a column of docs named nbest is replaced."""
+    text has a null nbest and lossless. Every text decodes to itself. Repeated rows are encoded alike; an empty table
+    stays empty; columns of docs with the names of the added ones are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "nbest"]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept))
-    place = kept.index(text_col)
+    added = ["nbest", "lossless"][: 1 + verify]
+    source = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    place = source.columns.index(text_col)
     kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(shared.value, n)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                flat, ends, scores, rows, known = bytearray(), array("i", [0]), [], array("i", [0]), []
+            for lo in range(0, whole.num_rows, 250):
+                batch = whole.slice(lo, 250)
+                flat, ends, scores, rows, known, same = bytearray(), array("i", [0]), [], array("i", [0]), [], []
                 for text in batch.column(place).to_pylist():
-                    for score, ids in encoder.encode(text) if text is not None else ():
+                    found = encoder.encode(text) if text is not None else []
+                    for score, ids in found:
                         flat += ids
                         ends.append(len(flat) // 4)
                         scores.append(score / UNIT)
                     rows.append(len(scores))
                     known.append(text is not None)
+                    if verify:
+                        same.append(decode_ids(encoder.vocabulary, array("i", found[0][1]).tolist()) == text if found else None)
                 ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
                 each = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), ids], ["score", "ids"])
                 offsets = pa.array(np.frombuffer(rows, np.int32), mask=np.append(~np.array(known, bool), False))
-                nbest = pa.ListArray.from_arrays(offsets, each)
-                yield pa.RecordBatch.from_arrays([*batch.columns, nbest.cast(kind)], [*batch.schema.names, "nbest"])
+                nbest = pa.ListArray.from_arrays(offsets, each).cast(kind)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[nbest, pa.array(same, pa.bool_())][: 1 + verify]], [*batch.schema.names, *added])
 
-    schema = T.StructType([*source.schema.fields, T.StructField("nbest", T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])))])
-    return source.mapInArrow(run, schema)
+    kinds = [T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])), T.BooleanType()]
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *(T.StructField(name, kind) for name, kind in zip(added, kinds, strict=False))]))
 
 
 def decoder(spark: SparkSession, model: bytes):
