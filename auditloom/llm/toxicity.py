@@ -196,16 +196,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     """Voters are the terms with the strongest association with the labels in a sample of at most bound labelled
     rows: lexicon entries (words) and patterns (beginnings of words), those aside that nearly repeat another.
     The label model turns the votes of the first `voters` into posterior labels, and a linear classifier over
-    the first `features` terms is trained on those. bound x terms bits come to the driver. Without labels of both kinds the model knows no term and scores 0.5 everywhere."""
+    the first `features` terms is trained on those (fewer of either where the sample is small). bound x terms bits come to the driver. Without labels of both kinds the model knows no term and scores 0.5 everywhere."""
     sample = stash(labelled_sample(docs, labels, label_col, modulus, held_out, bound, id_col, text_col).select("text", "y"), "sample")
-    mined = mine_terms(sample, terms, 5)
+    mined = mine_terms(sample, terms, 3)
     if not mined:
         return Model({}, 0.0)
     names = [t for t, _ in mined]
     votes, given = vote_matrix(sample, names)
-    apart = diverse(votes, features)
+    # a small sample doesn't bear as many estimates: ten rows for a feature, fifteen for a voter
+    apart = diverse(votes, min(features, max(20, len(votes) // 10)))
     names, votes = [names[j] for j in apart], votes[:, apart]
-    posterior = LabelModel().fit(votes[:, :voters], given)
+    posterior = LabelModel().fit(votes[:, : min(voters, max(10, len(votes) // 15))], given)
     weights, bias = fit_linear(votes, posterior)
     return Model({t: float(w) for t, w in zip(names, weights, strict=True) if w}, bias)
 
