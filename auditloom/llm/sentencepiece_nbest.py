@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 SPACE = "▁"
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000
 UNREACHED, NONE = -(1 << 62), 1 << 62
 #: Scores are counted in millionths, as whole numbers, so that sums are exact and ties are real ties.
 UNIT = 1_000_000
@@ -168,24 +168,27 @@ class Encoder:
 
     def encode(self, text: str) -> list[tuple[int, bytes]]:
         """The n best segmentations of the text, best first. The text is a series of chunks, so a segmentation loses
-        against the best one what its chunks lose. The n - 1 least losses of single chunks bound which of
-        them can take part; subsets of those, with at most one for a chunk, give the n best."""
+        against the best one what its chunks lose. Only alternatives among the n - 1 least losses can take part, so
+        only those of the n - 1 chunks that lose least are asked for; subsets of them, with at most one for a chunk,
+        give the n best."""
         if not text:
             return [(0, b"")]
-        parts, score, length, room, worst = [], 0, 0, self.n - 1, NONE if self.n > 1 else -1
-        losses: list[tuple[int, int, int, bytes, int]] = []
-        for chunk in self.vocabulary.chunk.findall(self.vocabulary.mark(text)):
-            top, own, second = self.cache.get(chunk) or self._chunk(chunk)
-            if second < worst:
-                losses += [(loss, length, k, other, len(own)) for k, (loss, other) in enumerate(self._alternatives(chunk, top))]
-                losses.sort(key=lambda x: x[:3])
-                del losses[room:]
-                if len(losses) == room:
-                    worst = losses[-1][0]
-            parts.append(own)
-            length += len(own)
-            score += top
-        ids = b"".join(parts)
+        chunks = self.vocabulary.chunk.findall(self.vocabulary.mark(text))
+        found = list(map(self.cache.get, chunks))
+        if None in found:
+            found = [got or self.cache.get(chunk) or self._chunk(chunk) for got, chunk in zip(found, chunks, strict=True)]
+        tops, parts, seconds = zip(*found, strict=True)
+        losses: list[tuple[int, int, int, bytes]] = []
+        waiting = list(seconds)
+        for _ in range(self.n - 1):
+            if (least := min(waiting)) == NONE:
+                break
+            at = waiting.index(least)  # of equal ones the first
+            waiting[at] = NONE
+            losses += [(loss, at, k, other) for k, (loss, other) in enumerate(self._alternatives(chunks[at], tops[at]))]
+        losses.sort(key=lambda x: x[:3])
+        del losses[self.n - 1 :]
+        score, ids = sum(tops), b"".join(parts)
         choices = []
         for size in range(len(losses) + 1):
             for some in combinations(losses, size):
@@ -194,11 +197,10 @@ class Encoder:
         choices.sort(key=lambda c: c[:3])
         out = [(score, ids)]
         for loss, _, _, some in choices[1 : self.n]:
-            pieces, at = [], 0
-            for _, start, _, other, size in sorted(some, key=lambda x: x[1]):
-                pieces += [ids[at:start], other]
-                at = start + size
-            out.append((score - loss, b"".join([*pieces, ids[at:]])))
+            pieces = list(parts)
+            for _, at, _, other in some:
+                pieces[at] = other
+            out.append((score - loss, b"".join(pieces)))
         return out
 
 
