@@ -1,0 +1,110 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the sets decide."""
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
+
+from auditloom.llm.common import connected_components, stash
+from auditloom.llm.simhash import LOWER, SPACE, UPPER
+
+# 6 minima a band, 32 bands: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^6)^32 = 0.9999
+BANDS, ROWS = 32, 6
+_RANDOM = np.random.default_rng(20)
+_FLIP, _TIMES, _MIX = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(3))
+_TIMES, _MIX = _TIMES | np.uint64(1), (_MIX | np.uint64(1)).reshape(BANDS, ROWS)
+#: Rounds in which a crowded bucket is compared with one of its nodes only, before what is left is compared with all.
+PIVOTS = 3
+
+
+@pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def _signed(hashes: pd.Series) -> pd.DataFrame:
+    """A hash of the set, and its band keys; a set without members has none."""
+    nodes, keys = [], []
+    for h in hashes:
+        u = np.unique(np.asarray(h, np.int64)).view(np.uint64)
+        nodes.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True))
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+        for lo in range(0, len(u), 1024):
+            least = np.minimum(least, ((u[lo : lo + 1024] ^ _FLIP[:, None]) * _TIMES[:, None]).min(axis=1))
+        keys.append((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64) if len(u) else [])
+    return pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "keys": keys})
+
+
+def _with_shingles(df: DataFrame, text: Column, width: int) -> DataFrame:
+    """df and the column _shingles: hashes of the shingles; a text of fewer words is one, a text of none has none."""
+    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPACE), lambda x: x != "")
+    some, w, n = df.withColumn("_words", words), F.col("_words"), F.size("_words")
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + k) for k in range(width)))))
+    found = F.when(n >= width, each).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
+    return some.withColumn("_shingles", found).drop("_words")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least `least`."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"_{x}")) for x in "ab")
+    both = pairs.distinct().join(a, "a").join(b, "b")
+    m, n = F.size("_a"), F.size("_b")
+    common = both.where(F.least(m, n) >= least * F.greatest(m, n)).withColumn("_common", F.size(F.array_intersect("_a", "_b")))
+    return common.where(F.col("_common") / (m + n - F.col("_common")) >= least).select("a", "b")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _components(members: DataFrame, sets: DataFrame, least: float, crowded: int) -> DataFrame:
+    """(node, component) of nodes with links. members: (key, node), each once. All pairs of a bucket of up to `crowded`
+    nodes are compared. A larger one is compared with one node of its largest component, which joins near copies of
+    one text in a few rounds; then each node still outside that component is compared with all of the bucket that
+    it isn't linked to. So no pair is left out; a crowded bucket of texts that aren't similar costs its square."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    few = members.join(sizes.where(F.col("n") <= crowded), "key").select("key", "node")
+    twos = few.join(few.withColumnRenamed("node", "other"), "key").where("node < other")
+    links = stash(_similar(twos.select(*_pair("node", "other")), sets, least), "links")
+    many = stash(members.join(sizes.where(F.col("n") > crowded), "key").select("key", "node"), "crowded")
+    linked = connected_components(links)
+    if many.isEmpty():
+        return linked
+    for turn in range(PIVOTS + 1):
+        placed = stash(many.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("at")), "placed")
+        parts = placed.groupBy("key", "at").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+        main = parts.groupBy("key").agg(F.max_by(F.struct("at", "pivot"), F.struct("n", "at")).alias("m")).select("key", F.col("m.at").alias("main"), F.col("m.pivot").alias("pivot"))
+        rest = stash(placed.join(main, "key").where("at <> main"), "rest")
+        if rest.isEmpty():
+            break
+        if turn < PIVOTS:
+            pairs = rest.select(*_pair("node", "pivot"))
+        else:
+            others = placed.select("key", F.col("node").alias("other"), F.col("at").alias("there"))
+            pairs = rest.join(others, "key").where("at <> there and (there = main or node < other)").select(*_pair("node", "other"))
+        links = stash(links.unionByName(_similar(pairs, sets, least)), "links")
+        linked = connected_components(links)
+    return linked
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, crowded: int = 64) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (nulls last; of equal ids the first read).
+    Texts are linked whose sets of shingles (width words, letters' size aside in ASCII, any white space between) have a
+    Jaccard similarity of at least `least`; a text of fewer words is one shingle; texts without words, and null texts,
+    are alike. Proposed pairs are decided on the sets (64-bit hashes); at similarity 0.8 one pair in 16,000 isn't proposed,
+    above it fewer. Texts of equal sets are one node. An empty table stays empty. Columns are those of docs, whatever
+    their names."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"))
+    text = F.col(f"_doc.`{text_col}`")
+    tagged = stash(_with_shingles(packed, text, width).withColumn("_s", _signed("_shingles")).select("_doc", "_id", "_row", F.col("_s.node").alias("_node"), F.col("_s.keys").alias("_keys")), "shingles")
+    dealt = tagged.select(F.explode("_keys").alias("key"), F.col("_node").alias("node"))
+    shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    members = stash(dealt.join(shared, "key", "left_semi").distinct(), "members")
+    reps = tagged.groupBy(F.col("_node").alias("node")).agg(F.min("_row").alias("_row")).join(members.select("node").distinct(), "node", "left_semi")
+    told = tagged.select("_row", "_node", text.alias("_text")).join(reps.select("_row"), "_row", "left_semi")
+    sets = stash(_with_shingles(told, F.col("_text"), width).select(F.col("_node").alias("node"), F.array_distinct("_shingles").alias("members")), "sets")
+    linked = _components(members, sets, least, crowded)
+    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
+    first = tagged.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first"))
+    stays = first.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first")).select(F.col("first.r").alias("_row"))
+    return tagged.join(stays, "_row", "left_semi").select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))

@@ -1,0 +1,74 @@
+"""The near-duplicate stage against all pairs' Jaccard similarity of five-word shingles."""
+
+import random
+import re
+
+import corpus_pipeline
+import pytest
+from auditloom.llm import shingle_dedup
+
+
+def shingles(text, width=5):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def kept(docs, least=0.8):
+    """The smallest id of each component."""
+    sets = {i: shingles(t) for i, t in docs}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) >= least):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {i for i in ids if top(i) == i}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for i in rng.sample(range(len(words)), edits):
+        words[i] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def texts():
+    """Copies with 0 to 9 of 300 words edited (similarity from under 0.75 to 1), in small families and a large one."""
+    rng = random.Random(5)
+    rows = []
+    for family in range(40):
+        words = [f"w{family}x{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [" ".join(words)] + [edited(rng, words, rng.randrange(10)) for _ in range(90 if family == 0 else 3)]
+    rows += [None, "", " \t", "one", "ONE", "a b c d", "a b  c d", "word " * 3000]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("crowded", [2, 64])
+def test_against_all_pairs(spark, crowded):
+    rows = texts()
+    out = shingle_dedup.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), crowded=crowded)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept(rows))
+
+
+def test_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    stage = corpus_pipeline.STAGES[2][1]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id for r in stage(spark, docs, sf_dir).collect()} == kept(rows)
+
+
+def test_columns_and_nulls(spark):
+    rows = [(2, "a b c d", "x"), (1, "a b c d", "y"), (None, "a b c d", "z"), (9, "quite another text here", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node string")
+    out = shingle_dedup.drop_similar(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 9]
+    assert shingle_dedup.drop_similar(df.limit(0)).count() == 0
