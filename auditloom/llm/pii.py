@@ -179,6 +179,24 @@ def _secret(f: Feistel, m: str) -> str | None:
     return head + _fill(m[len(head) :], _mixed(f, "".join(c for c in m[len(head) :] if c.isalnum()), "secret"))
 
 
+# The registered lengths of IBANs
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
+BREAK = re.compile(r"(?<=\w)(?=[ .-])")
+
+
+def _shorter(kind: str, match: str) -> list[str]:
+    """What to try of a match: all of it, then what ends at each break before, longest first, as words behind a value can
+    look like a part of it. Of an IBAN, the one that has its country's length comes first."""
+    if kind not in ("iban", "phone"):
+        return [match]
+    ends = [match] + [match[: m.start()] for m in reversed(list(BREAK.finditer(match)))]
+    return sorted(ends, key=lambda v: len(v.replace(" ", "")) != IBAN_LENGTHS.get(v[:2])) if kind == "iban" else ends
+
+
 #: Kind, pattern, and what validates a match and gives its pseudonym; tried in this order at each place.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])", _email),
@@ -189,7 +207,7 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<mark>[ -])\d{4}(?P=mark)\d{4}(?P=mark)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])", _card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3} ?\d{7,12}(?!\w)", _phone),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3} ?\d{7,12}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]\d{1,4}(?:[ .-]\d{2,4}){2,5}(?![\w-])|(?<![\w+.\-/])0\d(?:[ .-]\d{2}){4}(?![\w-])", _phone),
 )
 NUMBERS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS if kind not in ("email", "key", "secret")), re.ASCII)
 WORDS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS if kind in ("email", "key", "secret")), re.ASCII)
@@ -210,14 +228,16 @@ class Pseudonymiser:
         return self.known[kind, value]
 
     def _found(self, pattern: re.Pattern, text: str) -> list[tuple[int, int, str, str]]:
-        """Validated matches with their pseudonyms; after one that fails, the search goes on right behind its start."""
+        """Validated matches with their pseudonyms; after one that fails at every end, the search goes on right behind its start."""
         found, at = [], 0
         while m := pattern.search(text, at):
             kind = next(k for k in MAKERS if k in m.re.groupindex and m.group(k) is not None)
-            new = self._value(kind, m.group())
-            at = m.start() + 1 if new is None else m.end()
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+            at = m.start() + 1
+            for value in _shorter(kind, m.group()):
+                if (new := self._value(kind, value)) is not None:
+                    at = m.start() + len(value)
+                    found.append((m.start(), at, kind, new))
+                    break
         return found
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:

@@ -75,3 +75,25 @@ def test_query(spark, sf_dir):
         for email in re.findall(r"[\w.]+@[\w.]+\.com", texts[r.doc_id]):
             assert email not in r.text
     assert found > 0
+
+
+def test_values_before_capitals_and_digits():
+    ibans = ["AT61 1904 3002 3457 3201", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466", "DE89 3704 0044 0532 0130 00", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947"]
+    for iban in ibans:
+        alone = change(iban)[0]
+        assert alone != iban
+        for tail in (" BIC: X", " EUR", " 2024-01-01", " EUR 2024", " A1", " 12 AB", "."):
+            new, spans = change(iban + tail)
+            assert new.startswith(alone) and spans[0] == ("iban", 0, len(iban)), iban + tail
+    new, spans = change("BE68539007547034 4111 1111 1111 1111")
+    assert [k for k, _, _ in spans] == ["iban", "card"]
+
+
+def test_phone_groups():
+    for phone in ("+33 1 23 45 67 89", "(555)123-4567", "+1 (269) 555-3296", "01 23 45 67 89", "+49 30 12 34 56 78"):
+        alone = change(phone)[0]
+        for tail in ("", " x", ", 2024"):
+            new, spans = change(phone + tail)
+            assert new == alone + tail and alone != phone and spans == [("phone", 0, len(phone))], phone + tail
+    assert change("+33 1 23 45 67 89 1234 56")[1][0][0] == "phone"
+    assert not change("v 1.23.45.67.89 and 12 23 45 67 89")[1]
