@@ -119,13 +119,15 @@ def page_hits(sited: DataFrame, now: Column | None = None) -> DataFrame:
     """(site, ord, url, rule): one pass; the rules that a page breaks are filtered from an array and exploded."""
     ok = F.col("status").between(200, 299)
     sets = {"ok": ok, "content": ok & ~urls.path(F.col("url")).rlike(UTILITY_PATH), "all": F.lit(True)}
-    def alike(value: str) -> Column:
-        v = F.lower(F.trim(value))
-        # blanks don't count, and each forms a group of its own
-        group = W.partitionBy("site", v, F.when(v == "", F.col("ord")))
-        return F.when(v != "", F.count(F.when(ok, 1)).over(group)).otherwise(0)
-
-    with_counts = sited.withColumns({"_titles": alike("title"), "_descriptions": alike("description")})
+    # equal values are counted by an aggregate, which combines before the shuffle, and joined back; blanks don't count
+    values = {"_titles": F.lower(F.trim("title")), "_descriptions": F.lower(F.trim("description"))}
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), v.alias("v")) for name, v in values.items()))).alias("x")
+    counted = sited.where(ok).select("site", each).select("site", "x.*").where("v <> ''").groupBy("site", "name", "v").agg(F.count("*").alias("n")).where("n > 1")
+    with_counts = sited
+    for name, v in values.items():
+        some = counted.where(F.col("name") == name).select(F.col("site").alias("_site"), F.col("v").alias("_v"), F.col("n").alias(name))
+        with_counts = with_counts.withColumn("_value", v)
+        with_counts = with_counts.join(some, F.col("site").eqNullSafe(F.col("_site")) & (F.col("_value") == F.col("_v")), "left").drop("_site", "_v", "_value")
     tests = page_rules(F.current_timestamp() if now is None else now)
     hit = F.filter(F.array(*(F.when(sets[on] & test, F.lit(rule)) for rule, (on, test) in tests.items())), lambda r: r.isNotNull())
     return with_counts.select("site", "ord", "url", F.explode(hit).alias("rule"))
@@ -140,10 +142,10 @@ def site_hits(sited: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         return F.coalesce(F.bool_or(ok & test), F.lit(False))
 
     about = F.coalesce(F.bool_or(urls.path(F.col("url")).rlike("(?i)/(about|bio|author|meet)")), F.lit(False))
-    hosts = F.flatten(F.collect_set(F.when(ok, F.transform("hrefs", lambda h: urls.host(urls.resolve(h, F.col("url")))))))
+    hosts = F.transform("hrefs", lambda h: urls.host(urls.resolve(h, F.col("url"))))
 
     def linked(pattern: str) -> Column:
-        return F.when(F.exists(hosts, lambda h: h.rlike(pattern)), 1).otherwise(0)
+        return F.when(ever(F.exists(hosts, lambda h: h.rlike(pattern))), 1).otherwise(0)
 
     shops = linked(r"amazon\.[a-z.]+|amzn\.to") + linked(r"goodreads\.com") + linked(r"bookbub\.com")
     home = F.min_by("url", "ord")
