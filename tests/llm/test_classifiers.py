@@ -91,3 +91,10 @@ def test_words_of_long_texts(monkeypatch):
     text = "Alpha beta gamma " * 200
     monkeypatch.setattr(toxicity, "PIECE", 50)
     assert toxicity._words(text) == {"alpha", "beta", "gamma"}
+
+
+def test_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, "quality", 1000, 999, 3).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 3 and all(r.y == r.doc_id % 2 and int(r.text[5:]) % 4 == r.doc_id for r in rows)
