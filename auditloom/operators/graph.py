@@ -1,5 +1,7 @@
 """The crawl graph: depths, inlinks, orphans and profiles."""
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,13 +26,13 @@ PROFILES = (
 )
 
 
-def depths(links: DataFrame, homes: DataFrame, most: int = 100) -> DataFrame:
+def depths(links: DataFrame, homes: DataFrame, most: int | None = None) -> DataFrame:
     """(site, url, depth): how many links lead from a site's homepage to each page that they reach. A breadth-first
     search of all sites at once: each round joins the last level's pages with their links and keeps those not seen; it
-    ends with a round that finds nothing, or at depth most. links: (site, src, dst); homes: (site, url)."""
+    ends with a round that finds nothing, or, if most is given, at that depth. links: (site, src, dst); homes: (site, url)."""
     seen = checkpointed(homes.select("site", "url").distinct().withColumn("depth", F.lit(0)))
     level = seen
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         reached = level.select("site", F.col("url").alias("src")).join(links, ["site", "src"]).select("site", F.col("dst").alias("url")).distinct()
         level = checkpointed(reached.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
