@@ -135,7 +135,7 @@ def page_hits(sited: DataFrame, now: Column | None = None) -> DataFrame:
 
 def site_hits(sited: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """(site, rule, pages): rules about a site as a whole. extra: (site, rule, pages) of rules that need robots.txt,
-    sitemaps, probes or the link graph."""
+    sitemaps, probes or the link graph (site_rows.py); it may have several rows of a site and rule, each with other pages."""
     ok = F.col("status").between(200, 299)
 
     def ever(test: Column) -> Column:
@@ -165,7 +165,7 @@ def site_hits(sited: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         F.when(urls.scheme(F.col("home")) != "https", F.struct(F.lit("not_https").alias("rule"), none.alias("pages"))),
     )
     found = site.select("site", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("site", "r.*")
-    return found.unionByName(extra) if extra is not None else found
+    return found.unionByName(extra.select("site", "rule", "pages")) if extra is not None else found
 
 
 def issue_pages(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None) -> DataFrame:
@@ -180,10 +180,13 @@ def issues(sited: DataFrame, extra: DataFrame | None = None, now: Column | None
     category, severity, impact and effort of rules that depend on how far they are broken."""
     spark = sited.sparkSession
     counted = page_hits(sited, now).groupBy("site", "rule").agg(F.count("*").alias("n_pages"))
-    wide = site_hits(sited, extra).select("site", "rule", F.size("pages").cast("bigint").alias("n_pages"))
+    wide = site_hits(sited, extra).groupBy("site", "rule").agg(F.sum(F.size("pages")).alias("n_pages"))
     rows = [(i, r[0], *(overrides or {}).get(r[0], r[1:])) for i, r in enumerate(RULES, 1)]
     dim = spark.createDataFrame(rows, "rule_ord int, rule string, category string, severity string, impact int, effort int")
     found = counted.unionByName(wide).join(F.broadcast(dim), "rule")  # 46 fixed rows
+    if extra is not None and {"severity", "impact"} <= set(extra.columns):  # where a site's own facts decide
+        own = extra.where(F.col("severity").isNotNull()).select("site", "rule", F.col("severity").alias("_severity"), F.col("impact").alias("_impact")).distinct()
+        found = found.join(own, ["site", "rule"], "left").withColumns({"severity": F.coalesce("_severity", "severity"), "impact": F.coalesce("_impact", "impact")}).drop("_severity", "_impact")
     return found.withColumn("priority", scoring.priority(F.col("impact"), F.col("severity"), F.col("effort"))).withColumn("quadrant", scoring.quadrant(F.col("impact"), F.col("effort")))
 
 
