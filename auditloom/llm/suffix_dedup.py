@@ -5,6 +5,9 @@ singles out ("anchors": positions whose 16 bytes have the least hash in a window
 first window of the string picks the same anchor in both, so it is enough to compare strings at the same
 offsets from anchors. Ranks are given to positions in Spark: rows with the same rank and the same next block get the
 same new rank, the block's length doubles each round, and rows leave once they are unique.
+
+This is not prefix doubling: no rank is carried from level to level. Each level hashes the bytes at content-chosen anchors
+anew and groups by the hashes; where the text above speaks of ranks, those groups are meant.
 """
 
 import hashlib
