@@ -5,12 +5,14 @@ import math
 import re
 from array import array
 from bisect import insort
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 SPACE = "▁"
-CACHED_CHUNKS = 500_000
-UNREACHED, NONE = -(1 << 62), 1 << 62
+CACHED_CHUNKS, KEPT, PART = 500_000, 64, 2_000_000
+UNREACHED, NONE, NO_KEY = -(1 << 62), 1 << 62, np.uint64(2**64 - 1)
+#: Chunks up to these lengths are searched many at once, those of one range together.
+TOGETHER = (8, 12, 24)
 #: Scores are counted in millionths, as whole numbers, so that sums are exact and ties are real ties.
 UNIT = 1_000_000
 
@@ -48,9 +52,11 @@ class Vocabulary:
             raise ValueError("the vocabulary needs a piece for each byte")
         if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
             raise ValueError("a piece may have the space mark at its start only")
-        # each piece with its ids and score, and each beginning of one with an empty entry
-        self.table: dict[str, tuple] = {piece[:k]: () for piece in self.ids for k in range(1, len(piece))}
-        self.table |= {piece: ((i,), self.scores[i]) for piece, i in self.ids.items()}
+        # each piece with its score, which is below zero, and each beginning of one with zero
+        self.table: dict[str, int] = {piece[:k]: 0 for piece in self.ids for k in range(1, len(piece))}
+        self.table |= {piece: self.scores[i] for piece, i in self.ids.items()}
+        self.ends: dict[str, int] = {piece[k:]: 0 for piece in self.ids for k in range(1, len(piece))}
+        self.ends |= {piece: self.scores[i] for piece, i in self.ids.items()}
         self.chunk = self._cuts()
 
     def _cuts(self) -> re.Pattern:
@@ -73,86 +79,253 @@ class Vocabulary:
         own is none: it becomes a private character here, and bytes in the end."""
         return SPACE + text.replace("\ue000", "\ue000").replace(SPACE, "\ue000\ue001").replace(" ", SPACE)
 
-    def lattice(self, chunk: str) -> tuple[list[int], list[list[tuple[int, tuple[int, ...], int]]]]:
-        """(best, arcs): the forward Viterbi score of every prefix, and for each end position the arcs into it as
-        (start, ids, score)."""
-        table, n = self.table, len(chunk)
-        into: list[list] = [[] for _ in range(n + 1)]
+    def forward(self, chunk: str) -> list[int]:
+        """The Viterbi score of every beginning of the chunk."""
+        look, n = self.table.get, len(chunk)
         best = [0] + [UNREACHED] * n
         i = 0
         while i < n:
-            here = best[i]
-            if chunk[i] == "\ue000":  # a marked character and the one that tells which
-                ids, score = self._fallback(SPACE if chunk[i + 1] == "\ue001" else "\ue000")
-                into[i + 2].append((i, ids, score))
-                best[i + 2] = here + score
+            here, char = best[i], chunk[i]
+            if char == "\ue000":  # a marked character and the one that tells which
+                best[i + 2] = here + self._fallback(SPACE if chunk[i + 1] == "\ue001" else "\ue000")[1]
                 i += 2
                 continue
-            for j in range(i + 1, n + 1):
-                got = table.get(chunk[i:j])
+            j = i + 1
+            if not look(char) and (score := here + self._fallback(" " if char == SPACE else char)[1]) > best[j]:
+                best[j] = score
+            while j <= n:
+                got = look(chunk[i:j])
                 if got is None:
                     break
-                if got:
-                    into[j].append((i, *got))
-                    if here + got[1] > best[j]:
-                        best[j] = here + got[1]
-            if not table.get(chunk[i]):
-                ids, score = self._fallback(" " if chunk[i] == SPACE else chunk[i])
-                into[i + 1].append((i, ids, score))
-                best[i + 1] = max(best[i + 1], here + score)
+                if got and here + got > best[j]:
+                    best[j] = here + got
+                j += 1
             i += 1
-        return best, into
+        return best
+
+    def arcs_into(self, chunk: str, end: int) -> list[tuple[int, int]]:
+        """The arcs that end there, as (start, score), the longest first. They are looked up when the backward search
+        comes by, so a long chunk needs no more memory than its scores."""
+        if end > 1 and chunk[end - 2] == "\ue000":
+            return [(end - 2, self._fallback(SPACE if chunk[end - 1] == "\ue001" else "\ue000")[1])]
+        look, arcs, start, char = self.ends.get, [], end - 1, chunk[end - 1]
+        if not look(char):
+            arcs.append((start, self._fallback(" " if char == SPACE else char)[1]))
+        while start >= 0:
+            score = look(chunk[start:end])
+            if score is None:
+                break
+            if score:
+                arcs.append((start, score))
+            start -= 1
+        arcs.reverse()
+        return arcs
+
+    def piece_ids(self, chunk: str, places: list[int]) -> array:
+        """The ids of the pieces between neighbouring places."""
+        found = array("i")
+        for lo, hi in zip(places, places[1:], strict=False):
+            piece = chunk[lo:hi]
+            i = self.ids.get(piece)
+            if i is not None:
+                found.append(i)
+            elif piece[0] == "\ue000":
+                found.extend(self._fallback(SPACE if piece[1] == "\ue001" else "\ue000")[0])
+            else:
+                found.extend(self._fallback(" " if piece == SPACE else piece)[0])
+        return found
 
     def _fallback(self, char: str) -> tuple[tuple[int, ...], int]:
         raw = tuple(self.byte_ids[b] for b in char.encode())
         return raw, self.byte_score * len(raw)
 
 
-def search(vocabulary: Vocabulary, chunk: str, n: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
-    """The n best segmentations of a chunk, best first, as (score, ids, loss of the next one); equal scores stand in a
-    fixed order, and the loss is NONE after the last.
+def search(vocabulary: Vocabulary, chunk: str, n: int) -> Iterator[tuple[int, array]]:
+    """The n best segmentations of a chunk, best first, as (score, ids); equal scores stand in a fixed order.
 
     The forward Viterbi score of a prefix is an exact heuristic for the backward A* search, which adds it to the score
-    of the suffix chosen so far. So paths leave the queue in the order of their scores. Entries of the queue
-    stand for disjoint sets of paths, each with one of the score that it is queued by, so all but the best n can go."""
-    best, into = vocabulary.lattice(chunk)
+    of the suffix chosen so far. So paths leave the queue in the order of their scores, of equal ones the latest
+    entry first. Entries of the queue stand for disjoint sets of paths, each with one of the score that it is
+    queued by, so all but the best n can go."""
+    best = vocabulary.forward(chunk)
     queue: list[tuple] = [(-best[-1], 0, len(chunk), 0, ())]
     made, room = 0, n
     while queue and room:
-        _, _, at, score, suffix = queue.pop(0)
+        _, _, at, score, after = queue.pop(0)
+        after = (at, after)
         if at == 0:
-            ids: tuple[int, ...] = ()
-            while suffix:
-                part, suffix = suffix
-                ids += part
             room -= 1
-            yield score, ids, queue[0][0] + score if queue else NONE
+            places = []
+            while after:
+                at, after = after
+                places.append(at)
+            yield score, vocabulary.piece_ids(chunk, places)
             continue
-        for start, ids, more in into[at]:
+        for start, more in vocabulary.arcs_into(chunk, at):
             cost = -(best[start] + more + score)
-            if len(queue) < room or cost < queue[-1][0]:
-                made += 1
-                insort(queue, (cost, made, start, score + more, (ids, suffix)))
+            if len(queue) < room or cost <= queue[-1][0]:
+                made -= 1
+                insort(queue, (cost, made, start, score + more, after))
                 del queue[room:]
 
 
+def first(vocabulary: Vocabulary, chunk: str) -> tuple[int, array, int]:
+    """(score, ids, loss of the next best) of the first that search finds; the loss is NONE where there is no other.
+
+    On its way back along the best path the search queues each arc that leaves the path, by its exact score, so the
+    best of these is the second."""
+    best, arcs_into = vocabulary.forward(chunk), vocabulary.arcs_into
+    at = len(chunk)
+    total, second, after, places = best[at], UNREACHED, 0, [at]
+    while at:
+        top, where, step = UNREACHED, 0, 0
+        for start, more in arcs_into(chunk, at):
+            value = best[start] + more
+            if value >= top:
+                value, top, where, step = top, value, start, more
+            if value > UNREACHED and value + after > second:
+                second = value + after
+        at, after = where, after + step
+        places.append(at)
+    places.reverse()
+    return total, vocabulary.piece_ids(chunk, places), total - second if second != UNREACHED else NONE
+
+
+class Trie:
+    """The pieces letter by letter, as arrays that many chunks walk at once. Node 0 is the beginning; the step from a node by a
+    character is found in an open-addressing table."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        starts = sorted({piece[:k] for piece in vocabulary.ids for k in range(len(piece) + 1)})
+        node = {start: i for i, start in enumerate(starts)}
+        self.scores = np.array([vocabulary.table.get(start, 0) for start in starts], np.int64)
+        self.ids = np.array([vocabulary.ids.get(start, -1) for start in starts], np.int32)
+        self.longest = max(map(len, starts))
+        steps = np.array([node[x[:-1]] << 21 | ord(x[-1]) for x in starts[1:]], np.uint64)
+        bits = int(len(steps) * 4).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, NO_KEY, np.uint64), np.zeros(1 << bits, np.int32)
+        slots, todo = self._slots(steps), np.arange(len(steps))
+        while len(todo):
+            free = todo[self.keys[slots[todo]] == NO_KEY]
+            _, one = np.unique(slots[free], return_index=True)
+            placed = free[one]
+            self.keys[slots[placed]], self.targets[slots[placed]] = steps[placed], placed + 1
+            todo = np.setdiff1d(todo, placed)
+            slots[todo] = (slots[todo] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes one character on, or -1."""
+        keys = nodes.astype(np.uint64) << np.uint64(21) | chars.astype(np.uint64)
+        slots, out, todo = self._slots(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        while len(todo):
+            there = self.keys[slots[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.targets[slots[todo[hit]]]
+            todo = todo[~hit & (there != NO_KEY)]
+            slots[todo] = (slots[todo] + 1) & self.mask
+        return out
+
+    def first(self, chunks: list[str]) -> list[tuple[int, bytes, int] | None]:
+        """What the function first says of each chunk, all at once; None where the best path has a character without a piece.
+
+        Forward, position by position, the Viterbi scores of all chunks; the score of the piece of d characters from
+        a position stays in arcs. Then all chunks walk back together along their best paths."""
+        n, width = np.array([len(c) for c in chunks]), max(map(len, chunks))
+        chars = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width)
+        deep = min(width, self.longest)
+        arcs, pieces = (np.zeros((len(chunks), width, deep + 1), t) for t in (np.int64, np.int32))
+        best = np.full((len(chunks), width + 1), UNREACHED)
+        best[:, 0] = 0
+        bytes_of = np.searchsorted([0x80, 0x800, 0x10000], chars, "right") + 1
+        bytes_of[chars == ord(SPACE)] = 1
+        for i in range(width):
+            rows = np.flatnonzero(n > i)
+            nodes = np.zeros(len(rows), np.int32)
+            for d in range(1, min(deep, width - i) + 1):
+                if d > 1:
+                    on = n[rows] >= i + d
+                    rows, nodes = rows[on], nodes[on]
+                if not len(rows):
+                    break
+                nodes = self.step(nodes, chars[rows, i + d - 1])
+                known = nodes >= 0
+                scores, ids = np.where(known, self.scores[nodes], 0), np.where(known, self.ids[nodes], -1)
+                if d == 1:
+                    scores = np.where(scores == 0, self.vocabulary.byte_score * bytes_of[rows, i], scores)
+                arcs[rows, i, d], pieces[rows, i, d] = scores, ids
+                there = np.where(scores != 0, best[rows, i] + scores, UNREACHED)
+                best[rows, i + d] = np.maximum(best[rows, i + d], there)
+                rows, nodes = rows[known], nodes[known]
+        at, after = n.copy(), np.zeros(len(chunks), np.int64)
+        second, told = np.full(len(chunks), UNREACHED), np.ones(len(chunks), bool)
+        path, count = np.zeros((len(chunks), width), np.int32), np.zeros(len(chunks), np.int64)
+        rows, lengths = np.arange(len(chunks)), np.arange(1, deep + 1)
+        while len(rows):
+            start = at[rows, None] - lengths
+            arc = np.where(start >= 0, arcs[rows[:, None], start, lengths], 0)
+            value = np.where(arc != 0, best[rows[:, None], start] + arc, UNREACHED)
+            take, each = value.argmax(axis=1), np.arange(len(rows))  # of equal ones the shortest piece
+            value[each, take] = UNREACHED
+            other = value.max(axis=1)
+            second[rows] = np.maximum(second[rows], np.where(other == UNREACHED, UNREACHED, other + after[rows]))
+            piece = pieces[rows, start[each, take], take + 1]
+            told[rows] &= piece >= 0
+            count[rows] += 1
+            path[rows, width - count[rows]] = piece
+            after[rows] += arc[each, take]
+            at[rows] = start[each, take]
+            rows = rows[at[rows] > 0]
+        total = best[np.arange(len(chunks)), n]
+        loss = np.where(second == UNREACHED, NONE, total - second)
+        rows = zip(told.tolist(), total.tolist(), path, count.tolist(), loss.tolist(), strict=True)
+        return [(score, ids[width - k :].tobytes(), less) if sure else None for sure, score, ids, k, less in rows]
+
+
 class Encoder:
-    """Encodes texts. Results of chunks are kept in two generations of at most CACHED_CHUNKS each: the best segmentation,
-    and what the next one loses against it. The others are searched for when they can matter, which is seldom.
-    Ids are held as bytes, four for each."""
+    """Encodes texts. Results of chunks of up to KEPT characters, so of bounded size, are kept in two generations of at most
+    CACHED_CHUNKS each: the best segmentation, and what the next one loses against it. The others are searched for
+    when they can matter, which is seldom. Ids are held as bytes, four for each."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.vocabulary, self.n, self.cache, self.older, self.others = vocabulary, n, {}, {}, {}
 
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie(self.vocabulary)
+
+    def cut(self, text: str) -> list[str]:
+        return self.vocabulary.chunk.findall(self.vocabulary.mark(text))
+
+    def prepare(self, chunks: Iterable[str]) -> None:
+        """Searches for what the cache lacks, many chunks at once; the rest is left to the single search."""
+        todo: dict[int, list[str]] = {most: [] for most in TOGETHER}
+        for chunk in set(chunks):
+            if chunk not in self.cache and chunk not in self.older and len(chunk) <= TOGETHER[-1] and "\ue000" not in chunk:
+                todo[next(most for most in TOGETHER if len(chunk) <= most)].append(chunk)
+        for some in todo.values():
+            for lo in range(0, len(some), 5000):
+                part = some[lo : lo + 5000]
+                for chunk, got in zip(part, self.trie.first(part), strict=True):
+                    if got:
+                        self._keep(chunk, got)
+
+    def _keep(self, chunk: str, got: tuple[int, bytes, int]) -> None:
+        if len(self.cache) >= CACHED_CHUNKS:
+            self.cache, self.older = {}, self.cache
+        self.cache[chunk] = got
+
     def _chunk(self, chunk: str) -> tuple[int, bytes, int]:
         got = self.older.get(chunk)
         if got is None:
-            top, ids, loss = next(search(self.vocabulary, chunk, 2))
-            got = (top, array("i", ids).tobytes(), loss)
-        if len(chunk) <= 64:
-            if len(self.cache) >= CACHED_CHUNKS:
-                self.cache, self.older = {}, self.cache
-            self.cache[chunk] = got
+            top, ids, loss = first(self.vocabulary, chunk)
+            got = (top, ids.tobytes(), loss)
+        if len(chunk) <= KEPT:
+            self._keep(chunk, got)
         return got
 
     def _alternatives(self, chunk: str, top: int) -> list[tuple[int, bytes]]:
@@ -160,20 +333,21 @@ class Encoder:
         got = self.others.get(chunk)
         if got is None:
             found = list(search(self.vocabulary, chunk, self.n))
-            got = [(top - score, array("i", ids).tobytes()) for score, ids, _ in found[1:]]
-            if len(self.others) >= CACHED_CHUNKS // 8:
-                self.others.clear()
-            self.others[chunk] = got
+            got = [(top - score, ids.tobytes()) for score, ids in found[1:]]
+            if len(chunk) <= KEPT:
+                if len(self.others) >= CACHED_CHUNKS // 8:
+                    self.others.clear()
+                self.others[chunk] = got
         return got
 
-    def encode(self, text: str) -> list[tuple[int, bytes]]:
+    def encode(self, text: str, chunks: list[str] | None = None) -> list[tuple[int, bytes]]:
         """The n best segmentations of the text, best first. The text is a series of chunks, so a segmentation loses
         against the best one what its chunks lose. Only alternatives among the n - 1 least losses can take part, so
         only those of the n - 1 chunks that lose least are asked for; subsets of them, with at most one for a chunk,
         give the n best."""
         if not text:
             return [(0, b"")]
-        chunks = self.vocabulary.chunk.findall(self.vocabulary.mark(text))
+        chunks = chunks or self.cut(text)
         found = list(map(self.cache.get, chunks))
         if None in found:
             found = [got or self.cache.get(chunk) or self._chunk(chunk) for got, chunk in zip(found, chunks, strict=True)]
@@ -232,6 +406,16 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about PART bytes of text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False) -> DataFrame:
     """docs and nbest: array<struct<score: double, ids: array<int>>>, best first; with verify also lossless: whether the
     best segmentation decodes to the text.
@@ -249,11 +433,14 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", ve
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(shared.value, n)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 250):
-                batch = whole.slice(lo, 250)
+            for lo, hi in _parts(whole.column(place)):
+                batch = whole.slice(lo, hi - lo)
+                texts = batch.column(place).to_pylist()
+                cuts = [encoder.cut(text) if text else [] for text in texts]
+                encoder.prepare(chain.from_iterable(cuts))
                 flat, ends, scores, rows, known, same = bytearray(), array("i", [0]), [], array("i", [0]), [], []
-                for text in batch.column(place).to_pylist():
-                    found = encoder.encode(text) if text is not None else []
+                for text, chunks in zip(texts, cuts, strict=True):
+                    found = encoder.encode(text, chunks) if text is not None else []
                     for score, ids in found:
                         flat += ids
                         ends.append(len(flat) // 4)

@@ -1,13 +1,14 @@
 """N-best segmentation against all paths of the lattice, and exact round trips."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from auditloom.llm import queries
-from auditloom.llm.sentencepiece_nbest import Encoder, Vocabulary, decode_ids, decoder, encode, read_model
+from auditloom.llm.sentencepiece_nbest import NONE, Encoder, Trie, Vocabulary, decode_ids, decoder, encode, first, read_model, search
 
 MODEL = read_model(queries.PIECES)
 TEXTS = ["Hello  world\n x\tñ 你▁a \ue000b", "a", "  ", "\n\n x", "", "▁", "\ue000\ue001\ue002", "emoji 😀 and tabs\t\t", "³²·½ café", "x" * 300, " lead", "trail ", "a▁ b", "word.word,word"]
@@ -25,10 +26,21 @@ def ids(raw):
 def all_paths(vocabulary, text):
     """Every segmentation of the whole text, without cutting it into chunks."""
     marked = vocabulary.mark(text)
-    _, into = vocabulary.lattice(marked)
     paths = {0: [(0, ())]}
     for end in range(1, len(marked) + 1):
-        paths[end] = [(score + more, path + part) for start, part, more in into[end] for score, path in paths.get(start, [])]
+        found = []
+        for start in range(end):
+            piece = marked[start:end]
+            if piece in vocabulary.ids:
+                part = (vocabulary.ids[piece],)
+                more = vocabulary.scores[part[0]]
+            elif len(piece) == 1:
+                part = tuple(vocabulary.byte_ids[b] for b in piece.replace("▁", " ").encode())
+                more = vocabulary.byte_score * len(part)
+            else:
+                continue
+            found += [(score + more, path + part) for score, path in paths[start]]
+        paths[end] = found
     return paths[len(marked)]
 
 
@@ -44,6 +56,35 @@ def test_against_all_paths(vocabulary, n):
         assert all(decode_ids(vocabulary, ids(raw)) == text for _, raw in got)
 
 
+def test_first_is_the_search_s_first(vocabulary):
+    r = random.Random(9)
+    for _ in range(500):
+        chunk = "".join(r.choice("aeinst▁hñ你") for _ in range(r.randrange(1, 14)))
+        found = list(search(vocabulary, chunk, 2))
+        score, pieces, loss = first(vocabulary, chunk)
+        assert (score, pieces) == found[0] and loss == (found[0][0] - found[1][0] if len(found) > 1 else NONE)
+
+
+def test_many_at_once(vocabulary):
+    r = random.Random(10)
+    trie = Trie(vocabulary)
+    chunks = ["".join(r.choice("aeinst▁hñ你é😀 x9") for _ in range(r.randrange(1, 16))) for _ in range(2000)]
+    got = trie.first(chunks)
+    for chunk, told in zip(chunks, got, strict=True):
+        score, pieces, loss = first(vocabulary, chunk)
+        assert told is None or told == (score, pieces.tobytes(), loss)
+    assert sum(told is not None for told in got) > 500
+
+
+def test_long_runs_take_time_in_proportion(vocabulary):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    began = time.process_time()
+    found = Encoder(vocabulary, 3).encode(text)
+    assert time.process_time() - began < 20
+    assert len(found) == 3 and all(decode_ids(vocabulary, ids(raw)) == text for _, raw in found)
+
+
 def test_round_trips(vocabulary):
     encoder = Encoder(vocabulary, 4)
     for text in TEXTS:
