@@ -51,6 +51,23 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return Stash(df, label).df
 
 
+#: A key of over one in so many rows is hot; so there are fewer hot keys than that.
+HOT_SHARE = 1000
+
+
+def matched(rows: DataFrame, keyed: DataFrame, on: list[str], count_col: str) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in count_col the number of rows with it (or more).
+
+    Rows with hot keys stay where they are and get the hot part of keyed, which has fewer than HOT_SHARE rows whatever
+    the data, so no task gets all rows of such a key. The others are shuffled. rows should be a written table: it is read twice."""
+    least = rows.count() / HOT_SHARE
+    hot = keyed.where(F.col(count_col) > least)
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count_col) <= least), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node that links reach.
 

@@ -1,13 +1,15 @@
-"""Removal of long repeated byte strings by distributed prefix doubling on synchronised positions.
-
-A string of `length` bytes that starts in two places is found through the places that its own content
-singles out ("anchors": positions whose 16 bytes have the least hash in a window of WINDOW positions). The
-first window of the string picks the same anchor in both, so it is enough to compare strings at the same
-offsets from anchors. Ranks are given to positions in Spark: rows with the same rank and the same next block get the
-same new rank, the block's length doubles each round, and rows leave once they are unique.
-
-This is not prefix doubling: no rank is carried from level to level. Each level hashes the bytes at content-chosen anchors
-anew and groups by the hashes; where the text above speaks of ranks, those groups are meant.
+"""Removal of long repeated byte strings by distributed prefix doubling.
+
+Ranks are given to positions of the texts: equal strings have equal ranks, and ranks stand in the order in which Spark
+sorts pairs (rank of the shorter string, name of what the longer one adds; a name is a 64-bit hash). Each round takes
+longer strings, positions leave when they are unique, and the rounds end at `length` bytes.
+
+Which positions: a string of `length` bytes that starts in two places is found through the places that its own content
+singles out ("anchors": positions whose GRAM bytes have the least hash in a window of WINDOW positions). The first window of
+the string picks the same anchor in both, so strings at the same offset from anchors are compared and no others. For
+length 400 the strings compared have 136 bytes from the anchor, then 272 (the offset doubles), and then, as the next
+doubling would pass the threshold, 385, 397 and 400 bytes that also reach back from the anchor: all 128 starts before an anchor share
+the 272 bytes, 16 neighbouring ones 385, 4 of them 397.
 """
 
 import hashlib
@@ -21,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import Stash, stash
+from auditloom.llm.common import Stash, matched, stash
 
 GRAM = 16
 WINDOW = 128
 PIECE = 1 << 20
-#: Starts a group of `node` neighbouring starts is judged as a whole; undecided groups split to the next size.
+#: Neighbouring starts that are judged as a whole; undecided groups split to the next size.
 NODES = (WINDOW, 16, 4, 1)
+name_of = xxhash.xxh3_64_intdigest
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -40,58 +43,59 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values
 
 
-def anchors(text: bytes) -> np.ndarray:
-    """All positions whose gram has the least hash in some window of WINDOW positions; ties are all taken. Long
-    texts are read in overlapping pieces, which changes nothing, as a window lies in one piece whole."""
-    n = len(text) - GRAM + 1
-    if n < WINDOW:
-        return np.zeros(0, np.int64)
-    found = []
-    for lo in range(0, n - WINDOW + 1, PIECE):
-        part = text[lo : lo + PIECE + WINDOW + GRAM - 2]
-        m = len(part) - GRAM + 1
-        first, second = (np.ndarray((m,), "<u8", part, k, (1,)) for k in (0, 8))
+def anchors(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text all positions whose gram has the least hash in some window of WINDOW positions; ties are all taken.
+    Long texts are read in overlapping pieces, which changes nothing, as a window lies in one piece whole; short ones
+    are read together, and windows over their ends don't count."""
+    reach = WINDOW + GRAM - 1
+    pieces = [(n, lo, text[lo : lo + PIECE + reach - 1]) for n, text in enumerate(texts) for lo in range(0, max(len(text) - reach + 1, 0), PIECE)]
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    begin = 0
+    while begin < len(pieces):
+        end, size = begin, 0
+        while end < len(pieces) and (size < PIECE):
+            size += len(pieces[end][2])
+            end += 1
+        joined = b"".join(piece for _, _, piece in pieces[begin:end])
+        ends = np.cumsum([len(piece) for _, _, piece in pieces[begin:end]])
+        m = size - GRAM + 1
+        first, second = (np.ndarray((m,), "<u8", joined, k, (1,)) for k in (0, 8))
         h = first * np.uint64(0x9E3779B97F4A7C15) ^ (second * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
+        h |= np.uint64(1)  # zero marks windows over an end
         low = _slide(h, WINDOW, np.minimum)
-        high = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)])
-        found.append(np.flatnonzero(_slide(high, WINDOW, np.maximum) == h) + lo)
-    return np.unique(np.concatenate(found))
-
-
-def _node_hashes(around: bytes, mid: int, los, length: int, node: int) -> tuple[list[int], list[int], list[int | None]]:
-    """(los, cores, spans): for each lo the hash of the core that the strings of length starting at mid - lo - node + 1
-    ... mid - lo share, and of the span that they cover together (null where that leaves the text). A node
-    none of whose strings lies in the text is left out."""
-    kept, cores, spans = [], [], []
-    size, core_hash, span_hash = len(around), xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
-    for lo in los:
-        near = mid - lo
-        far = near - node + 1
-        end = far + length
-        if near < 0 or end > size:
-            continue
-        kept.append(lo)
-        cores.append(core_hash(around[near:end]))
-        spans.append(span_hash(around[far : near + length]) if far >= 0 and near + length <= size else None)
-    return kept, cores, spans
+        for e in ends[:-1].tolist():
+            low[max(e - reach + 1, 0) : e] = 0
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), WINDOW, np.maximum) == h)
+        bounds = np.searchsorted(at, ends)
+        lo = 0
+        for (n, offset, piece), hi, stop in zip(pieces[begin:end], bounds.tolist(), ends.tolist(), strict=True):
+            found[n].append(at[lo:hi] + (offset - stop + len(piece)))
+            lo = hi
+        begin = end
+    return [some[0] if len(some) == 1 else np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64) for some in found]
 
 
 def _signed(values: list) -> pa.Array:
-    """Unsigned 64-bit numbers, some of them null, as signed ones."""
+    """Unsigned 64-bit numbers as signed ones."""
     return pa.array(values, pa.uint64()).view(pa.int64())
 
 
+def _alone(row: int, at: int, lo: int) -> int:
+    """The name of what lies around strings at a text's edge, which no other node has."""
+    return xxhash.xxh64_intdigest(b"%d %d %d" % (row, at, lo), 1)
+
+
 def _texts(column: pa.Array) -> Iterator[bytes]:
     unpack = zstandard.ZstdDecompressor().decompress
     return (unpack(v.as_buffer()) for v in column)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, so that the two joins that bring them to their positions move less; and, for those
-    that nothing is removed from, their size and hash."""
-    pack = zstandard.ZstdCompressor(level=3).compress
+    """Texts as compressed bytes, so that the joins that bring them to their positions move less, their size and hash."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         whole = [v.as_buffer().to_pybytes() for v in batch.column(2)]
         more = [pa.array([pack(t) for t in whole], pa.binary()), pa.array([len(t) for t in whole], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in whole])]
@@ -99,34 +103,35 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tell(length: int):
-    """Per anchor: the hashes of the first node."""
-    names = ["row", "at", "core", "span"]
+    """Per anchor: the names of the first half of the core, of its second half, and of what lies around it in the strings that
+    begin in the WINDOW positions up to the anchor."""
+    half = (length - WINDOW) // 2
+    names = ["row", "at", "near", "next", "wings"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, counts, ats, cores, spans = [], [], [], [], []
-
-            def flush() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), counts)), pa.array(ats, pa.int32()), _signed(cores), _signed(spans)], names)
-                for x in (rows, counts, ats, cores, spans):
-                    x.clear()
-                return out
-
-            for row, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                before = len(ats)
-                for a in anchors(text).tolist():
-                    kept, core, span = _node_hashes(text, a, (0,), length, NODES[0])
-                    if kept:
-                        ats.append(a)
-                        cores += core
-                        spans += span
-                rows.append(row)
-                counts.append(len(ats) - before)
-                if len(ats) > 100_000:
-                    yield flush()
-            yield flush()
-
-    return run, "row bigint, at int, core bigint, span bigint"
+            rows, texts = batch.column(0).to_pylist(), batch.column(1)
+            lo = 0
+            while lo < len(rows):
+                hi, size, some = lo, 0, []
+                for text in _texts(texts.slice(lo)):
+                    some.append(text)
+                    hi, size = hi + 1, size + len(text)
+                    if size >= PIECE:
+                        break
+                counts, ats, near, after, wings = [], [], [], [], []
+                for row, text, at in zip(rows[lo:hi], some, anchors(some), strict=True):
+                    at = at[at - np.minimum(at, WINDOW - 1) + length <= len(text)].tolist()
+                    near += [name_of(text[a : a + half]) for a in at]
+                    after += [name_of(text[a + half : a + 2 * half]) for a in at]
+                    last = len(text) - length
+                    wings += [name_of(text[a - WINDOW + 1 : a] + text[a + 2 * half : a + length]) if WINDOW - 1 <= a <= last else _alone(row, a, 0) for a in at]
+                    ats += at
+                    counts.append(len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows[lo:hi], np.int64), counts)), pa.array(ats, pa.int32()), _signed(near), _signed(after), _signed(wings)], names)
+                lo = hi
+
+    return run, "row bigint, at int, near bigint, next bigint, wings bigint"
 
 
 def _contexts(length: int):
@@ -149,135 +154,149 @@ def _contexts(length: int):
     return run, "row bigint, at int, mid int, around binary"
 
 
-def _nodes(length: int, node: int):
-    """Rows (row, at, mid, around, los): each lo begins a node of the size before, whose parts get their hashes."""
-    size = NODES[NODES.index(node) - 1]
+def _nodes(length: int, size: int):
+    """Rows (row, at, mid, around, los, ranks): each lo begins a node of the size before, with its rank. Each part of it gets the names of
+    what its core adds to that node's core, and of what lies around its core. A part none of whose strings lies in
+    the text is left out."""
+    before = NODES[NODES.index(size) - 1]
+    shorter = length - before + (before < WINDOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 part = batch.slice(begin, 2000)
-                counts, los, cores, spans = [], [], [], []
-                for mid, around, firsts in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                    kept, core, span = _node_hashes(around, mid, [k for first in firsts for k in range(first, first + size, node)], length, node)
-                    counts.append(len(kept))
-                    los += kept
-                    cores += core
-                    spans += span
-                take = np.repeat(np.arange(part.num_rows), counts)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)), pa.array(los, pa.int32()), _signed(cores), _signed(spans)], ["row", "at", "lo", "core", "span"])
-
-    return run, "row bigint, at int, lo int, core bigint, span bigint"
-
-
-def _rank(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """The pairs of a shorter string's rank and the longer string's hash that occur in two places, in their order,
-    with a place of each. Counting is done before the shuffle as far as it goes, so a string that is
-    everywhere doesn't pile up in one task."""
-    placed = rows.withColumn("place", F.xxhash64("row", F.col("at") - F.col("lo")))
-    met = placed.groupBy(*keys).agg(F.min("place").alias("p0"), F.max("place").alias("p1"), *(F.first(c).alias(c) for c in ("row", "at", "lo")))
-    return stash(met.where("p0 <> p1").select(*keys, "row", "at", "lo").sort(*keys), label)
+                out: list[list[int]] = [[] for _ in range(6)]
+                for row, at, mid, around, firsts, given in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                    end = len(around)
+                    for first, rank in zip(firsts, given, strict=True):
+                        held = mid - first
+                        for lo in range(first, first + before, size):
+                            near = mid - lo
+                            far = near - size + 1
+                            if near < 0 or far + length > end:
+                                continue
+                            inside = far >= 0 and near + length <= end
+                            wings = name_of(around[far:near] + around[far + length : near + length]) if inside else _alone(row, at, lo)
+                            for column, v in zip(out, (row, at, lo, rank, name_of(around[near:held] + around[held + shorter : far + length]), wings), strict=True):
+                                column.append(v)
+                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), _signed(out[4]), _signed(out[5])]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "at", "lo", "rank", "name", "wings"])
+
+    return run, "row bigint, at int, lo int, rank bigint, name bigint, wings bigint"
+
+
+def _ranks(counted: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """counted (one row for each string that occurs more than once) sorted by its keys, with its place in that order."""
+    return stash(counted.sort(*keys).withColumn("new", F.monotonically_increasing_id()), label)
+
+
+def _judge(rows: DataFrame) -> DataFrame:
+    """rows (row, at, lo, rank, name, wings): those whose core is in two places, with its rank, whether the node is whole (what lies around its core repeats too),
+    and whether it has to be split: if it isn't whole, or as the one whole node of its kind beside others of another
+    kind, so that none of their starts lacks its partner."""
+    core, kind = ["rank", "lo", "name"], ["rank", "lo", "name", "wings"]
+    kinds = Stash(rows.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")), "kinds")
+    ranks = _ranks(kinds.df.groupBy(*core).agg(F.sum("n").alias("places"), F.count("*").alias("kinds")).where("places > 1"), core, "ranks")
+    told = Stash(matched(kinds.df, ranks.select(*core, "new", "kinds"), core, "kinds"), "told")
+    kinds.drop()
+    split = (F.col("kinds") > 1) & ((F.col("n") == 1) | ((F.col("one.row") == F.col("row")) & (F.col("one.at") == F.col("at"))))
+    judged = matched(rows, told.df, kind, "n").select("row", "at", "lo", F.col("new").alias("rank"), (F.col("n") > 1).alias("whole"), split.alias("split"))
+    out = stash(judged, "judged")
+    told.drop()
+    return out
 
 
 def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     """(row, first, last): ranges of positions at which a string of length bytes starts that also starts elsewhere;
     texts has (row, packed). All such positions are covered; ranges may overlap.
 
-    Starts are judged in nodes that lie side by side before an anchor, at first WINDOW of them. If the span of a
-    node, which covers all of its strings, repeats, all of its starts do; if the core that its strings share
-    doesn't, none does; else the node is split. With an undecided node, one node of each different repeated span
-    over the same core is split too, so that no start lacks its partner. From level to level the compared strings
-    grow from length - WINDOW + 1 to length; a row takes part in the next only while it isn't unique.
+    A node is a group of neighbouring starts before an anchor. If the span that covers all of its strings repeats, all of
+    its starts do; if the core that they share doesn't, none does; else the node is split. length must be at least
+    2 * WINDOW + GRAM and even; else ValueError.
     """
-    if WINDOW + GRAM > length - WINDOW:
-        raise ValueError(f"length must be at least {2 * WINDOW + GRAM}")
+    if WINDOW + GRAM > length - WINDOW or length % 2:
+        raise ValueError(f"length must be even and at least {2 * WINDOW + GRAM}")
     run, schema = _tell(length)
-    held = Stash(texts.select("row", "packed").mapInArrow(run, schema), "anchors")
-    rows = held.df.withColumn("lo", F.lit(0))
+    told = Stash(texts.select("row", "packed").mapInArrow(run, schema), "anchors")
+    ranks = _ranks(told.df.groupBy("near").count().where("count > 1"), ["near"], "ranks")
+    held = Stash(matched(told.df, ranks, ["near"], "count").select("row", "at", F.lit(0).alias("lo"), F.col("new").alias("rank"), F.col("next").alias("name"), "wings"), "pairs")
+    told.drop()
     contexts, found = None, []
-    for node, smaller in zip(NODES, (*NODES[1:], None), strict=True):
-        # the core first: in a level, most rows end there
-        cores = rows.groupBy("core").agg(F.min(F.xxhash64("row", F.col("at") - F.col("lo"))).alias("p0"), F.max(F.xxhash64("row", F.col("at") - F.col("lo"))).alias("p1")).where("p0 <> p1").select("core")
-        kept = Stash(rows.join(cores, "core"), "alike") if node > 1 else held
-        if kept is not held:
-            held.drop()
-        alike = kept.df if kept is not held else rows
-        ranks = _rank(alike.where("span is not null"), ["core", "span"], "ranks")
-        whole = ranks.select("core", "span", F.lit(True).alias("whole"))
-        judged = alike.join(whole, ["core", "span"], "left")
-        judged = stash(judged.select("row", "at", "lo", "core", F.coalesce("whole", F.lit(False)).alias("whole")), "judged")
-        kept.drop()
-        first = F.col("at") - F.col("lo") - node + 1
-        found.append(judged.where("whole").select("row", first.alias("first"), (F.col("at") - F.col("lo")).alias("last")))
+    for size, smaller in zip(NODES, (*NODES[1:], None), strict=True):
+        judged = _judge(held.df)
+        held.drop()
+        start = F.col("at") - F.col("lo")
+        found.append(judged.where("whole").select("row", (start - size + 1).alias("first"), start.alias("last")))
         if smaller is None:
             break
-        undecided = judged.where("not whole").select("row", "at", "lo", "core")
-        partners = ranks.join(undecided.select("core").distinct(), "core", "left_semi").select("row", "at", "lo", "core")
-        split = undecided.unionByName(partners).groupBy("row", "at").agg(F.collect_set("lo").alias("los"))
+        split = judged.where("split").groupBy("row", "at").agg(F.collect_list(F.struct("lo", "rank")).alias("parts"))
         if contexts is None:
             split = stash(split, "split")
             listed = split.groupBy("row").agg(F.collect_list("at").alias("listed"))  # one document's own
             run, schema = _contexts(length)
             contexts = stash(texts.select("row", "packed").join(listed, "row").select("row", "packed", "listed").mapInArrow(run, schema), "contexts")
-            opened = contexts.withColumn("los", F.array(F.lit(0)))
-        else:
-            opened = contexts.join(split, ["row", "at"])
         run, schema = _nodes(length, smaller)
-        held = Stash(opened.select("row", "at", "mid", "around", "los").mapInArrow(run, schema), "nodes")
-        rows = held.df
+        opened = contexts.join(split, ["row", "at"]).select("row", "at", "mid", "around", F.col("parts.lo"), F.col("parts.rank"))
+        held = Stash(opened.mapInArrow(run, schema), "nodes")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _cut(length: int):
-    """Per document: removed bytes, runs, and what is left."""
-    schema = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
+def _cut(length: int, schema: pa.Schema):
+    """Per text (row's id, packed, n_bytes, sha, starts as first * 2^32 + last): removed bytes, runs, and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for row, text, starts in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for s in sorted(starts or (), key=lambda s: (s["first"], s["last"])):
-                    lo, hi = s["first"], s["last"] + length
-                    if runs and lo <= runs[-1][1]:
-                        runs[-1][1] = max(hi, runs[-1][1])
-                    else:
-                        runs.append([lo, hi])
-                left, at = hashlib.sha256(), 0
-                for lo, hi in runs:
-                    left.update(text[at:lo])
-                    at = hi
-                left.update(text[at:])
-                for name, v in (("row", row), ("n_removed", sum(hi - lo for lo, hi in runs)), ("spans", [{"start": lo, "end": hi} for lo, hi in runs]), ("kept_sha256", left.hexdigest())):
-                    out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema)
-
-    return run, "row bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
+            removed, counts, froms, tos, shas, kept = [], [], [], [], [], []
+            for text, sha, starts in zip(_texts(batch.column(1)), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if not starts.is_valid:
+                    removed.append(0)
+                    counts.append(0)
+                    shas.append(sha)
+                    kept.append(text.decode(errors="replace"))
+                    continue
+                pairs = np.sort(starts.values.to_numpy())
+                lo, hi = pairs >> 32, np.maximum.accumulate((pairs & 0xFFFFFFFF) + length)
+                new = np.append(True, lo[1:] > hi[:-1])
+                lo, hi = lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)]
+                left = b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True))
+                removed.append(len(text) - len(left))
+                counts.append(len(lo))
+                froms.append(lo)
+                tos.append(hi)
+                shas.append(hashlib.sha256(left).hexdigest())
+                kept.append(left.decode(errors="replace"))
+            ends = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (froms, tos)]
+            spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays(ends, ["start", "end"]))
+            columns = [batch.column(0), batch.column(2), pa.array(removed, pa.int64()), spans, pa.array(shas, pa.string()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, spans (start, end in bytes), kept_sha256 of the rest.
+    """One row per row of docs: id, n_bytes, n_removed, spans (start, end in bytes), kept_sha256 of the rest, and the rest as
+    kept_text (bytes of a character that was cut through are replaced by U+FFFD there).
 
     Removed is each byte covered by a string of length bytes that starts in at least one other place, of the
     same or another document. Null texts are empty; texts shorter than length lose nothing; repeated rows are
-    places of their own, so copies of at least length bytes vanish whole. Ids may be null or repeat. Other
-    columns are ignored; an empty table gives an empty result.
+    places of their own, so copies of at least length bytes vanish whole (one of them stands for all in the search).
+    Ids may be null or repeat. Other columns are ignored; an empty table gives an empty result. length must be even
+    and at least 272.
     """
     whole = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = T.StructType([T.StructField("row", T.LongType()), whole.schema["_id"], T.StructField("packed", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.StringType())])
+    known = whole.schema["_id"]
+    kind = T.StructType([T.StructField("row", T.LongType()), known, T.StructField("packed", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.StringType())])
     texts = stash(whole.mapInArrow(_pack, kind), "texts")
-    starts = repeated_starts(texts, length)
-    told = stash(starts.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "starts")
-    run, schema = _cut(length)
-    cut = texts.select("row", "packed").join(told, "row").select("row", "packed", "starts").mapInArrow(run, schema)
-    plain = texts.select("row", "_id", "n_bytes", "sha")
-    return plain.join(cut, "row", "left").select(
-        F.col("_id").alias(id_col),
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-    )
+    long = texts.where(F.col("n_bytes") >= length)
+    groups = stash(long.groupBy("sha").agg(F.min("row").alias("first_row"), F.count("*").alias("n")), "groups")
+    apart = long.select("row", "packed").join(groups.select(F.col("first_row").alias("row")), "row")
+    starts = repeated_starts(apart, length)
+    copies = matched(long.select("row", "sha", "n_bytes"), groups.where("n > 1").select("sha", "n"), ["sha"], "n")
+    starts = starts.unionByName(copies.select("row", F.lit(0).alias("first"), (F.col("n_bytes") - length).alias("last")))
+    told = starts.groupBy("row").agg(F.collect_list(F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("last")).alias("starts"))
+    fields = [known, *(T.StructField(c, t) for c, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())))]
+    joined = texts.join(told, "row", "left").select("_id", "packed", "n_bytes", "sha", "starts")
+    return joined.mapInArrow(_cut(length, [f.name for f in fields]), T.StructType(fields)).withColumnRenamed("_id", id_col)

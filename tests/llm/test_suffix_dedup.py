@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from auditloom.llm import queries, suffix_dedup
+from auditloom.llm import common, queries, suffix_dedup
 
 
 def expected(texts, length):
@@ -78,6 +78,30 @@ def test_empty_and_bounds(spark):
 def test_anchors_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     r = random.Random(8)
     text = words(r, 3000).encode()
-    whole = suffix_dedup.anchors(text).tolist()
+    whole = suffix_dedup.anchors([text])[0].tolist()
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
-    assert suffix_dedup.anchors(text).tolist() == whole
+    assert suffix_dedup.anchors([text])[0].tolist() == whole
+
+
+def test_anchors_of_texts_do_not_depend_on_neighbours():
+    r = random.Random(9)
+    texts = [words(r, n).encode() for n in (0, 3, 40, 500, 25, 26, 27, 90)] + [b"", b"a" * 900, b"a" * 142, b"a" * 143]
+    assert [a.tolist() for a in suffix_dedup.anchors(texts)] == [suffix_dedup.anchors([t])[0].tolist() for t in texts]
+    for text, found in zip(texts, suffix_dedup.anchors(texts), strict=True):
+        assert len(text) < 143 or len(found)
+
+
+def test_hot_keys_match_as_others_do(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    r = random.Random(10)
+    base = words(r, 120)
+    texts = [base[r.randrange(60) : len(base) - r.randrange(60)] for _ in range(12)] + [base] * 3 + ["a" * 900]
+    assert run(spark, texts) == expected([t.encode() for t in texts], 400)
+
+
+def test_kept_text(spark):
+    r = random.Random(11)
+    passage = words(r, 120)
+    df = spark.createDataFrame([(1, "é" + passage + " one"), (2, "two " + passage), (3, None)], "doc_id long, text string")
+    got = {x.doc_id: x.kept_text for x in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {1: "é one", 2: "two ", 3: ""}
