@@ -147,6 +147,8 @@ def _ip(f: Feistel, m: str) -> str | None:
 
 
 def _date(f: Feistel, m: str) -> str | None:
+    """Day-first dates, and those with the year first, are permuted among all dates; month-first ones that can't be
+    read day-first among the dates whose day is over 12, which can't either. So no two strings of a format meet."""
     a, mark, b, _, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)", m).groups()
     orders = [("y", "m", "d")] if len(a) == 4 else [("d", "m", "y"), ("m", "d", "y")]
     for order in orders:
@@ -156,18 +158,29 @@ def _date(f: Feistel, m: str) -> str | None:
         except ValueError:
             continue
         if FIRST_DAY <= day <= LAST_DAY:
-            new = date.fromordinal(FIRST_DAY + f.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+            days = LAST_DAY - FIRST_DAY + 1
+            if order[0] == "m":
+                moved = f.permute(day - FIRST_DAY, days, "month-first", lambda x: date.fromordinal(FIRST_DAY + x).day > 12)
+            else:
+                moved = f.permute(day - FIRST_DAY, days, "date")
+            new = date.fromordinal(FIRST_DAY + moved)
             value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
             return mark.join(value[k] for k in order)
     return None
 
 
+def _recased(text: str, like: str) -> str:
+    return "".join(c.upper() if o.isupper() else c for c, o in zip(text, like, strict=True))
+
+
 def _email(f: Feistel, m: str) -> str | None:
+    """The permutation doesn't see capitals, so an address keeps its pseudonym however it is written; they are put back."""
     local, _, domain = m.rpartition("@")
     host, dot, end = domain.rpartition(".")
     plain = "".join(c for c in local if c.isalnum())
     hidden = "".join(c for c in host if c.isalnum())
-    return _fill(local, _mixed(f, plain, "email")) + "@" + _fill(host, _mixed(f, hidden, "host")) + dot + end
+    moved, other = _recased(_mixed(f, plain.lower(), "email"), plain), _recased(_mixed(f, hidden.lower(), "host"), hidden)
+    return _fill(local, moved) + "@" + _fill(host, other) + dot + end
 
 
 def _key(f: Feistel, m: str) -> str | None:
@@ -269,7 +282,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col:
     passes it too), IBANs (mod 97, before and after), phone numbers, social security numbers and IPv4 addresses in
     their valid ranges, calendar dates from 1900 to 2099, mail addresses, access keys, and values assigned to a password
     or token. Separators, lengths and character classes stay. Each kind has one keyed permutation, so a value has the
-    same pseudonym in every document, and two values have two. What fails validation stays as it is. A null text stays
+    same pseudonym in every document, and two values of one format have two; mail addresses are equal whatever the size of
+    their letters. What fails validation stays as it is. A null text stays
     null, with null spans; empty texts have none; repeated rows change alike; an empty table stays empty. A column
     of docs named spans_col is replaced.
     """

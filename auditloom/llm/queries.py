@@ -81,10 +81,9 @@ URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """labels speak of ids; a page takes the label of its own id, and is bad if that says low quality or toxic."""
-    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    """The table labels speaks of documents, not of URLs; so the pages that a listed rule fits are the labelled ones."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge_urls(pages, labels, URL_RULES)
+    return url_filter.judge_urls(pages, url_filter.listed_labels(pages, URL_RULES), URL_RULES)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

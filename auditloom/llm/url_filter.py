@@ -53,23 +53,27 @@ def url_items(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_items: int) -> DataFrame:
-    """(rule_id, items, confidence, lift, support, rarest) from rows (items, bad). Kept are rules
-    items -> bad with at most max_items items, the confidence and support asked for and a lift over 1, and of
-    those the ones that are not a narrower case of another with at least the same confidence.
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float = 1.0, min_rows: int = 1) -> DataFrame:
+    """(rule_id, items, confidence, lift, support, rarest) from rows (items, bad). Kept are rules items -> bad with the support,
+    confidence and lift asked for that hold in at least min_rows rows, and of those the ones that are not a narrower
+    case of another with at least the same confidence. Items of all rows tell nothing and are left out.
 
     Their number is bounded by the support: at most 1/min_support * (items in a URL) itemsets of each size."""
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= max_items) & (F.col("lift") > 1))
+    n = labelled.count()
+    common = F.broadcast(labelled.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") == n).agg(F.collect_set("item").alias("_common")))  # in every URL, so at most as many as one URL has
+    some = labelled.crossJoin(common).withColumn("items", F.array_except("items", "_common"))
+    baskets = some.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / max(n, 1)), minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") > 1) & (F.col("lift") >= min_lift))
     single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("item"), "freq")
-    found = stash(found.select(F.array_sort("antecedent").alias("items"), "confidence", "lift", "support"), "rules")
+    found = found.select(F.array_sort("antecedent").alias("items"), "confidence", "lift", "support")
     parts = found.select("items", F.explode("items").alias("item")).join(single, "item").groupBy("items").agg(F.min_by("item", F.struct("freq", "item")).alias("rarest"))
-    # a broader rule lacks at least one of the items and is as sure; it is found by the item that it starts with
-    by_first = found.select(F.col("items").alias("wide"), F.col("items")[0].alias("item"), F.col("confidence").alias("sure"))
-    narrower = found.select("items", "confidence", F.explode("items").alias("item")).join(by_first, "item")
+    found = stash(found.join(parts, "items"), "rules")
+    # a broader rule lacks at least one of the items and is as sure; it is found by its rarest item
+    broad = found.select(F.col("items").alias("wide"), F.col("rarest").alias("item"), F.col("confidence").alias("sure"))
+    narrower = found.select("items", "confidence", F.explode("items").alias("item")).join(broad, "item")
     narrower = narrower.where((F.size("wide") < F.size("items")) & (F.size(F.array_except("wide", "items")) == 0) & (F.col("sure") >= F.col("confidence"))).select("items").distinct()
-    kept = found.join(narrower, "items", "left_anti").join(parts, "items")
+    kept = found.join(narrower, "items", "left_anti")
     return stash(kept.select(F.sha2(F.array_join("items", " "), 256).alias("rule_id"), "items", "confidence", "lift", "support", "rarest"), "kept-rules")
 
 
@@ -83,22 +87,32 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("_row").agg(best).select("_row", "best.*")
 
 
+def listed_labels(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id, bad): what the listed rules say of the pages that they fit. So the mined rules carry their verdicts on to URLs of
+    the same kind that no listed rule fits."""
+    _, verdict = listed_rule(*split_url(F.col(url_col)), rules)
+    return pages.select(F.col(id_col).alias("id"), (verdict == "block").alias("bad")).where("id is not null and bad is not null")
+
+
 def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]],
     id_col: str = "page_id",
     url_col: str = "url",
-    min_support: float = 0.005,
-    min_confidence: float = 0.6,
-    max_items: int = 4,
-    min_rows: int = 20,
+    min_support: float = 0.01,
+    min_confidence: float = 0.8,
+    min_lift: float = 1.2,
+    min_rows: int = 5,
+    bound: int = 100_000,
 ) -> DataFrame:
     """One row for each row of pages: id, host, path, rule, verdict, mined_rule, confidence.
 
     A listed rule decides where one fits. Elsewhere a page is blocked if a mined rule fits, else allowed.
     labels has (id, bad): null bad and ids without a page don't count; several labels of an id: bad if one
-    says so. A rule's support is at least min_support of the labelled pages and min_rows of them. With fewer than min_rows bad pages no rule is mined. Null or malformed urls have an empty host and path
+    says so. Rules are mined from about `bound` labelled pages (all whose hash falls in the share that gives so many), and must
+    hold in min_support of them and in min_rows pages, be right in min_confidence of the cases, and be so min_lift times as often as
+    labelled pages are bad at all. Null or malformed urls have an empty host and path
     and no items, so they are allowed. Repeated rows each get a row; columns besides id and url are ignored.
     """
     host, path = split_url(F.col(url_col))
@@ -106,13 +120,14 @@ def judge_urls(
     items = F.when(F.col("host") != "", url_items(F.col("_url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>"))
     tagged = stash(tagged.select("_row", "_id", "host", "path", items.alias("items")), "urls")
     told = labels.where("bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
-    labelled = tagged.where(F.size("items") > 0).join(told, F.col("_id") == F.col("id")).select("items", "bad")
+    labelled = stash(tagged.where(F.size("items") > 0).join(told, F.col("_id") == F.col("id")).select("_row", "items", "bad"), "labelled")
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     found = tagged.select("_row", "_id", "host", "path", rule.alias("rule"), verdict.alias("listed"))
-    n, n_bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
-    if n_bad < min_rows:
+    n = labelled.count()
+    if n == 0:  # FP-growth takes no empty table
         found = found.withColumns({"rule_id": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     else:
-        found = found.join(match_rules(tagged, mine_rules(labelled, max(min_support, min_rows / n), min_confidence, max_items)), "_row", "left")
+        some = labelled.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 30)) < bound / n * (1 << 30))
+        found = found.join(match_rules(tagged, mine_rules(some, min_support, min_confidence, min_lift, min_rows)), "_row", "left")
     mined = F.when(F.col("rule_id").isNotNull(), "block").otherwise("allow")
     return found.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"), F.col("rule_id").alias("mined_rule"), "confidence")

@@ -1,6 +1,7 @@
 """Pseudonyms: formats, validity, linking, permutations, and what must stay."""
 
 import re
+from datetime import date, timedelta
 
 from auditloom.llm import queries
 from auditloom.llm.pii import Feistel, Pseudonymiser, iban_digits, key_from, luhn_digit, pseudonymise
@@ -45,6 +46,46 @@ def test_equal_values_stay_linked():
     assert a.split()[1] == b.replace(" ", "")
 
 
+def test_no_two_dates_of_a_format_meet():
+    day = date(1900, 1, 1)
+    formats = {f: {} for f in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%m-%d-%Y")}
+    worker = Pseudonymiser(KEY)
+    for k in range(73049):  # all days in the formats that can be mistaken for one another, some in the others
+        for f, made in formats.items():
+            if f in ("%d/%m/%Y", "%m/%d/%Y") or k % 9 == 0:
+                made[(day + timedelta(k)).strftime(f)] = None
+    both = {**formats["%d/%m/%Y"], **formats["%m/%d/%Y"]}
+    for made in (formats["%Y-%m-%d"], formats["%d.%m.%Y"], both, formats["%m-%d-%Y"]):
+        for text in made:
+            new, spans = worker.replace(text)
+            assert spans == [("date", 0, 10)] and re.fullmatch(r"[\d./-]{10}", new)
+            made[text] = new
+        assert len(set(made.values())) == len(made)
+
+
+def test_mail_case():
+    for a, b in (("John.Doe@Example.com", "john.doe@example.com"), ("A.B9@MAIL8.example.com", "a.b9@mail8.example.com")):
+        x, y = change(a)[0], change(b)[0]
+        assert x != y and x.lower() == y.lower() and [c.isupper() for c in x] == [c.isupper() for c in a]
+
+
+def test_only_spans_change(spark, sf_dir):
+    """The query against the texts: outside the spans nothing changes, inside each value has one pseudonym of its own."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    there, back = {}, {}
+    for r in queries.op3_pii_pseudonyms(spark, sf_dir).collect():
+        old = texts[r.doc_id]
+        assert len(old) == len(r.text) or any(s.kind == "ip" for s in r.spans)
+        if len(old) != len(r.text):
+            continue
+        at = 0
+        for s in r.spans:
+            assert old[at : s.start] == r.text[at : s.start]
+            value, new, at = old[s.start : s.end], r.text[s.start : s.end], s.end
+            assert there.setdefault((s.kind, value), new) == new and back.setdefault((s.kind, new), value) == value
+        assert old[at:] == r.text[at:]
+
+
 def test_left_alone():
     for text in ("4524132264652877", "30.02.2000", "256.1.1.1", "1.2.3.4.5", "000-12-3456", "no 12345 numbers", "version 1.2.3", "", "1111111111111111", "a@b", "GB00 WEST 1234 5698 7654 32"):
         assert change(text) == (text, []), text
