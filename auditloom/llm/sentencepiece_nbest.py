@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 SPACE = "▁"
-CACHED_CHUNKS, KEPT, PART = 500_000, 64, 2_000_000
+CACHED_CHUNKS, KEPT, PART = 200_000, 64, 2_000_000
 UNREACHED, NONE, NO_KEY = -(1 << 62), 1 << 62, np.uint64(2**64 - 1)
 #: Chunks up to these lengths are searched many at once, those of one range together.
 TOGETHER = (8, 12, 24)

@@ -155,8 +155,8 @@ def wide_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _wide(hashes: pd.Series) -> pd.DataFrame:
     """A hash of the set, its wide fingerprint and its keys; an empty set has no keys."""
     nodes, prints, keys = [], [], []
-    for lo in range(0, len(hashes), 500):
-        sets = [np.unique(np.asarray(h, np.int64)).view(np.uint64) for h in hashes.iloc[lo : lo + 500]]
+    for lo in range(0, len(hashes), 100):
+        sets = [np.unique(np.asarray(h, np.int64)).view(np.uint64) for h in hashes.iloc[lo : lo + 100]]
         fps, dealt = wide_prints(sets)
         nodes += [int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) for u in sets]
         prints += list(fps)
@@ -164,6 +164,11 @@ def _wide(hashes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "fp": prints, "keys": keys})
 
 
+def _close(a: str, b: str) -> Column:
+    """Whether two wide fingerprints differ in at most MOST_BITS bits."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES)), F.lit(0)) <= MOST_BITS
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -178,11 +183,8 @@ class _Texts:
         self.texts = tagged.select("_row", text.alias("_text"))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose fingerprints differ in at most MOST_BITS bits and whose sets have at least the Jaccard similarity asked for."""
-        a, b = (self.prints.select(F.col("node").alias(x), F.col("_fp").alias(f"_{x}")) for x in "ab")
-        both = pairs.distinct().join(a, "a").join(b, "b")
-        apart = sum((F.bit_count(F.col("_a")[i].bitwiseXOR(F.col("_b")[i])) for i in range(LANES)), F.lit(0))
-        close = stash(both.where(apart <= MOST_BITS).select("a", "b"), "close")
+        """Those of the pairs (a, b), whose fingerprints are close, whose sets have at least the Jaccard similarity asked for."""
+        close = stash(pairs.distinct(), "close")
         nodes = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
         told = self.reps.join(nodes, "node").join(self.texts, "_row")
         sets = stash(with_shingles(told, F.col("_text"), self.width).select("node", F.array_distinct("_shingles").alias("members")), "sets")
@@ -211,25 +213,27 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     bucket is left out."""
     dealt = texts.prints.select("node", F.posexplode("_keys").alias("pos", "key")).select("node", "key", (F.col("pos") < SEGMENTS).alias("own"))
     sizes = stash(dealt.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("any")).where("n > 1 and any").select("key", "n"), "sizes")
-    members = stash(matched(dealt, sizes, ["key"], "n").select("key", "node", "own", "n"), "members")
+    # the fingerprints ride along, so that a bucket's join gives close pairs only
+    members = stash(matched(dealt, sizes, ["key"], "n").join(texts.prints.select("node", "_fp"), "node").select("key", "node", "own", "n", "_fp"), "members")
     links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     crowd = members.where(F.col("n") > crowded)
     if not crowd.isEmpty():
         central = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
-        crowd = stash(crowd.join(central, "node").select("key", "node", "weight"), "crowd")
-        best = F.max_by("node", F.struct("weight", "node")).alias("pivot")
-        first = crowd.join(crowd.groupBy("key").agg(best), "key").where("node <> pivot")
+        crowd = stash(crowd.join(central, "node").select("key", "node", "weight", "_fp"), "crowd")
+        best = F.max_by(F.struct("node", "_fp"), F.struct("weight", "node")).alias("best")
+        pivot = [F.col("best.node").alias("pivot"), F.col("best._fp").alias("_pivot_fp")]
+        first = crowd.join(crowd.groupBy("key").agg(best).select("key", *pivot), "key").where((F.col("node") != F.col("pivot")) & _close("_fp", "_pivot_fp"))
         links = texts.similar(first.select(*_pair("node", "pivot")))
         placed = _placed(crowd, connected_components(links))
-        pivots = placed.where("at = main").groupBy("key").agg(best)
-        second = placed.where("at <> main").join(pivots, "key")
+        pivots = placed.where("at = main").groupBy("key").agg(best).select("key", *pivot)
+        second = placed.where("at <> main").join(pivots, "key").where(_close("_fp", "_pivot_fp"))
         links = stash(links.unionByName(texts.similar(second.select(*_pair("node", "pivot")))), "links")
     placed = stash(_placed(members, connected_components(links)), "mixed")
     salts = 16
     many = F.col("n") > crowded
-    rest = placed.where("at <> main").select("key", "node", "own", "at", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    every = placed.select("key", F.col("node").alias("other"), F.col("own").alias("owned"), F.col("at").alias("there"), many.alias("many"), F.when(many, F.pmod(F.hash("node"), salts)).otherwise(0).alias("salt"))
-    pairs = rest.join(every, ["key", "salt"]).where("at <> there and (own or owned or many)")
+    rest = placed.where("at <> main").select("key", "node", "own", "at", "_fp", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    every = placed.select("key", F.col("node").alias("other"), F.col("own").alias("owned"), F.col("at").alias("there"), F.col("_fp").alias("_other_fp"), many.alias("many"), F.when(many, F.pmod(F.hash("node"), salts)).otherwise(0).alias("salt"))
+    pairs = rest.join(every, ["key", "salt"]).where(F.expr("at <> there and (own or owned or many)") & _close("_fp", "_other_fp"))
     return connected_components(links.unionByName(texts.similar(pairs.select(*_pair("node", "other")))))
 
 

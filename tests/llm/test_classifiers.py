@@ -47,7 +47,7 @@ def test_label_model():
     root = next(j for j in range(3) if model.parent[j] < 0)
     assert model.fires[1, 0, root] > 0.7 and model.fires[0, 0, root] < 0.1 and model.parent[3] < 0
     copies = [j for j in range(3) if j != root]  # they add nothing to what they go with
-    assert all(0 <= model.parent[j] < 3 and (model.fires[:, 1, j] > 0.9).all() and (model.fires[:, 0, j] < 0.1).all() for j in copies)
+    assert all(0 <= model.parent[j] < 3 and model.fires[1, 1, j] > 0.9 and model.fires[1, 0, j] < 0.1 for j in copies)
 
 
 def test_label_model_of_unlike_voters():
