@@ -12,10 +12,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, an own one that goes at exit."""
+    """The folder in spark.checkpoint.dir; where that is unset and the master is local, as in tests, an own one that goes at
+    exit. On a cluster the setting must be there: no folder of one machine would do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="auditloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
