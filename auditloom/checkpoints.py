@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written in the folder that spark.checkpoint.dir names; an own one that goes at exit where that is unset."""
+    """df written in the folder that spark.checkpoint.dir names; an own one that goes at exit where that is unset and
+    the master is local, as in tests. On a cluster the setting must be there: no folder of one machine would do."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if named is None:
             named = tempfile.mkdtemp(prefix="auditloom-checkpoints-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Endings of files that aren't pages.
+# Fixed value: endings of files that aren't pages
 NOT_PAGES = r"(?i)\.(pdf|jpe?g|png|gif|webp|avif|svg|ico|css|js|mjs|json|xml|txt|zip|gz|mp3|mp4|m4a|wav|mov|webm|epub|mobi|docx?|xlsx?|pptx?|woff2?|ttf|eot)$"
 NO_LINK = r"(?i)^\s*(mailto|tel|javascript|data):"
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"

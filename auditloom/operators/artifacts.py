@@ -5,11 +5,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions import html, urls, validation
-from auditloom.operators import rules
 from auditloom.operators.robots import BOTS
 
 # How many pages a section of the overview lists
 SECTIONS = (("books", "## Books", 15), ("about", "## About", 3), ("other", "## Pages", 10))
+# Fixed value: pages that no overview lists; another pattern than that of the rules
+UTILITY_PATH = r"(?i)/(privacy|terms|cookie|refund|cart|checkout|login|account|404)"
 TITLE_BREAK = r"\s[|–—-]\s"
 SOURCE_CHARS = 8000
 COLUMNS = (
@@ -28,7 +29,7 @@ def guess_name(person: Column, site_name: Column, title: Column, default: str =
 def section_pages(sited: DataFrame) -> DataFrame:
     """(site, section, place, url, line): the pages that an overview lists, each section up to its cap; legal and error
     pages and the homepage of the last section aside."""
-    ok = sited.where(F.col("status").between(200, 299) & ~urls.path(F.col("url")).rlike(rules.UTILITY_PATH))
+    ok = sited.where(F.col("status").between(200, 299) & ~urls.path(F.col("url")).rlike(UTILITY_PATH))
     p = urls.path(F.col("url"))
     section = F.when(p.rlike(r"(?i)/(books?|novels?|series)(/|$)"), "books").when(p.rlike("(?i)/(about|bio|author|meet)"), "about").otherwise("other")
     label = F.coalesce(F.nullif(F.col("title"), F.lit("")), p)

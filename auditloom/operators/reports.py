@@ -31,7 +31,7 @@ def top_by(events: DataFrame, what: str, most: int) -> DataFrame:
 
 
 def order_months(orders: DataFrame) -> DataFrame:
-    """Per month and status: orders and revenue, with the subtotals of months."""
+    """Per month and status: orders and revenue."""
     month = F.date_trunc("month", "o_orderdate").cast("date")
     return orders.groupBy(month.alias("month"), "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum(F.col("o_totalprice").cast("decimal(20,2)")), 2).cast("double").alias("revenue"))
 

@@ -55,7 +55,7 @@ RULES = (
     ("lang_missing", "Technical", "notice", 1, 1),
     ("js_rendered_shell", "Technical", "error", 5, 4),
 )
-UTILITY_PATH = r"(?i)^/(privacy|terms|legal|cookies?|disclaimer|404|thank-?you|unsubscribe|refund-policy)([./-].*)?/?$"
+UTILITY_PATH = r"(?i)^/(404|500|privacy|terms|cookies?|refund|legal|disclaimer)(\.html)?/?$|-policy/?$"
 READINESS = ("AI access", "Entity & schema", "Content")
 STALE_DAYS, DEEP, FEW_SAMEAS, FEW_SHOPS = 365, 3, 3, 2
 

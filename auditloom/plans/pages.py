@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.checkpoints import checkpointed
 from auditloom.functions import html, urls
 from auditloom.operators import artifacts, facts, rules
 from auditloom.plans.literals import quoted as q
@@ -54,27 +55,32 @@ def thin_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).where("word_count < 300").select("page_id", "word_count")
 
 
+def _sited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by site, written once: the rules look at them several times, and the regular expressions are what costs."""
+    return checkpointed(rules.by_site(_facts(spark, sf_dir)))
+
+
 def issues_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every host is a site, its page with the least id the homepage."""
-    found = rules.issues(rules.by_site(_facts(spark, sf_dir)))
-    return found.select("site", "rule", "category", "severity", "impact", "effort", "priority", "quadrant", "n_pages")
+    found = rules.ranked(rules.issues(_sited(spark, sf_dir)))
+    return found.select("site", "rank", "rule", "category", "severity", "impact", "effort", "priority", "quadrant", "n_pages")
 
 
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sited = rules.by_site(_facts(spark, sf_dir))
+    sited = _sited(spark, sf_dir)
     return rules.site_scores(rules.issues(sited), rules.issue_pages(sited), sited)
 
 
 def quadrant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quadrant_counts(rules.issues(rules.by_site(_facts(spark, sf_dir))))
+    return rules.quadrant_counts(rules.issues(_sited(spark, sf_dir)))
 
 
 def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.issue_pages(rules.by_site(_facts(spark, sf_dir))).select("site", "rule", "url")
+    return rules.issue_pages(_sited(spark, sf_dir)).select("site", "rule", "url")
 
 
 def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sited = rules.by_site(_facts(spark, sf_dir))
+    sited = _sited(spark, sf_dir)
     return artifacts.inventory(sited, rules.issue_pages(sited)).select("page_id", "title", "n_issues")
 
 
@@ -93,7 +99,7 @@ def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.page_hits(rules.by_site(_facts(spark, sf_dir))).groupBy("rule").agg(F.count("*").alias("n_pages"))
+    return rules.page_hits(_sited(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n_pages"))
 
 
 # SQL twins
@@ -184,7 +190,7 @@ issues AS (SELECT *, round(impact * weight * 10 / effort)::INT AS priority,
 
 SQL = {
     "rule_hits": HITS_SQL + " SELECT rule, count(*) AS n_pages FROM hits GROUP BY rule",
-    "issues_ranked": ISSUES_SQL + "SELECT site, rule, category, severity, impact, effort, priority, quadrant, len(pages) AS n_pages FROM issues",
+    "issues_ranked": ISSUES_SQL + "SELECT site, row_number() OVER (PARTITION BY site ORDER BY priority DESC, weight DESC, rule_ord) AS rank, rule, category, severity, impact, effort, priority, quadrant, len(pages) AS n_pages FROM issues",
     "quadrant_counts": ISSUES_SQL + "SELECT v.quadrant, count(issues.rule) AS n FROM (VALUES ('Quick win'), ('Major project'), ('Fill-in'), ('Deprioritize')) v(quadrant) LEFT JOIN issues USING (quadrant) GROUP BY v.quadrant",
     "issue_pages": ISSUES_SQL + "SELECT site, rule, unnest(pages) AS url FROM issues",
     "page_inventory": ISSUES_SQL + ", hit AS (SELECT url, count(DISTINCT rule) AS n FROM (SELECT rule, unnest(pages) AS url FROM issues) GROUP BY url) SELECT page_id, title, coalesce(n, 0) AS n_issues FROM facts LEFT JOIN hit USING (url)",

@@ -18,12 +18,12 @@ ROBOTS = [
     ("stray", True, 200, "Disallow: /early\nUser-agent: Bingbot\nCrawl-delay: 5\nDisallow: /a\n# note\nUser-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /b"),
 ]
 RULES = [
-    ("s", "*", 1, "disallow", "/books/"), ("s", "*", 2, "allow", "/books/public/"), ("s", "w", 1, "disallow", "/books/*"), ("s", "w", 2, "allow", "/books/open$"),
+    ("s", "*", 1, "disallow", "/shop/"), ("s", "*", 2, "allow", "/shop/new/"), ("s", "w", 1, "disallow", "/shop/*"), ("s", "w", 2, "allow", "/shop/door$"),
     ("s", "t", 1, "disallow", "/x"), ("s", "t", 2, "allow", "/x"), ("s", "e", 1, "disallow", ""), ("s", "q", 1, "disallow", "/find?q=*&p"),
 ]
 ASKED = [
-    ("s", "any", "/books/private/"), ("s", "any", "/books/public/book1"), ("s", "any", "/"), ("s", "w", "/books/open"), ("s", "w", "/books/open/1"),
-    ("s", "t", "/x/y"), ("s", "e", "/books/private/"), ("s", "q", "/find?q=1&p=2"), ("s", "q", "/findXq=1&p"),
+    ("s", "any", "/shop/old/"), ("s", "any", "/shop/new/7"), ("s", "any", "/"), ("s", "w", "/shop/door"), ("s", "w", "/shop/door/1"),
+    ("s", "t", "/x/y"), ("s", "e", "/shop/old/"), ("s", "q", "/find?q=1&p=2"), ("s", "q", "/findXq=1&p"),
 ]
 SITEMAPS = [("a", "<urlset><url><loc>https://a.com/</loc></url><url><loc>\n https://a.com/b?x=1&amp;y=2 </loc></url></urlset>"), ("b", "<p>none</p>"), ("c", None)]
 LLMS = [(1, "# Jane Author\n\n> Writes novels.\n\n- [About](https://a.com/about): who"), (2, "plain text"), (3, "intro\n# Later\nno link"), (4, "> only a summary\n[x](https://a.com)")]
@@ -181,6 +181,22 @@ SQL = {
     "inlinks": f"WITH {_LINKS_SQL} SELECT site, dst AS url, count(DISTINCT src) AS n_inlinks FROM links WHERE src <> dst GROUP BY site, dst",
     "first_inlinks": f"WITH {_LINKS_SQL} SELECT site, dst AS url, min(src) AS source FROM links WHERE src <> dst GROUP BY site, dst",
     "orphans": f"WITH {_LINKS_SQL}, {table('maps', 'site, url', SITEMAP_PAGES)}, {table('sites', 'site, homepage, uncrawled', SITE_ROWS)} SELECT m.site, m.url FROM maps m JOIN sites s USING (site) WHERE uncrawled = 0 AND url <> homepage AND NOT EXISTS (SELECT 1 FROM links l WHERE l.site = m.site AND l.dst = m.url AND l.src <> l.dst)",
+    "canonical_check": f"""WITH {table("t", "id, href, page", CANONICALS)},
+parts AS (SELECT id, href, page, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '/%' THEN regexp_extract(page, '^[a-z]+://[^/]*') || href END AS target FROM t),
+bare AS (SELECT id, href, target, regexp_replace(lower(regexp_extract(target, '://([^/?#]*)', 1)), '^www\\.', '') AS h1, regexp_replace(lower(regexp_extract(page, '://([^/?#]*)', 1)), '^www\\.', '') AS h2,
+  regexp_replace(regexp_replace(regexp_extract(target, '://[^/?#]*([^?#]*)', 1), '(?i)/index\\.html$', '/'), '/+$', '') AS p1, regexp_replace(regexp_replace(regexp_extract(page, '://[^/?#]*([^?#]*)', 1), '(?i)/index\\.html$', '/'), '/+$', '') AS p2 FROM parts)
+SELECT id, coalesce(regexp_matches(target, '(?i)^https?://') AND h1 = h2 AND p1 = p2, false) AS correct FROM bare""",
+    "link_resolution": f"""WITH {table("t", "id, href, page", LINK_ROWS)},
+parts AS (SELECT *, regexp_extract(page, '^[a-z]+://[^/]*') AS origin, regexp_extract(page, '^[a-z]+://[^/]*([^?#]*/)', 1) AS folder FROM t),
+full_urls AS (SELECT id, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '/%' THEN origin || href ELSE origin || folder || href END AS f FROM parts),
+cut AS (SELECT id, href, f, lower(regexp_extract(f, '://([^/?#]*)', 1)) AS h, regexp_extract(f, '://[^/?#]*([^?#]*)', 1) AS p FROM full_urls)
+SELECT id, CASE WHEN href <> '' AND regexp_matches(f, '^https?://') AND regexp_replace(h, '^www\\.', '') = 'author.com' AND NOT regexp_matches(p, {quoted(urls.NOT_PAGES)})
+  THEN regexp_extract(f, '^[a-z]+://') || h || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END END AS link FROM cut""",
+    "jsonld_types": f"""WITH {table("t", "page_id, url, html", LD_PAGES)},
+bodies AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1)) AS body FROM t),
+found AS (SELECT page_id, j.key, j.type, j.atom, j.path FROM (SELECT * FROM bodies WHERE json_valid(body)) b, json_tree(b.body) j),
+names AS (SELECT page_id, json_extract_string(atom, '$') AS n FROM found WHERE type = 'VARCHAR' AND (key = '@type' OR path LIKE '%"@type"'))
+SELECT page_id, n AS type, count(*) AS n FROM names GROUP BY ALL""",
     "profile_detect": f"WITH {table('t', 'id, urls', PROFILE_URLS)}, {table('kinds', 'kind, pattern', graph.PROFILES)}, hits AS (SELECT id, kind, pos, url FROM (SELECT id, unnest(urls) AS url, generate_subscripts(urls, 1) AS pos FROM t) CROSS JOIN kinds WHERE regexp_matches(url, pattern)) SELECT id, kind, min_by(url, pos) AS url FROM hits GROUP BY id, kind",
 }
 

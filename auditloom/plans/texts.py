@@ -128,6 +128,23 @@ SELECT id, coalesce(NOT regexp_matches(v, '\\s') AND length(v) <= 254 AND length
     "ip_private": f"""WITH {table("t", "id, ip", IPS)}, n AS (SELECT id, list_transform(string_split(ip, '.'), lambda x: try_cast(x AS INT)) AS n FROM t)
 SELECT id, len(n) <> 4 OR len(list_filter(n, lambda x: x IS NULL OR x > 255)) > 0 OR n[1] IN (0, 10, 127) OR n[1] >= 224 OR (n[1] = 100 AND n[2] BETWEEN 64 AND 127) OR (n[1] = 169 AND n[2] = 254) OR (n[1] = 172 AND n[2] BETWEEN 16 AND 31)
  OR (n[1] = 192 AND n[2] = 0 AND n[3] IN (0, 2)) OR (n[1] = 192 AND n[2] = 168) OR (n[1] = 198 AND n[2] IN (18, 19)) OR (n[1] = 198 AND n[2] = 51 AND n[3] = 100) OR (n[1] = 203 AND n[2] = 0 AND n[3] = 113) AS private FROM n""",
+    "ip6_private": f"""WITH {table("t", "id, ip", IPS6)}, n AS (SELECT id, lower(ip) AS v, list_transform(string_split(substr(ip, 8), '.'), lambda x: try_cast(x AS INT)) AS n FROM t)
+SELECT id, CASE WHEN v LIKE '::ffff:%' THEN n[1] IN (0, 10, 127) OR n[1] >= 224 OR (n[1] = 172 AND n[2] BETWEEN 16 AND 31) OR (n[1] = 192 AND n[2] = 168)
+ ELSE v IN ('::1', '::') OR regexp_matches(v, '^(f[cd]|fe[89ab]|ff|2001:0?db8)') END AS private FROM n""",
+    "clean_tags": f"""WITH {table("t", "id, tags", TAGS)}, made AS (SELECT id, list_transform(tags, lambda x: regexp_replace(regexp_replace(replace(regexp_replace(lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))), '[^a-z0-9 _&''-]', '', 'g'), '_', ' '), '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS l FROM t),
+named AS (SELECT id, list_filter(l, lambda x: x <> '' AND length(x) <= 40) AS l FROM made)
+SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[:5], '|') AS tags FROM named""",
+    "site_url": f"""WITH {table("t", "id, v", SITE_URLS)}, f AS (SELECT id, trim(v) AS v, CASE WHEN regexp_matches(trim(v), '(?i)^https?://') THEN trim(v) ELSE 'https://' || trim(v) END AS f FROM t),
+p AS (SELECT id, v, lower(regexp_extract(f, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_extract(f, '://([^/?#]*)', 1)) AS h, regexp_extract(f, '://[^/?#]*([^?#]*)', 1) AS path FROM f)
+SELECT id, CASE WHEN v <> '' AND NOT regexp_matches(v, '\\s') AND contains(h, '.') THEN s || '://' || h || CASE WHEN path = '' THEN '/' ELSE path END END AS site FROM p""",
+    "client_keys": f"""WITH {table("t", "id, a, b, c", CLIENTS)}, asked AS (SELECT id, pos, v, c FROM (SELECT id, c, unnest([a, b]) AS v, unnest([1, 2]) AS pos FROM t)),
+good AS (SELECT id, pos, v FROM asked WHERE v IS NOT NULL AND (regexp_matches(v, '^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*$') OR (regexp_matches(v, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') AND len(list_filter(string_split(v, '.'), lambda x: try_cast(x AS INT) > 255)) = 0)))
+SELECT t.id, coalesce((SELECT min_by(v, pos) FROM good WHERE good.id = t.id), t.c, 'unknown') AS key FROM t""",
+    "checkout_orders": f"""WITH {table("t", "n, body", CHECKOUTS)}, j AS (SELECT body::JSON AS j FROM t),
+fields AS (SELECT j, list_filter(coalesce(from_json(j->'custom_fields', '[{{"key":"VARCHAR","type":"VARCHAR","text":{{"value":"VARCHAR"}}}}]'), []), lambda x: x.type = 'text' AND regexp_matches(x.key, '(?i)url|website|site')) AS f FROM j)
+SELECT j->>'id' AS session_id, coalesce(j->'customer_details'->>'email', j->>'customer_email') AS email, j->'customer_details'->>'name' AS name,
+  CASE WHEN len(f) > 0 THEN 'https://' || f[1].text.value || '/' END AS site_url, j->>'client_reference_id' AS lead_id, coalesce(j->>'payment_status' IN ({", ".join(map(quoted, validation.PAID))}), false) AS paid
+FROM fields WHERE regexp_matches(coalesce(j->>'id', ''), {quoted(validation.SESSION_ID)})""",
     "clean_audience": f"""WITH {table("t", "id, v", AUDIENCES)}, {table("a", "alias, name", list(validation.AUDIENCE_ALIASES.items()))}, {table("o", "name, place", list(zip(validation.AUDIENCES, range(4), strict=True)))},
 m AS (SELECT DISTINCT id, a.name, place FROM (SELECT id, unnest(v) AS x FROM t) JOIN a ON alias = regexp_replace(lower(trim(x)), '[\\s_]+', '-', 'g') JOIN o ON o.name = a.name)
 SELECT t.id, coalesce(string_agg(m.name, '|' ORDER BY place), '') AS audience FROM t LEFT JOIN m USING (id) GROUP BY t.id""",
