@@ -288,10 +288,11 @@ class Trie:
 
 class Encoder:
     """Encodes texts. Results of chunks of up to KEPT characters, so of bounded size, are kept in two generations of at most
-    CACHED_CHUNKS each: the best segmentation, and what the next one loses against it. The others are searched for
+    `cached` each (and what one batch adds): the best segmentation, and what the next one loses against it. The others are searched for
     when they can matter, which is seldom. Ids are held as bytes, four for each."""
 
-    def __init__(self, vocabulary: Vocabulary, n: int):
+    def __init__(self, vocabulary: Vocabulary, n: int, cached: int | None = None):
+        self.cached = cached or CACHED_CHUNKS
         self.vocabulary, self.n, self.cache, self.older, self.others = vocabulary, n, {}, {}, {}
 
     @cached_property
@@ -302,20 +303,26 @@ class Encoder:
         return self.vocabulary.chunk.findall(self.vocabulary.mark(text))
 
     def prepare(self, chunks: Iterable[str]) -> None:
-        """Searches for what the cache lacks, many chunks at once; the rest is left to the single search."""
+        """Searches for what the cache lacks, many chunks at once; the rest is left to the single search. The cache takes in
+        what these chunks have, so that none is lost before it is used."""
+        if len(self.cache) >= self.cached:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
         todo: dict[int, list[str]] = {most: [] for most in TOGETHER}
         for chunk in set(chunks):
-            if chunk not in self.cache and chunk not in self.older and len(chunk) <= TOGETHER[-1] and "\ue000" not in chunk:
+            if chunk in cache:
+                continue
+            if (got := older.get(chunk)) is not None:
+                cache[chunk] = got
+            elif len(chunk) <= TOGETHER[-1] and "\ue000" not in chunk:
                 todo[next(most for most in TOGETHER if len(chunk) <= most)].append(chunk)
         for some in todo.values():
-            for lo in range(0, len(some), 5000):
-                part = some[lo : lo + 5000]
-                for chunk, got in zip(part, self.trie.first(part), strict=True):
-                    if got:
-                        self._keep(chunk, got)
+            for lo in range(0, len(some), 2000):
+                part = some[lo : lo + 2000]
+                cache.update((chunk, got) for chunk, got in zip(part, self.trie.first(part), strict=True) if got)
 
     def _keep(self, chunk: str, got: tuple[int, bytes, int]) -> None:
-        if len(self.cache) >= CACHED_CHUNKS:
+        if len(self.cache) >= self.cached:
             self.cache, self.older = {}, self.cache
         self.cache[chunk] = got
 
@@ -335,7 +342,7 @@ class Encoder:
             found = list(search(self.vocabulary, chunk, self.n))
             got = [(top - score, ids.tobytes()) for score, ids in found[1:]]
             if len(chunk) <= KEPT:
-                if len(self.others) >= CACHED_CHUNKS // 8:
+                if len(self.others) >= max(1, self.cached // 8):
                     self.others.clear()
                 self.others[chunk] = got
         return got
@@ -378,15 +385,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[bytes, int], Encoder] = {}
+_encoders: dict[tuple[bytes, int, int | None], Encoder] = {}
 
 
-def encoder_for(model: bytes, n: int) -> Encoder:
+def encoder_for(model: bytes, n: int, cached: int | None = None) -> Encoder:
     """The worker process's encoder, which one task leaves to the next; one vocabulary is kept at a time."""
-    key = (hashlib.sha256(model).digest(), n)
+    key = (hashlib.sha256(model).digest(), n, cached)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(model), n)
+        _encoders[key] = Encoder(Vocabulary(model), n, cached)
     return _encoders[key]
 
 
@@ -416,9 +423,9 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False, cached: int = CACHED_CHUNKS) -> DataFrame:
     """docs and nbest: array<struct<score: double, ids: array<int>>>, best first; with verify also lossless: whether the
-    best segmentation decodes to the text.
+    best segmentation decodes to the text. cached bounds the memory that a worker keeps.
 
     Fewer than n segmentations come back where a text has fewer. An empty text has one, without pieces; a null
     text has a null nbest and lossless. Every text decodes to itself. Repeated rows are encoded alike; an empty table
@@ -431,7 +438,7 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", ve
     kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(shared.value, n)
+        encoder = encoder_for(shared.value, n, cached)
         for whole in batches:
             for lo, hi in _parts(whole.column(place)):
                 batch = whole.slice(lo, hi - lo)
@@ -465,7 +472,7 @@ def decoder(spark: SparkSession, model: bytes):
 
     @pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        vocabulary = next((e.vocabulary for (key, _), e in _encoders.items() if key == hashlib.sha256(shared.value).digest()), None) or encoder_for(shared.value, 1).vocabulary
+        vocabulary = next((e.vocabulary for (key, *_), e in _encoders.items() if key == hashlib.sha256(shared.value).digest()), None) or encoder_for(shared.value, 1).vocabulary
         return pd.Series([None if x is None else decode_ids(vocabulary, x.tolist()) for x in ids], dtype=object)
 
     return decode
