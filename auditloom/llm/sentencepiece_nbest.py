@@ -423,9 +423,10 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False, cached: int = CACHED_CHUNKS) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False, cached: int = CACHED_CHUNKS, keep: bool = True) -> DataFrame:
     """docs and nbest: array<struct<score: double, ids: array<int>>>, best first; with verify also lossless: whether the
-    best segmentation decodes to the text. cached bounds the memory that a worker keeps.
+    best segmentation decodes to the text. cached bounds the memory that a worker
+    keeps; without keep it keeps none between tasks.
 
     Fewer than n segmentations come back where a text has fewer. An empty text has one, without pieces; a null
     text has a null nbest and lossless. Every text decodes to itself. Repeated rows are encoded alike; an empty table
@@ -461,6 +462,8 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", ve
                 offsets = pa.array(np.frombuffer(rows, np.int32), mask=np.append(~np.array(known, bool), False))
                 nbest = pa.ListArray.from_arrays(offsets, each).cast(kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[nbest, pa.array(same, pa.bool_())][: 1 + verify]], [*batch.schema.names, *added])
+        if not keep:
+            _encoders.clear()
 
     kinds = [T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])), T.BooleanType()]
     return source.mapInArrow(run, T.StructType([*source.schema.fields, *(T.StructField(name, kind) for name, kind in zip(added, kinds, strict=False))]))
