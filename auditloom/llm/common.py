@@ -4,6 +4,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return Stash(df, label).df
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside hand Python at most so many rows at a time, for rows that carry long arrays; the session's own
+    setting comes back afterwards."""
+    before = spark.conf.get(BATCH_ROWS)
+    fewer = rows if int(before) <= 0 else min(rows, int(before))
+    spark.conf.set(BATCH_ROWS, str(fewer))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 #: A key of over one in so many rows is hot; so there are fewer hot keys than that.
 HOT_SHARE = 1000
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from auditloom.llm.common import connected_components, matched, stash
+from auditloom.llm.common import connected_components, matched, small_batches, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -249,7 +249,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whatever their names."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"))
     text = F.col(f"_doc.`{text_col}`")
-    tagged = stash(with_shingles(packed, text, width).withColumn("_s", _wide("_shingles")).select("_doc", "_id", "_row", F.col("_s.node").alias("_node"), F.col("_s.fp").alias("_fp"), F.col("_s.keys").alias("_keys")), "shingles")
+    printed = with_shingles(packed, text, width).withColumn("_s", _wide("_shingles"))
+    with small_batches(docs.sparkSession, 500):
+        tagged = stash(printed.select("_doc", "_id", "_row", F.col("_s.node").alias("_node"), F.col("_s.fp").alias("_fp"), F.col("_s.keys").alias("_keys")), "shingles")
     linked = _similar_groups(_Texts(tagged, text, width, least), crowded)
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
     first = tagged.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first"))

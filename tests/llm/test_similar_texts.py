@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from auditloom.llm import simhash
+from auditloom.llm import common, simhash
 
 
 def shingles(text, width=5):
@@ -72,3 +72,11 @@ def test_columns_and_nulls(spark):
     out = simhash.drop_similar(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 9]
     assert simhash.drop_similar(df.limit(0)).count() == 0
+
+
+def test_batch_setting_comes_back(spark):
+    before = spark.conf.get(common.BATCH_ROWS)
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark, 7):
+        assert spark.conf.get(common.BATCH_ROWS) == "7"
+        1 / 0
+    assert spark.conf.get(common.BATCH_ROWS) == before
