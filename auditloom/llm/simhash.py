@@ -211,8 +211,14 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     copies of one text without their pairs. After that, every node that has the value is compared with every one that probes it,
     but for those that are in one component already; in a crowded bucket all with all. So no pair that shares a
     bucket is left out."""
-    dealt = texts.prints.select("node", F.posexplode("_keys").alias("pos", "key")).select("node", "key", (F.col("pos") < SEGMENTS).alias("own"))
-    sizes = stash(dealt.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("any")).where("n > 1 and any").select("key", "n"), "sizes")
+    # the owners' few keys meet the many probes first, so that only probes which hit are counted and carried on
+    own = texts.prints.select("node", F.explode(F.slice("_keys", 1, SEGMENTS)).alias("key"))
+    owned = stash(own.groupBy("key").agg(F.count("*").alias("owners")), "owned")
+    probes = texts.prints.select("node", F.explode(F.slice("_keys", SEGMENTS + 1, SEGMENTS * (PROBES - 1))).alias("key"))
+    hits = stash(matched(probes, owned, ["key"], "owners").select("node", "key"), "hits")
+    n = F.col("owners") + F.coalesce("probes", F.lit(0))
+    sizes = stash(owned.join(hits.groupBy("key").agg(F.count("*").alias("probes")), "key", "left").select("key", n.alias("n")).where("n > 1"), "sizes")
+    dealt = own.withColumn("own", F.lit(True)).unionByName(hits.withColumn("own", F.lit(False)))
     # the fingerprints ride along, so that a bucket's join gives close pairs only
     members = stash(matched(dealt, sizes, ["key"], "n").join(texts.prints.select("node", "_fp"), "node").select("key", "node", "own", "n", "_fp"), "members")
     links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
