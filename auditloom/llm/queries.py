@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import embedding_dedup, exact_dedup, mixing, pii, quality, sentencepiece_nbest, simhash, suffix_dedup, toxicity, url_filter
+from auditloom.llm import collocations, embedding_dedup, exact_dedup, fill_middle, language_id, mixing, pii, quality, sentencepiece_nbest, simhash, suffix_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -98,6 +98,55 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(_read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+#: Words of 2 and 3 by self-joins of the numbered words, what SQL has in place of suffix arrays.
+OP11_SQL = """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, row_number() OVER () AS doc, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (SELECT lang, unnest(w) AS phrase, 1 AS words FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM words),
+counted AS MATERIALIZED (SELECT lang, phrase, words, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE words > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, w, words, f AS a, unnest(range(1, words)) AS k FROM candidates),
+halves AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS left_side, array_to_string(w[k + 1:words], ' ') AS right_side FROM cuts),
+parts AS MATERIALIZED (SELECT lang, phrase, f FROM counted WHERE f >= 10),
+sides AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (1000000 * c.a * c.a) // (l.f * r.f) AS score FROM halves c
+  JOIN parts l ON l.lang = c.lang AND l.phrase = left_side JOIN parts r ON r.lang = c.lang AND r.phrase = right_side),
+scored AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE words = 3) GROUP BY ALL),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM scored s LEFT JOIN covered c USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return told.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4 FROM hashed),
+cut AS (SELECT doc_id, t, n, substr(t, 1, least(c1, c2)) AS p, substr(t, least(c1, c2) + 1, abs(c1 - c2)) AS m, substr(t, greatest(c1, c2) + 1) AS s,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM cut
+"""
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -110,8 +159,11 @@ def queries() -> dict:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_collocations": op11_collocations,
+        "op12_language_id": op12_language_id,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
