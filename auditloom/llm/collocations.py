@@ -3,7 +3,6 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditloom.llm.common import Stash
+from auditloom.llm.common import Stash, bits_of
 
 #: Between words, between pieces, and what both hold.
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -168,40 +167,6 @@ def _parts(*columns: pa.Array, rows: int = 1 << 16) -> Iterator[tuple[pa.Array,
         yield tuple(c.slice(lo, rows) for c in columns)
 
 
-class Bits:
-    """A set of hashes as bits, with false positives."""
-
-    def __init__(self, bits: int, blocks: dict[int, bytes]):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.packed = np.zeros(1 << max(bits - 3, 0), np.uint8)
-        for block, part in blocks.items():
-            self.packed[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part, np.uint8)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-#: Bytes of a block of bits.
-BLOCK = 1 << 13
-
-
-def _bits(hashes: DataFrame, most_bits: int) -> Bits:
-    """Eight bits or more for each hash, up to 2 ** most_bits, which bounds what goes to the driver and every task."""
-    n = hashes.count()
-    bits = min(max(int(np.ceil(np.log2(8 * n + 1))), 16), most_bits)
-    at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
-    places = hashes.select(F.shiftright(at, 16).cast("int").alias("block"), at.bitwiseAND(F.lit(BLOCK * 8 - 1)).cast("int").alias("place")).distinct()
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(BLOCK * 8, np.uint8)
-        flags[pdf["place"].to_numpy()] = 1
-        return pd.DataFrame({"block": [key[0]], "packed": [np.packbits(flags, bitorder="little").tobytes()]})
-
-    packed = places.groupBy("block").applyInPandas(pack, "block int, packed binary").collect()  # a group has 65,536 rows at most
-    return Bits(bits, {r["block"]: bytes(r["packed"]) for r in packed})
-
-
 def phrase_counts(docs: DataFrame, most: int = 3, at_least: int = 10, text_col: str = "text", lang_col: str = "lang", most_bits: int = 28) -> DataFrame:
     """(lang, phrase, words, n): every phrase of up to `most` words that occurs at_least times, and for each language a row of
     zero words (phrase null) with the number of its words.
@@ -224,7 +189,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, at_least: int = 10, text_col:
 
     hashed = given.mapInArrow(pairs, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     frequent = Stash(hashed.where(F.col("n") >= at_least).select("hash"), "pairs")
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(frequent.df, most_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(frequent.df, "hash", most_bits))
     frequent.drop()
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,40 @@ def matched(rows: DataFrame, keyed: DataFrame, on: list[str], count_col: str) ->
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
+#: Bytes of a block of bits.
+BLOCK = 1 << 13
+
+
+class Bits:
+    """A set of numbers as bits, by their last `bits` bits: exact for numbers that have no more, else with false positives."""
+
+    def __init__(self, bits: int, blocks: dict[int, bytes]):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.packed = np.zeros(1 << max(bits - 3, 0), np.uint8)
+        for block, part in blocks.items():
+            self.packed[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part, np.uint8)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers.astype(np.uint64, copy=False) & self.mask
+        return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bits_of(numbers: DataFrame, col: str, most_bits: int, each: int = 8) -> Bits:
+    """`each` bits or more for each number, up to 2 ** most_bits, which bounds what goes to the driver and every task."""
+    n = numbers.count()
+    bits = min(max(int(np.ceil(np.log2(each * n + 1))), 16), most_bits)
+    at = F.col(col).cast("bigint").bitwiseAND(F.lit((1 << bits) - 1))
+    places = numbers.select(F.shiftright(at, 16).cast("int").alias("block"), at.bitwiseAND(F.lit(BLOCK * 8 - 1)).cast("int").alias("place")).distinct()
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(BLOCK * 8, np.uint8)
+        flags[pdf["place"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "packed": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    packed = places.groupBy("block").applyInPandas(pack, "block int, packed binary").collect()  # a group has 65,536 rows at most
+    return Bits(bits, {r["block"]: bytes(r["packed"]) for r in packed})
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node that links reach.
 

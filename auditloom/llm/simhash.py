@@ -2,16 +2,19 @@
 shingles have a Jaccard similarity of 0.8 or more, proposed by wide fingerprints and decided on the sets."""
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from auditloom.llm.common import connected_components, matched, small_batches, stash
+from auditloom.llm.common import bits_of, connected_components, matched, small_batches, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -116,6 +119,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 #: with probability 0.2, in one of 24 with 0.995 or more (by simulation; above 0.8 more often).
 SEGMENTS, BITS, PROBES, WEAK = 24, 24, 12, 6
 LANES = SEGMENTS * BITS // 64
+#: Of a segment's number and its value.
+KEY_BITS = 29
 #: Similarity 0.8 is a cosine of 0.89 or an angle of 0.15 of a half turn: 87 of 576 bits differ on average, 9 is the standard deviation.
 MOST_BITS = 120
 _RANDOM = np.random.default_rng(20)
@@ -211,11 +216,23 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     copies of one text without their pairs. After that, every node that has the value is compared with every one that probes it,
     but for those that are in one component already; in a crowded bucket all with all. So no pair that shares a
     bucket is left out."""
-    # the owners' few keys meet the many probes first, so that only probes which hit are counted and carried on
+    # a set of bits tells which values some text has, so only probes that hit leave their task (and a few others, which `sizes` drops)
     own = texts.prints.select("node", F.explode(F.slice("_keys", 1, SEGMENTS)).alias("key"))
     owned = stash(own.groupBy("key").agg(F.count("*").alias("owners")), "owned")
-    probes = texts.prints.select("node", F.explode(F.slice("_keys", SEGMENTS + 1, SEGMENTS * (PROBES - 1))).alias("key"))
-    hits = stash(matched(probes, owned, ["key"], "owners").select("node", "key"), "hits")
+    there = own.sparkSession.sparkContext.broadcast(bits_of(owned.select("key"), "key", KEY_BITS, each=32))
+
+    def hitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                lists = part.column(1)
+                nodes = part.column(0).to_numpy()[pc.list_value_length(lists).to_numpy() > 0]
+                probes = lists.flatten().to_numpy().reshape(len(nodes), SEGMENTS * PROBES)[:, SEGMENTS:]
+                row, at = np.nonzero(there.value.has(probes))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[row]), pa.array(probes[row, at])], ["node", "key"])
+
+    probing = texts.prints.select("node", "_keys").mapInArrow(hitting, "node bigint, key int")
+    hits = stash(probing, "hits")
     n = F.col("owners") + F.coalesce("probes", F.lit(0))
     sizes = stash(owned.join(hits.groupBy("key").agg(F.count("*").alias("probes")), "key", "left").select("key", n.alias("n")).where("n > 1"), "sizes")
     dealt = own.withColumn("own", F.lit(True)).unionByName(hits.withColumn("own", F.lit(False)))
