@@ -20,7 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Bytes of a text that are taken apart at a time, and words of a shard.
-SLICE, SHARD = 1 << 22, 1 << 21
+SLICE, SHARD = 1 << 22, 1 << 20
 
 
 def slices(text: bytes) -> Iterator[bytes]:
@@ -174,7 +174,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, at_least: int = 10, text_col:
     Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends and these into words at spaces and tabs; phrases
     lie within pieces. Null texts count as empty, a null language as `und`; an empty table gives no rows.
 
-    Each task sorts shards of two million words into suffix arrays; phrases are their LCP intervals. The first pass counts
+    Each task sorts shards of a million words into suffix arrays; phrases are their LCP intervals. The first pass counts
     hashes of word pairs only, and a bounded set of bits tells which may be frequent. The second counts the phrases as such,
     longer ones only if all their pairs may be frequent; what the bits let through wrongly goes by its true count."""
     given = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
