@@ -1,13 +1,10 @@
 """Per-key rate limits and idempotent consumption, in batch and as streams."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from auditloom.functions import urls, validation
+from auditloom.streaming import windows
 
 # Requests in a window of 60 seconds
 LIMITS = {"scan": 10, "report": 5, "start": 20}
@@ -30,54 +27,9 @@ def rate_limit(events: DataFrame, most: int, key: str, when: str, ident: str, wi
     """(key, ident, count, allowed). A key's window opens with its first request and ends window_ms later; the first request
     strictly after that opens the next. All requests of a window count; those beyond most are refused.
 
-    Where a window ends depends on where it began, so each key is scanned in order, in Arrow batches with
-    one number of state; its rows arrive sorted and a key may span batches."""
-    rows = events.select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.unix_millis(F.col(when).cast("timestamp")).alias("ms"))
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "ms", "ident")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, ends, count, started = None, 0, 0, False
-        for batch in batches:
-            counts = []
-            for k, ms in zip(batch["key"].tolist(), batch["ms"].tolist(), strict=True):
-                if not started or k != current or ms > ends:
-                    current, ends, count, started = k, ms + window_ms, 0, True
-                count += 1
-                counts.append(count)
-            yield pd.DataFrame({"key": batch["key"], "ident": batch["ident"], "count": counts}).assign(allowed=[c <= most for c in counts])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return sorted_rows.mapInPandas(scan, f"key {kinds['key']}, ident {kinds['ident']}, count bigint, allowed boolean")
-
-
-class RateLimiter(StatefulProcessor):
-    """The same rule over a stream: the window's count and end are a key's state, which expires by itself."""
-
-    def __init__(self, most: int, window_ms: int = WINDOW_MS):
-        self.most, self.window_ms = most, window_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "count bigint, ends bigint", self.window_ms * 10)
-
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        count, ends = self.state.get() if self.state.exists() else (0, -1)
-        for pdf in rows:
-            out = []
-            for ident, ms in sorted(zip(pdf["ident"].tolist(), pdf["ms"].tolist(), strict=True), key=lambda r: (r[1], r[0])):
-                if ms > ends:
-                    count, ends = 0, ms + self.window_ms
-                count += 1
-                out.append((key[0], ident, count, count <= self.most))
-            yield pd.DataFrame(out, columns=["key", "ident", "count", "allowed"])
-        self.state.update((count, ends))
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limit_stream(events: DataFrame, most: int, window_ms: int = WINDOW_MS) -> DataFrame:
-    """events: (key string, ident bigint, ms bigint)."""
-    return events.groupBy("key").transformWithStateInPandas(RateLimiter(most, window_ms), "key string, ident bigint, count bigint, allowed boolean", "Append", "ProcessingTime")
+    Keys of any size: see windows.anchored_counts, which says what nulls, repeated rows and missing times give."""
+    told = windows.anchored_counts(events, key, when, ident, window_ms)
+    return told.select("key", "ident", "count", (F.col("count") <= most).alias("allowed"))
 
 
 def once(events: DataFrame, ident: str, when: str, late: str = "1 hour") -> DataFrame:
