@@ -85,3 +85,59 @@ def profiles(urls: Column) -> Column:
 
 def _matches(pattern: str):
     return lambda u: u.rlike(pattern)
+
+
+def crawl(links: DataFrame, homes: DataFrame, seeds: DataFrame, most: int = 30, found_most: int | None = None) -> DataFrame:
+    """(site, url, place, depth, uncrawled): the pages that a crawl visits, in order, of all sites at once.
+
+    A crawl starts at the site's homepage, of depth 0, and knows the seeds (from a sitemap), whose depth is unknown. It always takes the
+    page of the least depth, those of unknown depth last, and among equals the one found first. A page's links are found when it is
+    visited; each is a level below it, or of unknown depth as it is. At most `most` pages are visited, and no more than found_most
+    (3 x most by default) pages are found from links and seeds together: links beyond aren't followed, seeds are all known.
+    At the end a page of unknown depth that visited pages of known depth link to is a level below the least of them; pages are
+    settled so in their order. uncrawled: how many found pages of the site weren't visited.
+
+    links: (site, src, dst, pos), pos the order on the page, of which equal ones count once; homes: (site, url), the first of a site counts;
+    seeds: (site, url, pos). Nulls are left out; a site without a homepage isn't crawled. A round visits all pages of the same level, at
+    most `most`; so there are at most that many rounds, whatever the number of sites, and a site has few rows."""
+    room = 3 * most if found_most is None else found_most
+    links = links.where("site is not null and src is not null and dst is not null")
+    start = homes.where("site is not null and url is not null").groupBy("site").agg(F.min("url").alias("url"))
+    start = start.select("site", "url", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord"))
+    known = seeds.where("site is not null and url is not null").join(start.select("site", F.col("url").alias("home")), "site").where("url <> home")
+    known = known.groupBy("site", "url").agg(F.min("pos").alias("pos")).withColumn("ord", F.row_number().over(W.partitionBy("site").orderBy("pos", "url")).cast("bigint"))
+    unvisited = F.lit(None).cast("int")
+    state = checkpointed(start.unionByName(known.select("site", "url", F.lit(None).cast("int").alias("depth"), "ord")).withColumn("place", unvisited))
+    order = [F.coalesce("depth", F.lit(1 << 30)), "ord"]
+    site = W.partitionBy("site")
+    while True:
+        level = F.coalesce(F.col("depth"), F.lit(1 << 30))
+        told = state.withColumns({"done": F.count("place").over(site), "next": F.min(F.when(F.col("place").isNull(), level)).over(site)})
+        due = told.where(F.col("place").isNull() & (level == F.col("next")) & (F.col("done") < most))
+        due = due.withColumn("turn", F.row_number().over(site.orderBy(*order))).where(F.col("turn") <= most - F.col("done"))
+        visited = checkpointed(due.select("site", "url", "depth", (F.col("done") + F.col("turn")).cast("int").alias("now")))
+        if visited.isEmpty():
+            break
+        out = visited.withColumnRenamed("url", "src").join(links, ["site", "src"])
+        out = out.groupBy("site", F.col("dst").alias("url")).agg(F.min(F.struct("now", "pos")).alias("at"), F.min_by("depth", F.struct("now", "pos")).alias("depth"))
+        fresh = out.join(state.select("site", "url"), ["site", "url"], "left_anti")
+        sizes = state.groupBy("site").agg(F.count("*").alias("found"), F.max("ord").alias("last"))
+        fresh = fresh.withColumn("n", F.row_number().over(site.orderBy("at", "url"))).join(sizes, "site").where(F.col("found") + F.col("n") <= room)
+        fresh = fresh.select("site", "url", (F.col("depth") + 1).alias("depth"), (F.col("last") + F.col("n")).alias("ord"), unvisited.alias("place"))
+        moved = state.join(visited.select("site", "url", "now"), ["site", "url"], "left").withColumn("place", F.coalesce("place", "now")).drop("now")
+        state = checkpointed(moved.unionByName(fresh))
+    taken = state.where("place is not null")
+    parents = taken.select("site", F.col("url").alias("src"), F.col("place").alias("above"))
+    into = checkpointed(links.join(taken.where("depth is null").select("site", F.col("url").alias("dst"), "place"), ["site", "dst"]).join(parents, ["site", "src"]).select("site", "src", "dst", "place", "above").distinct())
+    settled = checkpointed(taken.select("site", "url", "depth", "place", F.col("depth").isNotNull().alias("sure")))
+    before = None
+    while True:
+        up = settled.where("depth is not null").select("site", F.col("url").alias("src"), F.col("depth").alias("d"), "sure")
+        told = into.join(up, ["site", "src"]).where("sure or above < place").groupBy("site", F.col("dst").alias("url")).agg((F.min("d") + 1).alias("d"))
+        settled = checkpointed(settled.join(told, ["site", "url"], "left").withColumn("depth", F.when(F.col("sure"), F.col("depth")).otherwise(F.col("d"))).drop("d"))
+        mark = tuple(settled.agg(F.count("depth"), F.sum("depth")).first())
+        if mark == before:
+            break
+        before = mark
+    left = state.groupBy("site").agg(F.count_if(F.col("place").isNull()).alias("uncrawled"))
+    return settled.join(left, "site").select("site", "url", "place", "depth", "uncrawled")

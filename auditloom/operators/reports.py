@@ -62,10 +62,15 @@ def savings(images: DataFrame) -> DataFrame:
 
 def rewrite(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, target, status): the first rule (ord, pattern, target, status) that fits; * is any rest, which :splat brings to
-    the target. rules is a configuration of a site, so it goes to every task; paths without a rule keep 200."""
-    ready = rules.withColumn("regex", F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.+?()\[\]{}|^$\\])", r"\\$1"), F.lit("*"), F.lit("(.*)")), F.lit("$")))
-    tests = ready.agg(F.array_sort(F.collect_list(F.struct("ord", "regex", "target", "status"))).alias("rules"))  # one row
-    first = F.get(F.filter("rules", lambda r: F.regexp_like(F.col("path"), r["regex"])), 0)
-    met = requests.crossJoin(F.broadcast(tests)).withColumn("r", first)
+    the target; paths without a rule keep 200. A path meets only rules whose beginning before the first * it has, through a join on that
+    beginning; rules and paths may both be many. A path that repeats gives its row as often; a null path fits no rule."""
+    regex = F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.+?()\[\]{}|^$\\])", r"\\$1"), F.lit("*"), F.lit("(.*)")), F.lit("$"))
+    ready = rules.where("pattern is not null").select("ord", "target", "status", regex.alias("regex"), F.substring_index("pattern", "*", 1).alias("begins"))
+    longest = ready.agg(F.coalesce(F.max(F.length("begins")), F.lit(0)).alias("longest"))  # one row
+    paths = requests.select("path").where("path is not null").distinct().crossJoin(F.broadcast(longest))
+    begun = paths.withColumn("n", F.explode(F.sequence(F.lit(0), F.least("longest", F.length("path"))))).select("path", F.left("path", "n").alias("begins"))
+    met = begun.join(ready, "begins").where(F.expr("path rlike regex"))
+    first = met.groupBy("path").agg(F.min_by(F.struct("regex", "target", "status"), "ord").alias("r"))
+    told = requests.select("path").join(first, "path", "left")
     splat = F.when(F.contains("r.regex", F.lit("(.*)")), F.expr("regexp_extract(path, r.regex, 1)")).otherwise("")
-    return met.select("path", F.coalesce(F.replace("r.target", F.lit(":splat"), splat), "path").alias("target"), F.coalesce("r.status", F.lit(200)).alias("status"))
+    return told.select("path", F.coalesce(F.replace("r.target", F.lit(":splat"), splat), "path").alias("target"), F.coalesce("r.status", F.lit(200)).alias("status"))
