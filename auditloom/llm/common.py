@@ -1,7 +1,10 @@
 """What several operators share: tables written in the shared folder, and components."""
 
 import atexit
+import ctypes
+import gc
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return Stash(df, label).df
 
 
+@contextmanager
+def freed_memory() -> Iterator[None]:
+    """For a task's Python: what it has freed goes back to the machine at its end, for its worker stays beside later stages."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

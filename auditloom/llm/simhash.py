@@ -2,7 +2,7 @@
 shingles have a Jaccard similarity of 0.8 or more, proposed by wide fingerprints and decided on the sets."""
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from auditloom.llm.common import bits_of, connected_components, matched, small_batches, stash
+from auditloom.llm.common import bits_of, connected_components, freed_memory, matched, small_batches, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -157,8 +157,13 @@ def wide_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.IntegerType()))]))
-def _wide(hashes: pd.Series) -> pd.DataFrame:
+def _wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A hash of the set, its wide fingerprint and its keys; an empty set has no keys."""
+    with freed_memory():
+        yield from map(_wide_batch, batches)
+
+
+def _wide_batch(hashes: pd.Series) -> pd.DataFrame:
     nodes, prints, keys = [], [], []
     for lo in range(0, len(hashes), 100):
         sets = [np.unique(np.asarray(h, np.int64)).view(np.uint64) for h in hashes.iloc[lo : lo + 100]]
@@ -178,20 +183,37 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _among(rows: DataFrame, name: str) -> Callable[[str], Column]:
+    """A test of a column for being among rows' numbers, by a bounded set of bits: true for all that are and for a few others."""
+    bits = rows.sparkSession.sparkContext.broadcast(bits_of(rows.select(F.xxhash64(name).alias("hash")), "hash", KEY_BITS, each=32))
+
+    @pandas_udf("boolean")
+    def has(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bits.value.has(hashes.to_numpy(np.int64)))
+
+    return lambda column: has(F.xxhash64(column))
+
+
 class _Texts:
     """What decides whether nodes (distinct sets of shingles) are similar."""
 
     def __init__(self, tagged: DataFrame, text: Column, width: int, least: float):
         self.width, self.least = width, least
-        self.reps = stash(tagged.groupBy(F.col("_node").alias("node")).agg(F.min("_row").alias("_row")), "reps")
-        self.prints = stash(tagged.join(self.reps.select("_row"), "_row", "left_semi").select(F.col("_node").alias("node"), "_fp", "_keys"), "prints")
+        least_row = tagged.groupBy(F.col("_node").alias("node")).agg(F.min("_row").alias("_row"), F.count("*").alias("rows"))
+        self.reps = stash(least_row, "reps")
+        # where a node has one row, that is it; the others are told by a join
+        printed = tagged.select(F.col("_node").alias("node"), "_row", "_fp", "_keys")
+        several = _among(self.reps.where("rows > 1"), "node")
+        first = printed.where(several("node")).join(self.reps.select("node", "_row"), ["node", "_row"], "left_semi")
+        self.prints = stash(printed.where(~several("node")).unionByName(first).select("node", "_fp", "_keys"), "prints")
         self.texts = tagged.select("_row", text.alias("_text"))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), whose fingerprints are close, whose sets have at least the Jaccard similarity asked for."""
         close = stash(pairs.distinct(), "close")
         nodes = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-        told = self.reps.join(nodes, "node").join(self.texts, "_row")
+        asked = stash(self.reps.select("node", "_row").join(nodes, "node"), "asked")
+        told = self.texts.where(_among(asked, "_row")("_row")).join(asked, "_row")  # no other text is shuffled
         sets = stash(with_shingles(told, F.col("_text"), self.width).select("node", F.array_distinct("_shingles").alias("members")), "sets")
         a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"_{x}")) for x in "ab")
         m, n = F.size("_a"), F.size("_b")
@@ -222,9 +244,8 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     there = own.sparkSession.sparkContext.broadcast(bits_of(owned.select("key"), "key", KEY_BITS, each=32))
 
     def hitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+        with freed_memory():
+            for part in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
                 lists = part.column(1)
                 nodes = part.column(0).to_numpy()[pc.list_value_length(lists).to_numpy() > 0]
                 probes = lists.flatten().to_numpy().reshape(len(nodes), SEGMENTS * PROBES)[:, SEGMENTS:]
@@ -252,10 +273,10 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
         second = placed.where("at <> main").join(pivots, "key").where(_close("_fp", "_pivot_fp"))
         links = stash(links.unionByName(texts.similar(second.select(*_pair("node", "pivot")))), "links")
     placed = stash(_placed(members, connected_components(links)), "mixed")
-    salts = 16
     many = F.col("n") > crowded
-    rest = placed.where("at <> main").select("key", "node", "own", "at", "_fp", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    every = placed.select("key", F.col("node").alias("other"), F.col("own").alias("owned"), F.col("at").alias("there"), F.col("_fp").alias("_other_fp"), many.alias("many"), F.when(many, F.pmod(F.hash("node"), salts)).otherwise(0).alias("salt"))
+    salts = F.least(F.ceil(F.col("n") / 512), F.lit(64)).cast("int")  # a bucket of the usual size is one
+    rest = placed.where("at <> main").select("key", "node", "own", "at", "_fp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    every = placed.select("key", F.col("node").alias("other"), F.col("own").alias("owned"), F.col("at").alias("there"), F.col("_fp").alias("_other_fp"), many.alias("many"), F.pmod(F.hash("node"), salts).alias("salt"))
     pairs = rest.join(every, ["key", "salt"]).where(F.expr("at <> there and (own or owned or many)") & _close("_fp", "_other_fp"))
     return connected_components(links.unionByName(texts.similar(pairs.select(*_pair("node", "other")))))
 
