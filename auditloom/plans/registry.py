@@ -1,8 +1,8 @@
 """The registered queries and, where SQL can express them, their DuckDB twins."""
 
-from auditloom.plans import pages, sites, streams, tables, texts
+from auditloom.plans import pages, scans, sites, streams, tables, texts
 
-MODULES = (pages, sites, streams, tables, texts)
+MODULES = (pages, scans, sites, streams, tables, texts)
 
 
 def queries() -> dict:
