@@ -81,9 +81,10 @@ URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table labels speaks of documents, not of URLs; so the pages that a listed rule fits are the labelled ones."""
-    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge_urls(pages, url_filter.listed_labels(pages, URL_RULES), URL_RULES)
+    """Rules are mined from all pages, labelled by their own visible text through the quality classifier, which learns from documents."""
+    model = quality.fit(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge_urls(pages.select("page_id", "url"), url_filter.text_labels(pages, model), URL_RULES)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions import html
+from auditloom.llm import quality
 from auditloom.llm.common import stash
 
 BAD = "label:bad"
@@ -87,11 +89,12 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("_row").agg(best).select("_row", "best.*")
 
 
-def listed_labels(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, bad): what the listed rules say of the pages that they fit. So the mined rules carry their verdicts on to URLs of
-    the same kind that no listed rule fits."""
-    _, verdict = listed_rule(*split_url(F.col(url_col)), rules)
-    return pages.select(F.col(id_col).alias("id"), (verdict == "block").alias("bad")).where("id is not null and bad is not null")
+def text_labels(pages: DataFrame, model: quality.Model, least: float = 0.3, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, bad): whether the quality model, which never sees an address, rejects the page's own visible text. Pages without text tell
+    nothing (null)."""
+    text = html.visible_text(html.without_raw(F.coalesce(F.col(html_col), F.lit(""))))
+    scored = quality.score_quality(pages.select(F.col(id_col).alias("id"), text.alias("text")), model)
+    return scored.select("id", F.when(F.col("text") != "", F.col("score") < least).alias("bad"))
 
 
 def judge_urls(
@@ -110,7 +113,8 @@ def judge_urls(
 
     A listed rule decides where one fits. Elsewhere a page is blocked if a mined rule fits, else allowed.
     labels has (id, bad): null bad and ids without a page don't count; several labels of an id: bad if one
-    says so. Rules are mined from about `bound` labelled pages (all whose hash falls in the share that gives so many), and must
+    says so. Rules are mined from about `bound` labelled pages (those whose hash of address and id falls in the share that gives so
+    many, however the files are split), and must
     hold in min_support of them and in min_rows pages, be right in min_confidence of the cases, and be so min_lift times as often as
     labelled pages are bad at all. Null or malformed urls have an empty host and path
     and no items, so they are allowed. Repeated rows each get a row; columns besides id and url are ignored.
@@ -118,16 +122,16 @@ def judge_urls(
     host, path = split_url(F.col(url_col))
     tagged = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
     items = F.when(F.col("host") != "", url_items(F.col("_url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>"))
-    tagged = stash(tagged.select("_row", "_id", "host", "path", items.alias("items")), "urls")
+    tagged = stash(tagged.select("_row", "_id", F.xxhash64("_url", "_id").alias("_hash"), "host", "path", items.alias("items")), "urls")
     told = labels.where("bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
-    labelled = stash(tagged.where(F.size("items") > 0).join(told, F.col("_id") == F.col("id")).select("_row", "items", "bad"), "labelled")
+    labelled = stash(tagged.where(F.size("items") > 0).join(told, F.col("_id") == F.col("id")).select("_hash", "items", "bad"), "labelled")
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     found = tagged.select("_row", "_id", "host", "path", rule.alias("rule"), verdict.alias("listed"))
     n = labelled.count()
     if n == 0:  # FP-growth takes no empty table
         found = found.withColumns({"rule_id": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     else:
-        some = labelled.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 30)) < bound / n * (1 << 30))
+        some = labelled.where(F.pmod("_hash", F.lit(1 << 30)) < bound / n * (1 << 30))
         found = found.join(match_rules(tagged, mine_rules(some, min_support, min_confidence, min_lift, min_rows)), "_row", "left")
     mined = F.when(F.col("rule_id").isNotNull(), "block").otherwise("allow")
     return found.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"), F.col("rule_id").alias("mined_rule"), "confidence")

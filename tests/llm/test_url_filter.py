@@ -1,10 +1,11 @@
 """The url filter: parsing, listed rules and mined rules against counting in Python."""
 
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from auditloom.llm import queries, url_filter
+from auditloom.llm import quality, queries, url_filter
 
 RULES = queries.URL_RULES
 
@@ -64,18 +65,38 @@ def test_rules_against_counting(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
-def test_mined_rules_carry_listed_verdicts_on(spark):
-    """On the whole table, without every fourth page's label: mined rules judge pages that no listed rule fits, and where a
-    listed rule is held back they agree with it."""
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    labels = url_filter.listed_labels(pages, RULES)
-    kept = labels.where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 0)
-    held = {r["id"]: r.bad for r in labels.where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 0).collect()}
-    got = {r.page_id: r for r in url_filter.judge_urls(pages, kept, ()).collect()}
-    blocked = [i for i in held if got[i].mined_rule]
-    assert len(held) > 200 and sum(held[i] for i in blocked) / len(blocked) >= 0.9
-    assert sum(map(held.get, blocked)) / sum(held.values()) >= 0.9
-    assert sum(r.mined_rule is not None and listed(r.host, r.path)[0] is None for r in got.values()) > 100
+def test_hosts_that_no_labelled_page_has(spark):
+    """Farms share parts of their addresses; labels of some hosts tell on pages of others, noise and chance tokens don't."""
+    r = random.Random(0)
+    pages, bad = [], []
+    for i in range(2400):
+        farm = i % 4 == 0
+        host = f"h{r.randrange(60)}.{r.choice(['win', 'deals'])}.example" if farm else f"h{r.randrange(60)}.{r.choice(['news', 'win-news', 'deal'])}.example"
+        pages.append((i, f"https://{host}/{r.choice(['en', 'de'])}/{r.randrange(999)}" + ("?ref=x" if r.random() < 0.3 else "")))
+        bad.append(farm != (r.random() < 0.05))
+    seen = {f"h{k}" for k in range(40)}
+    labels = [(i, b) for (i, u), b in zip(pages, bad, strict=True) if u.split("//")[1].split(".")[0] in seen]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    for d in (df, df.repartition(7)):
+        got = {x.page_id: x for x in url_filter.judge_urls(d, spark.createDataFrame(labels, "id long, bad boolean"), (), bound=1000).collect()}
+        unseen = [i for i, u in pages if u.split("//")[1].split(".")[0] not in seen]
+        assert len(unseen) > 600 and all((got[i].verdict == "block") == (i % 4 == 0) for i in unseen)
+
+
+def test_labels_come_from_the_text(spark):
+    """Addresses and listed rules have no part in them; pages without text have none."""
+    docs = [(i, ("plain words make up this text and it goes on " * 9) if i % 2 else ("$$$ %% 77 !!! @@ " * 20)) for i in range(60)]
+    model = quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int"))
+    pages = [(1, "net", f"<p>{docs[1][1]}</p>"), (2, "net", f"<script>plain words</script><body>{docs[0][1]}</body>"), (3, "x", "<script>x</script>"), (4, "x", None)]
+    got = url_filter.text_labels(spark.createDataFrame(pages, "page_id long, url string, html string"), model)
+    assert {r["id"]: r.bad for r in got.collect()} == {1: False, 2: True, 3: None, 4: None}
+
+
+def test_no_rule_restates_a_listed_one(spark):
+    """On the whole table, whose texts don't depend on their addresses, no rule is found, and a listed rule's end doesn't become one."""
+    got = queries.op9_url_filter(spark, "/root/testdata/sf0.01").collect()
+    unlisted = [r for r in got if r.rule is None]
+    assert len(got) == 250 and unlisted and sum(r.verdict == "block" for r in unlisted) / len(unlisted) < 0.2
 
 
 def test_query_and_empty(spark, sf_dir):
