@@ -145,7 +145,10 @@ def site_hits(sited: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     hosts = F.transform("hrefs", lambda h: urls.host(urls.resolve(h, F.col("url"))))
 
     def linked(pattern: str) -> Column:
-        return F.when(ever(F.exists(hosts, lambda h: h.rlike(pattern))), 1).otherwise(0)
+        told = F.exists(hosts, lambda h: h.rlike(pattern))
+        if "person_links" in sited.columns:  # what Person nodes name counts as well
+            told = told | F.coalesce(F.exists("person_links", lambda u: u.rlike("(?i)" + pattern)), F.lit(False))
+        return F.when(ever(told), 1).otherwise(0)
 
     shops = linked(r"amazon\.[a-z.]+|amzn\.to") + linked(r"goodreads\.com") + linked(r"bookbub\.com")
     home = F.min_by("url", "ord")

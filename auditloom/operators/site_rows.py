@@ -10,6 +10,7 @@ from auditloom.functions import html, validation
 from auditloom.operators import graph, jsonld, robots
 from auditloom.operators.rules import FEW_SAMEAS
 
+# Fixed value
 ABOUT_LINK = r"(?i)\(https?://[^)]*(about|bio|author|meet)[^)]*\)"
 OK_STATUS = "status between 200 and 299"
 
@@ -65,6 +66,13 @@ def sitemap_rows(sitemaps: DataFrame, files: DataFrame, sited: DataFrame) -> Dat
     )
 
 
+def bing_rows(files: DataFrame, sited: DataFrame) -> DataFrame:
+    """files: (site, ok, text) of the verification file; a page that answered well may have the meta tag instead (bing_verification)."""
+    marked = sited.where(OK_STATUS).where("bing_verification").select("site")
+    filed = files.where(_is(F.col("ok")) & F.coalesce("text", F.lit("")).rlike("(?i)<user>")).select("site")
+    return _rows(sited.select("site").distinct().join(marked.unionByName(filed).distinct(), "site", "left_anti"), "bing_verification_not_found")
+
+
 def orphan_rows(sited: DataFrame, links: DataFrame, sitemap: DataFrame, sites: DataFrame) -> DataFrame:
     """Arguments as in graph.orphans(); pages that answered well only."""
     return _rows(graph.orphans(sited.where(OK_STATUS).select("site", "url"), links, sitemap, sites), "orphan_pages", "url")
@@ -73,9 +81,10 @@ def orphan_rows(sited: DataFrame, links: DataFrame, sitemap: DataFrame, sites: D
 def probe_rows(images: DataFrame, http: DataFrame) -> DataFrame:
     """images: (site, url, status) of probed images; http: (site, homepage, ok, redirects): the homepage's http address,
     whether it answered, and whether it led to https."""
-    broken = images.where(~_is(F.expr(OK_STATUS))).select("site").distinct()
+    told = F.concat("url", F.lit(" (HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("0")), F.lit(")"))
+    broken = images.where(~_is(F.expr(OK_STATUS))).select("site", told.alias("url")).distinct()
     open_http = http.where(F.startswith("homepage", F.lit("https://")) & _is(F.col("ok")) & ~_is(F.col("redirects")))
-    return _all(_rows(broken, "schema_image_broken"), _rows(open_http, "http_not_redirected"))
+    return _all(_rows(broken, "schema_image_broken", "url"), _rows(open_http, "http_not_redirected"))
 
 
 def person_rows(parsed: DataFrame) -> DataFrame:
@@ -88,10 +97,28 @@ def person_rows(parsed: DataFrame) -> DataFrame:
 
 
 def with_jsonld(facts: DataFrame, pages: DataFrame) -> DataFrame:
-    """facts with invalid_jsonld, books_incomplete and faq_mismatches of the page's JSON-LD, for by_site(). pages:
+    """facts with invalid_jsonld, books_incomplete, faq_mismatches and person_links of the page's JSON-LD, for by_site() and site_hits(). pages:
     (page_id, html), each page once."""
     nodes, shown = F.col("ld.nodes"), html.visible_text(html.without_raw(F.coalesce(F.col("html"), F.lit(""))))
     told = jsonld.with_nodes(pages.select("page_id", "html")).select(
-        "page_id", F.col("ld.invalid").alias("invalid_jsonld"), jsonld.books_incomplete(nodes).alias("books_incomplete"), F.size(validation.faq_mismatch(jsonld.faq_entries(nodes), shown)).alias("faq_mismatches")
+        "page_id", F.col("ld.invalid").alias("invalid_jsonld"), jsonld.books_incomplete(nodes).alias("books_incomplete"), F.size(validation.faq_mismatch(jsonld.faq_entries(nodes), shown)).alias("faq_mismatches"),
+        jsonld.same_as(jsonld.of_type(nodes, "Person")).alias("person_links"),
+    )
+    return facts.drop("invalid_jsonld", "books_incomplete", "faq_mismatches", "person_links").join(told, "page_id", "left")
+
+
+def bundle(sited: DataFrame, pages: DataFrame, links: DataFrame, sites: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
+    """All rows that a site's bundle gives, for rules.issues(extra=...). sited: facts by site; pages: (page_id, site, url, status, html);
+    links: (site, src, dst); sites: (site, homepage, uncrawled). files: robots (site, ok, status, text), llms, sitemap and bing
+    (site, ok, text), images (site, url, status) and http (site, homepage, ok, redirects); each has a row for a site, also where
+    there is none, but images."""
+    listed = robots.sitemap_urls(files["sitemap"].where(_is(F.col("ok")))).select("site", "url").distinct()
+    return _all(
+        robots_rows(files["robots"]),
+        llms_rows(files["llms"]),
+        bing_rows(files["bing"], sited),
+        sitemap_rows(files["sitemap"], files["robots"], sited),
+        orphan_rows(sited, links, listed, sites),
+        probe_rows(files["images"], files["http"]),
+        person_rows(jsonld.with_nodes(pages)),
     )
-    return facts.drop("invalid_jsonld", "books_incomplete", "faq_mismatches").join(told, "page_id", "left")

@@ -1,10 +1,12 @@
 """Scans of pages with structured data, canonical links, robots files and sitemaps, made from the pages table."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from auditloom.checkpoints import checkpointed
 from auditloom.functions import html, urls
-from auditloom.operators import facts, jsonld, robots
+from auditloom.operators import facts, graph, jsonld, robots, rules, site_rows
 from auditloom.plans.literals import quoted as q
 from auditloom.plans.pages import FACTS_SQL
 
@@ -12,13 +14,15 @@ LD = '<script type="application/ld+json">'
 #: What is added to a page, by the rest of its id modulo their number.
 MARKUP = (
     "",
-    LD + '{"@graph":[{"@type":"https://schema.org/Book","author":{"@type":["http://schema.org/Person","Thing"],"sameAs":["https://x.com/a","https://y.com/a"]},"image":"https://i.com/1.png"}]}</script><a href="https://www.goodreads.com/x">x</a>',
+    LD + '{"@graph":[{"@type":"https://schema.org/Book","author":{"@type":["http://schema.org/Person","Thing"],"sameAs":["https://x.com/a","https://www.amazon.com/stores/a"]},"image":"https://i.com/1.png"}]}</script><a href="https://www.goodreads.com/x">x</a>',
     LD + '{"@type":"LocalBusiness","makesOffer":{"x":1},"logo":{"url":"http://i.com/2.png"}}</script>',
     LD + '{"@type":"Organization","hasMenu":"","logo":["https://i.com/3.png",{"url":"https://i.com/4.png"},7]}</script><a href="https://notgoodreads.com/">no</a>',
     LD + "{bad</script>",
     LD + '{"@type":"Thing","s":"{\\"@type\\":\\"Book\\"}","hasOfferCatalog":[{}]}</script>' + LD + '"@type"</script>',
     LD + '{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"Is <it> there?","acceptedAnswer":{"@type":"Answer","text":"no such text"}},{"@type":"Question","name":""}]}</script>' + LD + '{"@type":"HTTPS://Schema.org/Dentist"}</script>',
     LD + '{"a":[[{"b":{"@type":"Person","url":"https://p.com","jobTitle":"Author","description":"d"}}]],"makesOffer":false}</script>' + LD + '[{"@type":"Book","author":"A","workExample":[{"isbn":"1"}],"image":"/x.png"}]</script>',
+    LD + '{"@type":"Book","author":{"@type":"Person","name":"N","sameAs":["https://x.com/a","https://www.amazon.com/stores/a"]},"image":"https://i.com/1.png"}</script><a href="https://www.goodreads.com/x">x</a>',
+    LD + '{"@type":["Person"],"sameAs":["https://www.goodreads.com/a","https://bookbub.com/a","https://z.com/a","https://z.com/a"],"jobTitle":"Author"}</script>',
 )
 #: robots.txt of a site, by the length of its name modulo their number: status and text.
 ROBOTS = ((404, None), (200, "User-agent: Googlebot\nDisallow: /\n"), (503, None), (200, "User-agent: *\nDisallow: /en\nAllow: /en/*.html$\nDisallow: /*?page=\nSitemap: https://s.example/map.xml\n"))
@@ -58,6 +62,46 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the bundle query: those that look beyond a page's markup.
+BUNDLE = (
+    "ai_search_bot_blocked", "ai_training_bot_blocked", "robots_unavailable", "llms_txt_missing", "llms_txt_no_about_link", "llms_txt_malformed", "bing_verification_not_found", "sameas_thin", "person_schema_thin",
+    "schema_image_broken", "faq_schema_mismatch", "book_schema_incomplete", "jsonld_invalid", "retailer_links_thin", "broken_internal_links", "deep_pages", "orphan_pages", "sitemap_missing", "sitemap_not_in_robots",
+    "sitemap_broken_urls", "http_not_redirected",
+)
+BUNDLE_ROBOTS = ((404, None), (200, "User-agent: OAI-SearchBot\nDisallow: /\n\nUser-agent: GPTBot\nDisallow: /\n"), (503, None), (200, "User-agent: *\nAllow: /\nSitemap: https://s.example/map.xml\n"))
+BUNDLE_LLMS = (None, "# Name\n\n> What it is.\n\n- [About us](https://s.example/about): who we are\n", "plain words that go on for a while, with no heading, no summary and no link")
+
+
+def _picked(choices: tuple, k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, choices)), (F.pmod(k, F.lit(len(choices))) + 1).cast("int"))
+
+
+def bundle_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as sites with files and probes that depend on the length of their name, statuses on the page's id; pages link to three others
+    each, in the order of their addresses, but every seventh is left out."""
+    pages = _made(spark, sf_dir).withColumn("site", urls.host(F.col("url"))).withColumn("status", F.when(F.pmod("page_id", F.lit(11)) == 0, 404).otherwise(200))
+    placed = checkpointed(pages.select("site", "url").distinct().withColumn("r", F.row_number().over(W.partitionBy("site").orderBy("url")) - 1))
+    above = placed.select("site", F.col("url").alias("src"), F.col("r").alias("up"))
+    links = placed.where("r > 0 and r % 7 <> 6").withColumn("up", F.floor((F.col("r") - 1) / 3).cast("int")).join(above, ["site", "up"]).select("site", "src", F.col("url").alias("dst"))
+    homes = placed.where("r = 0").select("site", "url")
+    found = facts.page_facts(pages.select("page_id", "url", "html", "status")).withColumn("site", urls.host(F.col("url"))).join(graph.depths(links, homes), ["site", "url"], "left").drop("site")
+    sited = checkpointed(rules.by_site(site_rows.with_jsonld(found, pages.select("page_id", "html"))))
+    first = sited.groupBy("site").agg(F.min_by("url", "page_id").alias("homepage")).withColumn("k", F.length("site"))
+    k, yes = F.col("k"), F.lit(True)
+    status = _picked(tuple(x for x, _ in BUNDLE_ROBOTS), k)
+    locs = sited.groupBy("site").agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>")))), ""), F.lit("</urlset>")).alias("text"))
+    files = {
+        "robots": first.select("site", (status == 200).alias("ok"), status.alias("status"), _picked(tuple(x for _, x in BUNDLE_ROBOTS), k).alias("text")),
+        "llms": first.select("site", (k % 3 != 0).alias("ok"), _picked(BUNDLE_LLMS, k).alias("text")),
+        "sitemap": first.join(locs, "site").select("site", (k % 3 != 0).alias("ok"), "text"),
+        "bing": first.select("site", yes.alias("ok"), F.when(k % 5 == 0, "<users><user>1</user></users>").alias("text")),
+        "images": first.select("site", F.concat(F.lit("https://"), "site", F.lit("/logo.png")).alias("url"), F.when(k % 6 == 0, 404).otherwise(200).alias("status")),
+        "http": first.select("site", "homepage", yes.alias("ok"), (k % 3 == 0).alias("redirects")),
+    }
+    extra = checkpointed(site_rows.bundle(sited, pages, links, homes.select("site", F.col("url").alias("homepage"), F.lit(0).alias("uncrawled")), files))
+    return rules.issues(sited, extra).where(F.col("rule").isin(*BUNDLE)).select("site", "rule", "severity", "impact", "n_pages")
+
+
 _MADE = f"""made AS (SELECT page_id, url, coalesce(html, '') || list_extract([{", ".join(map(q, MARKUP))}], page_id % {len(MARKUP)} + 1) || CASE WHEN page_id % 3 = 0 THEN '<link rel="canonical" href="' || url || '">' ELSE '' END AS html FROM pages)"""
 TREE_SQL = f"""
 blocks AS (SELECT page_id, unnest(regexp_extract_all(html, {q(html.LD_JSON)}, 1)) AS body FROM made),
@@ -90,4 +134,25 @@ SELECT page_id, schema_points, entity_links_points, canonical_points, bot_access
     "page_nodes": f"WITH {_MADE}, {TREE_SQL}, {NODES_SQL} SELECT * FROM summary",
 }
 
-QUERIES = {f.__name__: f for f in (site_scans, page_nodes)}
+SQL["bundle_issues"] = f"""WITH RECURSIVE {_MADE}, {TREE_SQL},
+p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, page_id % 11 <> 0 AS ok, page_id % 10 AS kind, dense_rank() OVER (PARTITION BY lower(regexp_extract(url, '://([^/?#]*)', 1)) ORDER BY url) - 1 AS r FROM made),
+tree_depth(site, r, depth) AS (SELECT DISTINCT site, 0::BIGINT, 0 FROM p UNION SELECT p.site, p.r, depth + 1 FROM tree_depth t JOIN p ON p.site = t.site AND p.r > 0 AND p.r % 7 <> 6 AND (p.r - 1) // 3 = t.r),
+sites AS (SELECT site, length(site) AS k, min_by(url, page_id) AS home, count(*) FILTER (ok AND kind = 7) AS sevens, count(*) FILTER (ok AND kind = 8) AS eights, count(*) FILTER (ok AND kind = 9) AS nines FROM p GROUP BY site),
+invalid AS (SELECT p.site, count(DISTINCT page_id) AS n FROM p JOIN blocks USING (page_id) WHERE ok AND NOT json_valid(body) GROUP BY p.site),
+found AS (
+  SELECT site, 'ai_search_bot_blocked' AS rule, 0 AS n FROM sites WHERE k % 4 = 1 UNION ALL SELECT site, 'ai_training_bot_blocked', 0 FROM sites WHERE k % 4 = 1 UNION ALL SELECT site, 'robots_unavailable', 0 FROM sites WHERE k % 4 = 2
+  UNION ALL SELECT site, 'llms_txt_missing', 0 FROM sites WHERE k % 3 = 0 UNION ALL SELECT site, unnest(['llms_txt_no_about_link', 'llms_txt_malformed']), 0 FROM sites WHERE k % 3 = 2
+  UNION ALL SELECT site, 'bing_verification_not_found', 0 FROM sites WHERE k % 5 <> 0
+  UNION ALL SELECT site, 'sameas_thin', 0 FROM sites WHERE sevens + eights > 0 AND nines = 0 UNION ALL SELECT site, 'person_schema_thin', eights + nines FROM sites WHERE eights + nines > 0 AND sevens = 0
+  UNION ALL SELECT site, 'schema_image_broken', 1 FROM sites WHERE k % 6 = 0 UNION ALL SELECT site, 'retailer_links_thin', 0 FROM sites WHERE eights + nines = 0
+  UNION ALL SELECT site, 'faq_schema_mismatch', count(*) FROM p WHERE ok AND kind = 6 GROUP BY site UNION ALL SELECT site, 'book_schema_incomplete', count(*) FROM p WHERE ok AND kind = 8 GROUP BY site
+  UNION ALL SELECT site, 'jsonld_invalid', n FROM invalid UNION ALL SELECT site, 'broken_internal_links', count(*) FROM p WHERE NOT ok GROUP BY site
+  UNION ALL SELECT site, 'deep_pages', count(*) FROM p JOIN tree_depth USING (site, r) WHERE ok AND depth > 3 GROUP BY site
+  UNION ALL SELECT site, 'orphan_pages', count(*) FROM p JOIN sites USING (site) WHERE ok AND k % 3 <> 0 AND r % 7 = 6 GROUP BY site
+  UNION ALL SELECT site, 'sitemap_missing', 0 FROM sites WHERE k % 3 = 0 UNION ALL SELECT site, 'sitemap_not_in_robots', 0 FROM sites WHERE k % 3 <> 0 AND k % 4 <> 3
+  UNION ALL SELECT site, 'sitemap_broken_urls', count(*) FROM p JOIN sites USING (site) WHERE NOT ok AND k % 3 <> 0 GROUP BY site
+  UNION ALL SELECT site, 'http_not_redirected', 0 FROM sites WHERE home LIKE 'https://%' AND k % 3 <> 0),
+known(rule, severity, impact) AS (VALUES ('ai_search_bot_blocked', 'warning', 3), {", ".join(f"({q(r[0])}, {q(r[2])}, {r[3]})" for r in rules.RULES if r[0] != "ai_search_bot_blocked")})
+SELECT site, rule, severity, impact, n AS n_pages FROM found JOIN known USING (rule)"""
+
+QUERIES = {f.__name__: f for f in (site_scans, page_nodes, bundle_issues)}
