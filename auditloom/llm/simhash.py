@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from auditloom.llm.common import bits_of, connected_components, freed_memory, matched, small_batches, stash
+from auditloom.llm.common import Stash, bits_of, connected_components, freed_memory, matched, small_batches, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -205,26 +205,30 @@ class _Texts:
         printed = tagged.select(F.col("_node").alias("node"), "_row", "_fp", "_keys")
         several = _among(self.reps.where("rows > 1"), "node")
         first = printed.where(several("node")).join(self.reps.select("node", "_row"), ["node", "_row"], "left_semi")
-        self.prints = stash(printed.where(~several("node")).unionByName(first).select("node", "_fp", "_keys"), "prints")
+        self.prints = printed.where(~several("node")).unionByName(first).select("node", "_fp", "_keys")
         self.texts = tagged.select("_row", text.alias("_text"))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), whose fingerprints are close, whose sets have at least the Jaccard similarity asked for."""
-        close = stash(pairs.distinct(), "close")
+        kept = Stash(pairs.distinct(), "close")
+        close = kept.df
         nodes = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-        asked = stash(self.reps.select("node", "_row").join(nodes, "node"), "asked")
-        told = self.texts.where(_among(asked, "_row")("_row")).join(asked, "_row")  # no other text is shuffled
-        sets = stash(with_shingles(told, F.col("_text"), self.width).select("node", F.array_distinct("_shingles").alias("members")), "sets")
-        a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"_{x}")) for x in "ab")
+        asked = Stash(self.reps.select("node", "_row").join(nodes, "node"), "asked")
+        told = self.texts.where(_among(asked.df, "_row")("_row")).join(asked.df, "_row")  # no other text is shuffled
+        sets = Stash(with_shingles(told, F.col("_text"), self.width).select("node", F.array_distinct("_shingles").alias("members")), "sets")
+        a, b = (sets.df.select(F.col("node").alias(x), F.col("members").alias(f"_{x}")) for x in "ab")
         m, n = F.size("_a"), F.size("_b")
         likely = close.join(a, "a").join(b, "b").where(F.least(m, n) >= self.least * F.greatest(m, n))
         common = likely.withColumn("_common", F.size(F.array_intersect("_a", "_b")))
-        return stash(common.where(F.col("_common") / (m + n - F.col("_common")) >= self.least).select("a", "b"), "similar")
+        found = stash(common.where(F.col("_common") / (m + n - F.col("_common")) >= self.least).select("a", "b"), "similar")
+        for done in (kept, asked, sets):
+            done.drop()
+        return found
 
 
 def _placed(members: DataFrame, linked: DataFrame) -> DataFrame:
     """members with at, the component that the node is in so far, and main, the bucket's largest."""
-    placed = stash(members.join(linked, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component"), "placed")
+    placed = members.join(linked, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
     parts = placed.groupBy("key", "at").agg(F.count("*").alias("n_at"))
     main = parts.groupBy("key").agg(F.max_by("at", F.struct("n_at", "at")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main", F.lit(1).alias("one"))
     return placed.join(main, "key")
@@ -240,8 +244,8 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     bucket is left out."""
     # a set of bits tells which values some text has, so only probes that hit leave their task (and a few others, which `sizes` drops)
     own = texts.prints.select("node", F.explode(F.slice("_keys", 1, SEGMENTS)).alias("key"))
-    owned = stash(own.groupBy("key").agg(F.count("*").alias("owners")), "owned")
-    there = own.sparkSession.sparkContext.broadcast(bits_of(owned.select("key"), "key", KEY_BITS, each=32))
+    owned = Stash(own.groupBy("key").agg(F.count("*").alias("owners")), "owned")
+    there = own.sparkSession.sparkContext.broadcast(bits_of(owned.df.select("key"), "key", KEY_BITS, each=32))
 
     def hitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with freed_memory():
@@ -253,12 +257,15 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[row]), pa.array(probes[row, at])], ["node", "key"])
 
     probing = texts.prints.select("node", "_keys").mapInArrow(hitting, "node bigint, key int")
-    hits = stash(probing, "hits")
+    hits = Stash(probing, "hits")
     n = F.col("owners") + F.coalesce("probes", F.lit(0))
-    sizes = stash(owned.join(hits.groupBy("key").agg(F.count("*").alias("probes")), "key", "left").select("key", n.alias("n")).where("n > 1"), "sizes")
-    dealt = own.withColumn("own", F.lit(True)).unionByName(hits.withColumn("own", F.lit(False)))
+    sizes = Stash(owned.df.join(hits.df.groupBy("key").agg(F.count("*").alias("probes")), "key", "left").select("key", n.alias("n")).where("n > 1"), "sizes")
+    dealt = own.withColumn("own", F.lit(True)).unionByName(hits.df.withColumn("own", F.lit(False)))
     # the fingerprints ride along, so that a bucket's join gives close pairs only
-    members = stash(matched(dealt, sizes, ["key"], "n").join(texts.prints.select("node", "_fp"), "node").select("key", "node", "own", "n", "_fp"), "members")
+    kept = Stash(matched(dealt, sizes.df, ["key"], "n").join(texts.prints.select("node", "_fp"), "node").select("key", "node", "own", "n", "_fp"), "members")
+    members = kept.df
+    for done in (owned, hits, sizes):
+        done.drop()
     links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     crowd = members.where(F.col("n") > crowded)
     if not crowd.isEmpty():
@@ -273,6 +280,7 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
         second = placed.where("at <> main").join(pivots, "key").where(_close("_fp", "_pivot_fp"))
         links = stash(links.unionByName(texts.similar(second.select(*_pair("node", "pivot")))), "links")
     placed = stash(_placed(members, connected_components(links)), "mixed")
+    kept.drop()
     many = F.col("n") > crowded
     salts = F.least(F.ceil(F.col("n") / 512), F.lit(64)).cast("int")  # a bucket of the usual size is one
     rest = placed.where("at <> main").select("key", "node", "own", "at", "_fp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
