@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from auditloom.checkpoints import written
 from auditloom.functions import scoring, urls
 
 # Id, category, severity, impact, effort, in the order that breaks ties of priority
@@ -171,26 +172,35 @@ def site_hits(sited: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return found.unionByName(extra.select("site", "rule", "pages")) if extra is not None else found
 
 
-def issue_pages(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None) -> DataFrame:
-    """(site, rule, ord, url): the pages of every issue, one a row; ord is null where a rule about a site names a page."""
-    named = site_hits(sited, extra).select("site", "rule", F.lit(None).cast("bigint").alias("ord"), F.explode("pages").alias("url"))
-    return page_hits(sited, now).select("site", "rule", F.col("ord").cast("bigint").alias("ord"), "url").unionByName(named)
+def hits(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """page_hits() and site_hits(), written once for issues() and issue_pages() of the same facts."""
+    return written(page_hits(sited, now), "page-hits"), written(site_hits(sited, extra), "site-hits")
 
 
-def issues(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None, overrides: dict | None = None) -> DataFrame:
+def issue_pages(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(site, rule, ord, url): the pages of every issue, one a row; ord is null where a rule about a site names a page. found: hits()
+    of the same facts, where they are at hand."""
+    on_pages, on_sites = found or (page_hits(sited, now), site_hits(sited, extra))
+    named = on_sites.select("site", "rule", F.lit(None).cast("bigint").alias("ord"), F.explode("pages").alias("url"))
+    return on_pages.select("site", "rule", F.col("ord").cast("bigint").alias("ord"), "url").unionByName(named)
+
+
+def issues(sited: DataFrame, extra: DataFrame | None = None, now: Column | None = None, overrides: dict | None = None, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(site, rule_ord, rule, category, severity, impact, effort, priority, quadrant, n_pages): every broken rule of every
     site. Which pages break it is a table of its own, issue_pages(), so that a site's size doesn't matter. overrides:
-    category, severity, impact and effort of rules that depend on how far they are broken."""
+    category, severity, impact and effort of rules that depend on how far they are broken. found: hits() of the same facts, where
+    they are at hand."""
     spark = sited.sparkSession
-    counted = page_hits(sited, now).groupBy("site", "rule").agg(F.count("*").alias("n_pages"))
-    wide = site_hits(sited, extra).groupBy("site", "rule").agg(F.sum(F.size("pages")).alias("n_pages"))
+    on_pages, on_sites = found or (page_hits(sited, now), site_hits(sited, extra))
+    counted = on_pages.groupBy("site", "rule").agg(F.count("*").alias("n_pages"))
+    wide = on_sites.groupBy("site", "rule").agg(F.sum(F.size("pages")).alias("n_pages"))
     rows = [(i, r[0], *(overrides or {}).get(r[0], r[1:])) for i, r in enumerate(RULES, 1)]
     dim = spark.createDataFrame(rows, "rule_ord int, rule string, category string, severity string, impact int, effort int")
-    found = counted.unionByName(wide).join(F.broadcast(dim), "rule")  # 46 fixed rows
+    broken = counted.unionByName(wide).join(F.broadcast(dim), "rule")  # 46 fixed rows
     if extra is not None and {"severity", "impact"} <= set(extra.columns):  # where a site's own facts decide
         own = extra.where(F.col("severity").isNotNull()).select("site", "rule", F.col("severity").alias("_severity"), F.col("impact").alias("_impact")).distinct()
-        found = found.join(own, ["site", "rule"], "left").withColumns({"severity": F.coalesce("_severity", "severity"), "impact": F.coalesce("_impact", "impact")}).drop("_severity", "_impact")
-    return found.withColumn("priority", scoring.priority(F.col("impact"), F.col("severity"), F.col("effort"))).withColumn("quadrant", scoring.quadrant(F.col("impact"), F.col("effort")))
+        broken = broken.join(own, ["site", "rule"], "left").withColumns({"severity": F.coalesce("_severity", "severity"), "impact": F.coalesce("_impact", "impact")}).drop("_severity", "_impact")
+    return broken.withColumn("priority", scoring.priority(F.col("impact"), F.col("severity"), F.col("effort"))).withColumn("quadrant", scoring.quadrant(F.col("impact"), F.col("effort")))
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.checkpoints import checkpointed
+from auditloom.checkpoints import written
 from auditloom.functions import html, urls
 from auditloom.operators import artifacts, facts, rules
 from auditloom.plans.literals import quoted as q
@@ -57,7 +57,7 @@ def thin_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts by site, written once: the rules look at them several times, and the regular expressions are what costs."""
-    return checkpointed(rules.by_site(_facts(spark, sf_dir)))
+    return written(rules.by_site(_facts(spark, sf_dir)), "sited")
 
 
 def issues_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,8 @@ def issues_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     sited = _sited(spark, sf_dir)
-    return rules.site_scores(rules.issues(sited), rules.issue_pages(sited), sited)
+    found = rules.hits(sited)
+    return rules.site_scores(rules.issues(sited, found=found), rules.issue_pages(sited, found=found), sited)
 
 
 def quadrant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
