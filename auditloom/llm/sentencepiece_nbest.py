@@ -423,9 +423,9 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False, cached: int = CACHED_CHUNKS, keep: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", verify: bool = False, cached: int = CACHED_CHUNKS, keep: bool = True, back: bool = False) -> DataFrame:
     """docs and nbest: array<struct<score: double, ids: array<int>>>, best first; with verify also lossless: whether the
-    best segmentation decodes to the text. cached bounds the memory that a worker
+    best segmentation decodes to the text; with back also decoded: the text that the best segmentation's ids decode to. cached bounds the memory that a worker
     keeps; without keep it keeps none between tasks.
 
     Fewer than n segmentations come back where a text has fewer. An empty text has one, without pieces; a null
@@ -433,7 +433,7 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", ve
     stays empty; columns of docs with the names of the added ones are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    added = ["nbest", "lossless"][: 1 + verify]
+    added = ["nbest", *["lossless"] * verify, *["decoded"] * back]
     source = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
     place = source.columns.index(text_col)
     kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
@@ -446,7 +446,7 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", ve
                 texts = batch.column(place).to_pylist()
                 cuts = [encoder.cut(text) if text else [] for text in texts]
                 encoder.prepare(chain.from_iterable(cuts))
-                flat, ends, scores, rows, known, same = bytearray(), array("i", [0]), [], array("i", [0]), [], []
+                flat, ends, scores, rows, known, same, texts_back = bytearray(), array("i", [0]), [], array("i", [0]), [], [], []
                 for text, chunks in zip(texts, cuts, strict=True):
                     found = encoder.encode(text, chunks) if text is not None else []
                     for score, ids in found:
@@ -455,18 +455,22 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, text_col: str = "text", ve
                         scores.append(score / UNIT)
                     rows.append(len(scores))
                     known.append(text is not None)
-                    if verify:
-                        same.append(decode_ids(encoder.vocabulary, array("i", found[0][1]).tolist()) == text if found else None)
+                    if verify or back:
+                        decoded = decode_ids(encoder.vocabulary, array("i", found[0][1]).tolist()) if found else None
+                        same.append(decoded == text if found else None)
+                        texts_back.append(decoded if back else None)
                 ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
                 each = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), ids], ["score", "ids"])
                 offsets = pa.array(np.frombuffer(rows, np.int32), mask=np.append(~np.array(known, bool), False))
                 nbest = pa.ListArray.from_arrays(offsets, each).cast(kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[nbest, pa.array(same, pa.bool_())][: 1 + verify]], [*batch.schema.names, *added])
+                more = [nbest, *[pa.array(same, pa.bool_())] * verify, *[pa.array(texts_back, pa.string())] * back]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
         if not keep:
             _encoders.clear()
 
-    kinds = [T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])), T.BooleanType()]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, *(T.StructField(name, kind) for name, kind in zip(added, kinds, strict=False))]))
+    segmentations = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    kinds = {"nbest": segmentations, "lossless": T.BooleanType(), "decoded": T.StringType()}
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *(T.StructField(name, kinds[name]) for name in added)]))
 
 
 def decoder(spark: SparkSession, model: bytes):

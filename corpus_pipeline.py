@@ -1,10 +1,11 @@
 """A corpus pipeline: rejects low quality, drops copies and near copies, mixes sources, and encodes."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditloom.llm import exact_dedup, mixing, quality, sentencepiece_nbest, simhash
 from auditloom.llm.common import stash
-from auditloom.llm.queries import PIECES
+from auditloom.llm.queries import N_BEST, PIECES
 
 #: Documents whose quality score is below this go.
 LEAST_QUALITY = 0.3
@@ -30,10 +31,23 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's best segmentation."""
-    encoded = sentencepiece_nbest.encode(docs, sentencepiece_nbest.read_model(PIECES), n=1, cached=100_000, keep=False)  # the other stages need the memory
-    best = encoded["nbest"][0]
-    return encoded.select("doc_id", "lang", "source", best["ids"].alias("ids"), best["score"].alias("score"))
+    """Each row's best segmentation, how many are known of those asked for and how far the last of them falls behind, and the text that the best one's ids
+    decode to."""
+    model = sentencepiece_nbest.read_model(PIECES)
+    # the other stages need the memory; decoding takes place in the same tasks
+    encoded = sentencepiece_nbest.encode(docs, model, N_BEST, verify=True, cached=50_000, keep=False, back=True)
+    best = F.col("nbest")[0]
+    return encoded.select(
+        "doc_id",
+        "lang",
+        "source",
+        best["ids"].alias("ids"),
+        best["score"].alias("score"),
+        F.size("nbest").alias("n_segmentations"),
+        (best["score"] - F.element_at("nbest", -1)["score"]).alias("margin"),
+        F.col("decoded").alias("text"),
+        F.col("lossless").alias("round_trip"),
+    )
 
 
 STAGES = [
