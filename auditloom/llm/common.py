@@ -64,14 +64,20 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def freed_memory() -> Iterator[None]:
-    """For a task's Python: what it has freed goes back to the machine at its end, for its worker stays beside later stages."""
+    """For a task's Python: what has been freed goes back to the machine, at its beginning (what earlier tasks of the same worker left) and at its
+    end, for its worker stays beside later stages."""
+    _give_back()
     try:
         yield
     finally:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -3,12 +3,13 @@ shingles have a Jaccard similarity of 0.8 or more, proposed by wide fingerprints
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,69 +115,116 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return tagged.join(stays, "_row", "left_semi").select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
 
 
-#: The wide fingerprint has SEGMENTS segments of BITS bits. A text probes a segment's table with its own bits and with the PROBES - 1 likeliest
-#: others among those that differ in the WEAK bits nearest to a tie. Two texts of 200 shingles and similarity 0.8 meet in one segment
-#: with probability 0.2, in one of 24 with 0.995 or more (by simulation; above 0.8 more often).
-SEGMENTS, BITS, PROBES, WEAK = 24, 24, 12, 6
-LANES = SEGMENTS * BITS // 64
-#: Of a segment's number and its value.
-KEY_BITS = 29
+#: Segments of the wide fingerprint by their bits. A text probes a segment's table with its own bits and with the PROBES - 1 likeliest
+#: others among those that differ in the WEAK bits nearest to a tie. By simulation two texts of 200 shingles and similarity 0.8 meet in one
+#: segment of 24 bits with probability 0.21, of 28 with 0.12, of 32 with 0.06, so in one of all with 0.995 or more (above 0.8 more often).
+SEGMENTS = {24: 24, 25: 28, 26: 32, 27: 38, 28: 44, 29: 52, 30: 60, 31: 72, 32: 88}
+PROBES, WEAK = 16, 6
+#: Bits that a segment has beyond the logarithm of the rows: texts that aren't alike meet by chance as often in a large table as in a small one.
+SPARE = 8
+#: Two segments a lane, each in 32 bits. The first LANES are compared as a whole.
+LANES, MOST_LANES = 9, max(SEGMENTS.values()) // 2
+#: Numbers of the parity sketch, see odd_sketch().
+ODD = 8
+#: Of the sets of bits that hold segments' values, and how many values go into one.
+KEY_BITS, KEYS = 29, 1 << 26
 #: Similarity 0.8 is a cosine of 0.89 or an angle of 0.15 of a half turn: 87 of 576 bits differ on average, 9 is the standard deviation.
 MOST_BITS = 120
 _RANDOM = np.random.default_rng(20)
-_FLIP, _TIMES, _AGAIN = (_RANDOM.integers(0, 1 << 64, LANES, np.uint64) | np.uint64(1) for _ in range(3))
+_FLIP, _TIMES, _AGAIN = (_RANDOM.integers(0, 1 << 64, MOST_LANES, np.uint64) | np.uint64(1) for _ in range(3))
 _MASKS = (np.arange(1 << WEAK)[:, None] >> np.arange(WEAK)) & 1
+#: Spreads the values of different segments over the last bits of their keys.
+_STEP = 0x9E3779B1
 
 
-def _counts(members: np.ndarray) -> np.ndarray:
+def segment_bits(rows: int) -> int:
+    """How wide the segments are for a table of so many rows."""
+    return min(max(rows.bit_length() + SPARE, min(SEGMENTS)), max(SEGMENTS))
+
+
+def _counts(members: np.ndarray, lanes: int) -> np.ndarray:
     """How many of the set's hashes have each bit."""
-    total = np.zeros(SEGMENTS * BITS, np.int64)
-    for lo in range(0, len(members), 1 << 13):
-        h = (members[lo : lo + (1 << 13), None] ^ _FLIP) * _TIMES
-        h = (h ^ (h >> np.uint64(32))) * _AGAIN
+    total = np.zeros(lanes * 64, np.int64)
+    for lo in range(0, len(members), 1 << 11):
+        h = (members[lo : lo + (1 << 11), None] ^ _FLIP[:lanes]) * _TIMES[:lanes]
+        h = (h ^ (h >> np.uint64(32))) * _AGAIN[:lanes]
         total += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     return total
 
 
-def wide_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints as LANES numbers, keys): the first SEGMENTS keys of a text are those of its own segments, the others its probes."""
-    counts = np.stack([_counts(u) for u in sets])
-    sure = 2 * counts - np.array([len(u) for u in sets])[:, None]
-    bits = (sure > 0).astype(np.uint8)
-    prints = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-    away = np.abs(sure).reshape(len(sets), SEGMENTS, BITS).astype(np.float32)
-    places = np.arange(BITS)
-    own = (bits.reshape(len(sets), SEGMENTS, BITS) << places).sum(axis=2, dtype=np.int64)
+def odd_sketch(members: np.ndarray) -> np.ndarray:
+    """Which of ODD * 64 places an odd number of the set's hashes falls on. An element that only one of two sets has changes one place, so the
+    sketches never differ in more places than the sets have elements apart."""
+    places = np.bincount((members >> np.uint64(20)).astype(np.int64) % (ODD * 64), minlength=ODD * 64)
+    return np.packbits((places & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def wide_prints(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the segments of each set, two a lane; the places of each segment's WEAK bits nearest to a tie, then how near they are)."""
+    segments = SEGMENTS[bits]
+    counts = np.stack([_counts(u, segments // 2) for u in sets])
+    sizes = np.array([len(u) for u in sets])
+    sure = 2 * counts - sizes[:, None]
+    lanes = np.packbits((sure > 0).astype(np.uint8), axis=1, bitorder="little").view("<i8")
+    away = np.abs(sure).reshape(len(sets), segments, 32)[:, :, :bits]
     weak = np.argsort(away, axis=2, kind="stable")[:, :, :WEAK]
-    cost = np.take_along_axis(away, weak, axis=2) @ _MASKS.T[:, 1:].astype(np.float32)
-    chosen = np.argsort(cost, axis=2, kind="stable")[:, :, : PROBES - 1] + 1
-    flips = (_MASKS[chosen] << weak[:, :, None, :]).sum(axis=3)
-    segment = (np.arange(SEGMENTS) << BITS)[None, :]
-    probes = (segment + own)[:, :, None] ^ flips
-    return prints, np.concatenate([segment + own, probes.reshape(len(sets), -1)], axis=1).astype(np.int32)
+    near = np.take_along_axis(away, weak, axis=2) * (256 / np.sqrt(np.maximum(sizes, 1)))[:, None, None]
+    return lanes, np.concatenate([weak, np.minimum(near, 255)], axis=2).astype(np.uint8)
+
+
+def _keys(values: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """A number for a segment and its value; as own_keys() has it."""
+    return (segments << 32) + ((values + segments * _STEP) & 0xFFFFFFFF)
+
+
+def own_keys(lanes: Column, bits: int) -> Column:
+    """The keys of a text's own segments."""
+    each = [F.shiftrightunsigned(lanes[i // 2], 32 * (i % 2)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(SEGMENTS[bits])]
+    return F.array(*((v + F.lit(i * _STEP)).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(i << 32) for i, v in enumerate(each)))
 
 
-@pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.IntegerType()))]))
-def _wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """A hash of the set, its wide fingerprint and its keys; an empty set has no keys."""
-    with freed_memory():
-        yield from map(_wide_batch, batches)
+def probe_keys(lanes: np.ndarray, weak: np.ndarray, bits: int, first: int, last: int) -> np.ndarray:
+    """The keys that texts probe beside their own, of segments first to last - 1, by the sum of how near the changed bits are to a tie."""
+    own = np.ascontiguousarray(lanes).view("<u4")[:, first:last].astype(np.int64) & ((1 << bits) - 1)
+    places, near = weak[:, first:last, :WEAK].astype(np.int64), weak[:, first:last, WEAK:].astype(np.int64)
+    chosen = np.argsort(near @ _MASKS.T[:, 1:], axis=2, kind="stable")[:, :, : PROBES - 1] + 1
+    flips = (_MASKS[chosen] << places[:, :, None, :]).sum(axis=3)
+    return _keys(own[:, :, None] ^ flips, np.arange(first, last)[None, :, None]).reshape(len(lanes), -1)
 
 
-def _wide_batch(hashes: pd.Series) -> pd.DataFrame:
-    nodes, prints, keys = [], [], []
-    for lo in range(0, len(hashes), 100):
-        sets = [np.unique(np.asarray(h, np.int64)).view(np.uint64) for h in hashes.iloc[lo : lo + 100]]
-        fps, dealt = wide_prints(sets)
-        nodes += [int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) for u in sets]
-        prints += list(fps)
-        keys += [k if len(u) else k[:0] for u, k in zip(sets, dealt, strict=True)]
-    return pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "fp": prints, "keys": keys})
+def _wide(bits: int) -> Callable[[str], Column]:
+    """A hash of the set; what it is compared by: LANES of its fingerprint, its parity sketch and its size; the fingerprint's other lanes and its weak
+    bits. An empty set has a hash only."""
 
+    def prints(hashes: pd.Series) -> pd.DataFrame:
+        nodes, fps, more, weak = [], [], [], []
+        for lo in range(0, len(hashes), 50):
+            sets = [np.unique(np.asarray(h, np.int64)).view(np.uint64) for h in hashes.iloc[lo : lo + 50]]
+            lanes, near = wide_prints(sets, bits)
+            nodes += [int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) for u in sets]
+            fps += [np.concatenate([x[:LANES], odd_sketch(u), [len(u)]]) if len(u) else x[:0] for u, x in zip(sets, lanes, strict=True)]
+            more += [x[LANES:] if len(u) else x[:0] for u, x in zip(sets, lanes, strict=True)]
+            weak += [x.tobytes() if len(u) else b"" for u, x in zip(sets, near, strict=True)]
+        return pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "fp": fps, "more": more, "weak": weak})
 
-def _close(a: str, b: str) -> Column:
-    """Whether two wide fingerprints differ in at most MOST_BITS bits."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES)), F.lit(0)) <= MOST_BITS
+    @pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("more", T.ArrayType(T.LongType())), T.StructField("weak", T.BinaryType())]))
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with freed_memory():
+            yield from map(prints, batches)
+
+    return wide
+
+
+def _apart(a: str, b: str, lo: int, n: int) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(lo, lo + n)), F.lit(0))
+
+
+def _close(a: str, b: str, least: float) -> Column:
+    """Whether two wide fingerprints differ in at most MOST_BITS bits, and sizes and parity sketches allow a similarity of `least`: of sets of m and
+    n elements, at most (m + n) (1 - least) / (1 + least) are in one only. The second test loses no pair."""
+    both = F.col(a)[LANES + ODD] + F.col(b)[LANES + ODD]
+    lone = F.greatest(_apart(a, b, LANES, ODD), F.abs(F.col(a)[LANES + ODD] - F.col(b)[LANES + ODD]))
+    return (lone * (1 + least) <= both * (1 - least) + 1e-6) & (_apart(a, b, 0, LANES) <= MOST_BITS)
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -197,15 +245,15 @@ def _among(rows: DataFrame, name: str) -> Callable[[str], Column]:
 class _Texts:
     """What decides whether nodes (distinct sets of shingles) are similar."""
 
-    def __init__(self, tagged: DataFrame, text: Column, width: int, least: float):
-        self.width, self.least = width, least
+    def __init__(self, tagged: DataFrame, text: Column, width: int, least: float, rows: int):
+        self.width, self.least, self.rows, self.bits = width, least, rows, segment_bits(rows)
         least_row = tagged.groupBy(F.col("_node").alias("node")).agg(F.min("_row").alias("_row"), F.count("*").alias("rows"))
         self.reps = stash(least_row, "reps")
         # where a node has one row, that is it; the others are told by a join
-        printed = tagged.select(F.col("_node").alias("node"), "_row", "_fp", "_keys")
+        printed = tagged.select(F.col("_node").alias("node"), "_row", "_fp", "_more", "_weak")
         several = _among(self.reps.where("rows > 1"), "node")
         first = printed.where(several("node")).join(self.reps.select("node", "_row"), ["node", "_row"], "left_semi")
-        self.prints = printed.where(~several("node")).unionByName(first).select("node", "_fp", "_keys")
+        self.prints = printed.where(~several("node")).unionByName(first).select("node", "_fp", "_more", "_weak")
         self.texts = tagged.select("_row", text.alias("_text"))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
@@ -243,28 +291,40 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     but for those that are in one component already; in a crowded bucket all with all. So no pair that shares a
     bucket is left out."""
     # a set of bits tells which values some text has, so only probes that hit leave their task (and a few others, which `sizes` drops)
-    own = texts.prints.select("node", F.explode(F.slice("_keys", 1, SEGMENTS)).alias("key"))
+    bits, segments, least = texts.bits, SEGMENTS[texts.bits], texts.least
+    lanes = F.concat(F.slice("_fp", 1, LANES), F.col("_more"))
+    own = texts.prints.where(F.size("_fp") > 0).select("node", F.explode(own_keys(lanes, bits)).alias("key"))
     owned = Stash(own.groupBy("key").agg(F.count("*").alias("owners")), "owned")
-    there = own.sparkSession.sparkContext.broadcast(bits_of(owned.df.select("key"), "key", KEY_BITS, each=32))
-
-    def hitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with freed_memory():
-            for part in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
-                lists = part.column(1)
-                nodes = part.column(0).to_numpy()[pc.list_value_length(lists).to_numpy() > 0]
-                probes = lists.flatten().to_numpy().reshape(len(nodes), SEGMENTS * PROBES)[:, SEGMENTS:]
-                row, at = np.nonzero(there.value.has(probes))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[row]), pa.array(probes[row, at])], ["node", "key"])
-
-    probing = texts.prints.select("node", "_keys").mapInArrow(hitting, "node bigint, key int")
-    hits = Stash(probing, "hits")
+    context = own.sparkSession.sparkContext
+
+    def hitting(there: Broadcast, first: int, last: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with freed_memory():
+                for part in (b.slice(lo, 250) for b in batches for lo in range(0, b.num_rows, 250)):
+                    nodes = part.column(0).to_numpy()
+                    whole = part.column(1).flatten().to_numpy().reshape(len(nodes), segments // 2)
+                    weak = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(nodes), segments, 2 * WEAK)
+                    probes = probe_keys(whole, weak, bits, first, last)
+                    row, at = np.nonzero(there.value.has(probes))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[row]), pa.array(probes[row, at])], ["node", "key"])
+
+        return run
+
+    asking = texts.prints.where(F.size("_fp") > 0).select("node", lanes.alias("lanes"), "_weak")
+    step, found = max(1, KEYS // max(texts.rows, 1)), []
+    for first in range(0, segments, step):  # some segments at a time, so that a set of bits never fills up
+        last = min(first + step, segments)
+        there = context.broadcast(bits_of(owned.df.where(F.shiftright("key", 32).between(first, last - 1)).select("key"), "key", KEY_BITS, each=32))
+        found.append(Stash(asking.mapInArrow(hitting(there, first, last), "node bigint, key bigint"), "hits"))
+        there.unpersist()
+    hits = reduce(DataFrame.unionByName, (x.df for x in found))
     n = F.col("owners") + F.coalesce("probes", F.lit(0))
-    sizes = Stash(owned.df.join(hits.df.groupBy("key").agg(F.count("*").alias("probes")), "key", "left").select("key", n.alias("n")).where("n > 1"), "sizes")
-    dealt = own.withColumn("own", F.lit(True)).unionByName(hits.df.withColumn("own", F.lit(False)))
+    sizes = Stash(owned.df.join(hits.groupBy("key").agg(F.count("*").alias("probes")), "key", "left").select("key", n.alias("n")).where("n > 1"), "sizes")
+    dealt = own.withColumn("own", F.lit(True)).unionByName(hits.withColumn("own", F.lit(False)))
     # the fingerprints ride along, so that a bucket's join gives close pairs only
     kept = Stash(matched(dealt, sizes.df, ["key"], "n").join(texts.prints.select("node", "_fp"), "node").select("key", "node", "own", "n", "_fp"), "members")
     members = kept.df
-    for done in (owned, hits, sizes):
+    for done in (owned, *found, sizes):
         done.drop()
     links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     crowd = members.where(F.col("n") > crowded)
@@ -273,11 +333,11 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
         crowd = stash(crowd.join(central, "node").select("key", "node", "weight", "_fp"), "crowd")
         best = F.max_by(F.struct("node", "_fp"), F.struct("weight", "node")).alias("best")
         pivot = [F.col("best.node").alias("pivot"), F.col("best._fp").alias("_pivot_fp")]
-        first = crowd.join(crowd.groupBy("key").agg(best).select("key", *pivot), "key").where((F.col("node") != F.col("pivot")) & _close("_fp", "_pivot_fp"))
+        first = crowd.join(crowd.groupBy("key").agg(best).select("key", *pivot), "key").where((F.col("node") != F.col("pivot")) & _close("_fp", "_pivot_fp", least))
         links = texts.similar(first.select(*_pair("node", "pivot")))
         placed = _placed(crowd, connected_components(links))
         pivots = placed.where("at = main").groupBy("key").agg(best).select("key", *pivot)
-        second = placed.where("at <> main").join(pivots, "key").where(_close("_fp", "_pivot_fp"))
+        second = placed.where("at <> main").join(pivots, "key").where(_close("_fp", "_pivot_fp", least))
         links = stash(links.unionByName(texts.similar(second.select(*_pair("node", "pivot")))), "links")
     placed = stash(_placed(members, connected_components(links)), "mixed")
     kept.drop()
@@ -285,7 +345,7 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     salts = F.least(F.ceil(F.col("n") / 512), F.lit(64)).cast("int")  # a bucket of the usual size is one
     rest = placed.where("at <> main").select("key", "node", "own", "at", "_fp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     every = placed.select("key", F.col("node").alias("other"), F.col("own").alias("owned"), F.col("at").alias("there"), F.col("_fp").alias("_other_fp"), many.alias("many"), F.pmod(F.hash("node"), salts).alias("salt"))
-    pairs = rest.join(every, ["key", "salt"]).where(F.expr("at <> there and (own or owned or many)") & _close("_fp", "_other_fp"))
+    pairs = rest.join(every, ["key", "salt"]).where(F.expr("at <> there and (own or owned or many)") & _close("_fp", "_other_fp", least))
     return connected_components(links.unionByName(texts.similar(pairs.select(*_pair("node", "other")))))
 
 
@@ -294,17 +354,18 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are linked whose sets of shingles (width words, letters' size aside in ASCII, any white space between) have a
     Jaccard similarity of at least `least`; a text of fewer words is one shingle; texts without words, and null texts,
-    are alike. Multi-index hashing of a 576-bit SimHash proposes the pairs, complete distances and then the sets (64-bit
+    are alike. Multi-index hashing of a wide SimHash proposes the pairs, distances over 576 bits, parity sketches and then the sets (64-bit
     hashes) decide; texts of equal sets are one node. Some three pairs in a thousand at a similarity of 0.8 are not proposed, above it
-    fewer. Segments of 24 bits suit tables of up to some 100 million distinct texts; beyond, buckets hold more and more
-    texts that aren't alike (each is compared, none is lost). An empty table stays empty. Columns are those of docs,
+    fewer. Segments widen with the rows, from 24 bits to 32 and from 24 segments to 88, so that texts that aren't alike seldom share a bucket;
+    beyond some 16 million rows they do more and more often (each is compared, none is lost). docs is counted first. An empty table stays empty. Columns are those of docs,
     whatever their names."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"))
     text = F.col(f"_doc.`{text_col}`")
-    printed = with_shingles(packed, text, width).withColumn("_s", _wide("_shingles"))
-    with small_batches(docs.sparkSession, 500):
-        tagged = stash(printed.select("_doc", "_id", "_row", F.col("_s.node").alias("_node"), F.col("_s.fp").alias("_fp"), F.col("_s.keys").alias("_keys")), "shingles")
-    linked = _similar_groups(_Texts(tagged, text, width, least), crowded)
+    rows = docs.count()
+    printed = with_shingles(packed, text, width).withColumn("_s", _wide(segment_bits(rows))("_shingles"))
+    with small_batches(docs.sparkSession, 200):
+        tagged = stash(printed.select("_doc", "_id", "_row", F.col("_s.node").alias("_node"), F.col("_s.fp").alias("_fp"), F.col("_s.more").alias("_more"), F.col("_s.weak").alias("_weak")), "shingles")
+    linked = _similar_groups(_Texts(tagged, text, width, least, rows), crowded)
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
     first = tagged.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first"))
     stays = first.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first")).select(F.col("first.r").alias("_row"))

@@ -4,8 +4,10 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from auditloom.llm import common, simhash
+from pyspark.sql import functions as F
 
 
 def shingles(text, width=5):
@@ -80,3 +82,75 @@ def test_batch_setting_comes_back(spark):
         assert spark.conf.get(common.BATCH_ROWS) == "7"
         1 / 0
     assert spark.conf.get(common.BATCH_ROWS) == before
+
+
+def pairs_of_sets(rng, n, own, common):
+    """Pairs of sets of hashes with so many elements of their own and in common."""
+    for _ in range(n):
+        some = rng.integers(0, 1 << 64, common + 2 * own, np.uint64)
+        yield np.sort(some[: common + own]), np.sort(some[own:])
+
+
+def test_parity_sketches_lose_no_pair():
+    rng = np.random.default_rng(1)
+    for own, common in ((0, 50), (3, 20), (22, 178), (300, 2000)):
+        for a, b in pairs_of_sets(rng, 50, own, common):
+            apart = int(np.bitwise_count((simhash.odd_sketch(a) ^ simhash.odd_sketch(b)).view(np.uint64)).sum())
+            assert apart <= 2 * own and apart % 2 == 0
+            assert own > 30 or apart >= 2 * own - 16
+
+
+@pytest.mark.parametrize(("bits", "least"), [(24, 0.98), (26, 0.98), (32, 0.98)])
+def test_wide_segments_meet(bits, least):
+    """Pairs of similarity 0.8 share a bucket at every width, and others hardly do."""
+    a, b = map(list, zip(*pairs_of_sets(np.random.default_rng(bits), 300, 22, 178), strict=True))
+    n = simhash.SEGMENTS[bits]
+    (x, near_x), (y, near_y) = simhash.wide_prints(a, bits), simhash.wide_prints(b, bits)
+    own = [simhash.probe_keys(z, near, bits, 0, n) for z, near in ((x, near_x), (y, near_y))]
+    values = [z.view("<u4")[:, :n].astype(np.int64) & ((1 << bits) - 1) for z in (x, y)]
+    keys = [simhash._keys(v, np.arange(n)[None, :]) for v in values]
+    met = [bool(set(keys[0][i]) & {*keys[1][i], *own[1][i]} or set(keys[1][i]) & set(own[0][i])) for i in range(len(a))]
+    assert sum(met) >= least * len(met)
+    assert sum(bool(set(keys[0][i]) & {*keys[1][i - 1], *own[1][i - 1]}) for i in range(len(a))) <= 2
+
+
+def test_own_keys_are_those_that_probes_ask_for(spark):
+    lanes = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, (5, 44), np.int64)
+    for bits in (24, 27, 32):
+        n = simhash.SEGMENTS[bits]
+        df = spark.createDataFrame([(list(map(int, x[: n // 2])),) for x in lanes], "l array<bigint>")
+        got = [r.k for r in df.select(simhash.own_keys(F.col("l"), bits).alias("k")).collect()]
+        values = np.ascontiguousarray(lanes[:, : n // 2]).view("<u4").astype(np.int64) & ((1 << bits) - 1)
+        assert got == simhash._keys(values, np.arange(n)[None, :]).tolist()
+
+
+def test_segments_widen_with_the_table():
+    """So many random texts share a bucket with a given one, at every size."""
+    sizes = [40_000, 200_000, 1_000_000, 12_000_000]
+    met = [n * simhash.SEGMENTS[b] * simhash.PROBES / 2**b for n in sizes for b in [simhash.segment_bits(n)]]
+    assert [simhash.segment_bits(n) for n in sizes] == [24, 26, 28, 32] and max(met) < 5 and met[-1] < 5 * met[0]
+
+
+def test_a_set_of_bits_for_some_segments(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "KEYS", 2000)
+    rows = texts()
+    out = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept(rows))
+
+
+def near_copies(n):
+    """One text and copies of it with 1 to 7 words edited: most pairs are near 0.8 and below it."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    return [(0, " ".join(words))] + [(i, edited(rng, words, 1 + rng.randrange(7))) for i in range(1, n)]
+
+
+def test_a_large_group_is_not_compared_in_pairs(spark, monkeypatch):
+    """Only pairs that can be similar leave the join; before, most of a group's pairs did."""
+    asked = []
+    similar = simhash._Texts.similar
+    monkeypatch.setattr(simhash._Texts, "similar", lambda self, pairs: asked.append(pairs.count()) or similar(self, pairs))
+    rows = near_copies(300)
+    out = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept(rows))
+    assert asked[-1] < 3 * 300
