@@ -97,18 +97,18 @@ def person_rows(parsed: DataFrame) -> DataFrame:
 
 
 def with_jsonld(facts: DataFrame, pages: DataFrame) -> DataFrame:
-    """facts with invalid_jsonld, books_incomplete, faq_mismatches and person_links of the page's JSON-LD, for by_site() and site_hits(). pages:
-    (page_id, html), each page once."""
+    """facts with invalid_jsonld, books_incomplete, faq_mismatches and person_links of the page's JSON-LD, for by_site() and site_hits(), and ld itself, for
+    bundle(). pages: (page_id, html), each page once."""
     nodes, shown = F.col("ld.nodes"), html.visible_text(html.without_raw(F.coalesce(F.col("html"), F.lit(""))))
     told = jsonld.with_nodes(pages.select("page_id", "html")).select(
         "page_id", F.col("ld.invalid").alias("invalid_jsonld"), jsonld.books_incomplete(nodes).alias("books_incomplete"), F.size(validation.faq_mismatch(jsonld.faq_entries(nodes), shown)).alias("faq_mismatches"),
-        jsonld.same_as(jsonld.of_type(nodes, "Person")).alias("person_links"),
+        jsonld.same_as(jsonld.of_type(nodes, "Person")).alias("person_links"), "ld",
     )
-    return facts.drop("invalid_jsonld", "books_incomplete", "faq_mismatches", "person_links").join(told, "page_id", "left")
+    return facts.drop("invalid_jsonld", "books_incomplete", "faq_mismatches", "person_links", "ld").join(told, "page_id", "left")
 
 
 def bundle(sited: DataFrame, pages: DataFrame, links: DataFrame, sites: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
-    """All rows that a site's bundle gives, for rules.issues(extra=...). sited: facts by site; pages: (page_id, site, url, status, html);
+    """All rows that a site's bundle gives, for rules.issues(extra=...). sited: facts by site, whose ld is used if they have it; pages: (page_id, site, url, status, html);
     links: (site, src, dst); sites: (site, homepage, uncrawled). files: robots (site, ok, status, text), llms, sitemap and bing
     (site, ok, text), images (site, url, status) and http (site, homepage, ok, redirects); each has a row for a site, also where
     there is none, but images."""
@@ -120,5 +120,5 @@ def bundle(sited: DataFrame, pages: DataFrame, links: DataFrame, sites: DataFram
         sitemap_rows(files["sitemap"], files["robots"], sited),
         orphan_rows(sited, links, listed, sites),
         probe_rows(files["images"], files["http"]),
-        person_rows(jsonld.with_nodes(pages)),
+        person_rows(sited if "ld" in sited.columns else jsonld.with_nodes(pages)),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditloom.checkpoints import checkpointed
+from auditloom.checkpoints import checkpointed, written
 from auditloom.functions import html, urls
 from auditloom.operators import facts, graph, jsonld, robots, rules, site_rows
 from auditloom.plans.literals import quoted as q
@@ -83,9 +83,10 @@ def bundle_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = checkpointed(pages.select("site", "url").distinct().withColumn("r", F.row_number().over(W.partitionBy("site").orderBy("url")) - 1))
     above = placed.select("site", F.col("url").alias("src"), F.col("r").alias("up"))
     links = placed.where("r > 0 and r % 7 <> 6").withColumn("up", F.floor((F.col("r") - 1) / 3).cast("int")).join(above, ["site", "up"]).select("site", "src", F.col("url").alias("dst"))
+    links = written(links, "links")  # each level of the search reads them
     homes = placed.where("r = 0").select("site", "url")
     found = facts.page_facts(pages.select("page_id", "url", "html", "status")).withColumn("site", urls.host(F.col("url"))).join(graph.depths(links, homes), ["site", "url"], "left").drop("site")
-    sited = checkpointed(rules.by_site(site_rows.with_jsonld(found, pages.select("page_id", "html"))))
+    sited = written(rules.by_site(site_rows.with_jsonld(found, pages.select("page_id", "html"))), "sited")  # read by column, many times
     first = sited.groupBy("site").agg(F.min_by("url", "page_id").alias("homepage")).withColumn("k", F.length("site"))
     k, yes = F.col("k"), F.lit(True)
     status = _picked(tuple(x for x, _ in BUNDLE_ROBOTS), k)

@@ -45,3 +45,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bundle_walks_structured_data_once(spark, sf_dir, monkeypatch):
+    """The rows about persons come from the nodes that the facts have; before, the pages were walked again."""
+    from auditloom.operators import jsonld
+
+    walked, with_nodes = [], jsonld.with_nodes
+    monkeypatch.setattr(jsonld, "with_nodes", lambda pages: walked.append(1) or with_nodes(pages))
+    assert registry.queries()["bundle_issues"](spark, sf_dir).where("rule = 'person_schema_thin'").count() > 0
+    assert len(walked) == 1
