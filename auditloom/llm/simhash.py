@@ -274,72 +274,97 @@ class _Texts:
         return found
 
 
-def _placed(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """members with at, the component that the node is in so far, and main, the bucket's largest."""
-    placed = members.join(linked, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
-    parts = placed.groupBy("key", "at").agg(F.count("*").alias("n_at"))
+def _placed(members: DataFrame) -> DataFrame:
+    """members, each with the component at that the node is in so far, and main, the bucket's largest; buckets with one component only go."""
+    parts = members.groupBy("key", "at").agg(F.count("*").alias("n_at"))
     main = parts.groupBy("key").agg(F.max_by("at", F.struct("n_at", "at")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main", F.lit(1).alias("one"))
-    return placed.join(main, "key")
+    return members.join(main, "key")
+
+
+def _at(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes, one row each, with at, the component that links give the node."""
+    return nodes.join(connected_components(links), "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
+
+
+def _nearest(texts: _Texts, fps: DataFrame, rows: DataFrame, apart: bool) -> DataFrame:
+    """Similar pairs (a, b) of each node with one that it shares a bucket with: the most central one, of all its buckets; with apart, of the buckets'
+    largest components that it isn't in. rows: (key, node, weight, at); fps: (node, _fp). At most one pair for a node, whatever the buckets."""
+    parts = rows.groupBy("key", "at").agg(F.count("*").alias("n_at"), F.max(F.struct("weight", "node")).alias("best"))
+    top = F.max_by(F.struct(F.col("at").alias("main"), "best"), F.struct("n_at", "at")) if apart else F.max(F.struct("best", F.col("at").alias("main")))
+    central = parts.groupBy("key").agg(top.alias("top")).select("key", "top.main", "top.best")
+    met = rows.join(central, "key").where(F.col("at") != F.col("main") if apart else F.col("node") != F.col("best.node"))
+    chosen = met.groupBy("node").agg(F.max("best").getField("node").alias("pivot"))
+    pivots = fps.select(F.col("node").alias("pivot"), F.col("_fp").alias("_pivot_fp"))
+    near = chosen.join(fps.select("node", "_fp"), "node").join(pivots, "pivot").where(_close("_fp", "_pivot_fp", texts.least))
+    return texts.similar(near.select(*_pair("node", "pivot")))
+
+
+def _gathered(texts: _Texts, own: DataFrame, crowded: int) -> DataFrame:
+    """Similar pairs (a, b) that join most of a large group of near copies before anything is looked up for them: nodes that share a value
+    with over `crowded` others are compared with the most central one, then with that of the largest component, see _nearest()."""
+    big = stash(own.groupBy("key").agg(F.count("*").alias("owners")).where(F.col("owners") > crowded), "big")
+    if big.isEmpty():
+        return own.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    held = matched(own, big, ["key"], "owners").groupBy("node").agg(F.sum("owners").alias("weight"), F.collect_list("key").alias("keys"))
+    held = stash(held.join(texts.prints.select("node", "_fp"), "node"), "held")
+    links = _nearest(texts, held, held.select("node", "weight", F.col("node").alias("at"), F.explode("keys").alias("key")), False)
+    return links.unionByName(_nearest(texts, held, _at(held, links).select("node", "weight", "at", F.explode("keys").alias("key")), True))
 
 
 def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     """(node, component) of nodes with links.
 
-    A bucket holds the nodes that have or probe one value of a segment. In a bucket of over `crowded` nodes all are first compared with
-    the most central one, then those not linked to the largest component with its most central one, which joins near
-    copies of one text without their pairs. After that, every node that has the value is compared with every one that probes it,
-    but for those that are in one component already; in a crowded bucket all with all. So no pair that shares a
+    Large groups are joined first, see _gathered(). A bucket holds the nodes that have or probe one value of a segment; one
+    whose nodes are all in one component is dropped. In the others, of over `crowded` nodes, nodes outside the largest component are compared with its
+    most central one, one pair a node. After that, every node that has the value is compared with every one that probes it,
+    but for those that are in one component already; in a bucket of over `crowded` nodes all with all. So no pair that shares a
     bucket is left out."""
     # a set of bits tells which values some text has, so only probes that hit leave their task (and a few others, which `sizes` drops)
     bits, segments, least = texts.bits, SEGMENTS[texts.bits], texts.least
     lanes = F.concat(F.slice("_fp", 1, LANES), F.col("_more"))
-    own = texts.prints.where(F.size("_fp") > 0).select("node", F.explode(own_keys(lanes, bits)).alias("key"))
-    owned = Stash(own.groupBy("key").agg(F.count("*").alias("owners")), "owned")
+    asked = texts.prints.where(F.size("_fp") > 0)
+    links = _gathered(texts, asked.select("node", F.explode(own_keys(lanes, bits)).alias("key")), crowded)
+    asked = _at(asked, links)
+    own = asked.select("node", "at", F.explode(own_keys(lanes, bits)).alias("key"))
+    span = [F.min("at").alias("low"), F.max("at").alias("high")]
+    owned = Stash(own.groupBy("key").agg(F.count("*").alias("owners"), *span), "owned")
     context = own.sparkSession.sparkContext
 
     def hitting(there: Broadcast, first: int, last: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with freed_memory():
                 for part in (b.slice(lo, 250) for b in batches for lo in range(0, b.num_rows, 250)):
-                    nodes = part.column(0).to_numpy()
-                    whole = part.column(1).flatten().to_numpy().reshape(len(nodes), segments // 2)
-                    weak = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(nodes), segments, 2 * WEAK)
+                    nodes, ats = part.column(0).to_numpy(), part.column(1).to_numpy()
+                    whole = part.column(2).flatten().to_numpy().reshape(len(nodes), segments // 2)
+                    weak = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(nodes), segments, 2 * WEAK)
                     probes = probe_keys(whole, weak, bits, first, last)
                     row, at = np.nonzero(there.value.has(probes))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[row]), pa.array(probes[row, at])], ["node", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[row]), pa.array(ats[row]), pa.array(probes[row, at])], ["node", "at", "key"])
 
         return run
 
-    asking = texts.prints.where(F.size("_fp") > 0).select("node", lanes.alias("lanes"), "_weak")
+    asking = asked.select("node", "at", lanes.alias("lanes"), "_weak")
     step, found = max(1, KEYS // max(texts.rows, 1)), []
     for first in range(0, segments, step):  # some segments at a time, so that a set of bits never fills up
         last = min(first + step, segments)
         there = context.broadcast(bits_of(owned.df.where(F.shiftright("key", 32).between(first, last - 1)).select("key"), "key", KEY_BITS, each=32))
-        found.append(Stash(asking.mapInArrow(hitting(there, first, last), "node bigint, key bigint"), "hits"))
+        found.append(Stash(asking.mapInArrow(hitting(there, first, last), "node bigint, at bigint, key bigint"), "hits"))
         there.unpersist()
     hits = reduce(DataFrame.unionByName, (x.df for x in found))
     n = F.col("owners") + F.coalesce("probes", F.lit(0))
-    sizes = Stash(owned.df.join(hits.groupBy("key").agg(F.count("*").alias("probes")), "key", "left").select("key", n.alias("n")).where("n > 1"), "sizes")
-    dealt = own.withColumn("own", F.lit(True)).unionByName(hits.withColumn("own", F.lit(False)))
-    # the fingerprints ride along, so that a bucket's join gives close pairs only
-    kept = Stash(matched(dealt, sizes.df, ["key"], "n").join(texts.prints.select("node", "_fp"), "node").select("key", "node", "own", "n", "_fp"), "members")
-    members = kept.df
+    probed = hits.groupBy("key").agg(F.count("*").alias("probes"), F.min("at").alias("least"), F.max("at").alias("most"))
+    mixed = F.least("low", "least") < F.greatest("high", "most")  # nulls are passed over
+    sizes = Stash(owned.df.join(probed, "key", "left").where(mixed).select("key", n.alias("n")), "sizes")
+    dealt = own.withColumn("own", F.lit(True)).unionByName(hits.withColumn("own", F.lit(False))).drop("at")
+    # a node gets its fingerprint once, with a list of its buckets; in the buckets it rides along, so that their join gives close pairs only
+    listed = matched(dealt, sizes.df, ["key"], "n").groupBy("node").agg(F.collect_list(F.struct("key", "own", "n")).alias("held"), F.sum("n").alias("weight"))
+    kept = Stash(listed.join(asked.select("node", "at", "_fp"), "node"), "members")
     for done in (owned, *found, sizes):
         done.drop()
-    links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    crowd = members.where(F.col("n") > crowded)
-    if not crowd.isEmpty():
-        central = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
-        crowd = stash(crowd.join(central, "node").select("key", "node", "weight", "_fp"), "crowd")
-        best = F.max_by(F.struct("node", "_fp"), F.struct("weight", "node")).alias("best")
-        pivot = [F.col("best.node").alias("pivot"), F.col("best._fp").alias("_pivot_fp")]
-        first = crowd.join(crowd.groupBy("key").agg(best).select("key", *pivot), "key").where((F.col("node") != F.col("pivot")) & _close("_fp", "_pivot_fp", least))
-        links = texts.similar(first.select(*_pair("node", "pivot")))
-        placed = _placed(crowd, connected_components(links))
-        pivots = placed.where("at = main").groupBy("key").agg(best).select("key", *pivot)
-        second = placed.where("at <> main").join(pivots, "key").where(_close("_fp", "_pivot_fp", least))
-        links = stash(links.unionByName(texts.similar(second.select(*_pair("node", "pivot")))), "links")
-    placed = stash(_placed(members, connected_components(links)), "mixed")
+    bucket = F.explode("held").alias("h")
+    crowd = kept.df.select("node", "weight", "at", bucket).where(F.col("h.n") > crowded).select("node", "weight", "at", "h.key")
+    links = stash(links.unionByName(_nearest(texts, kept.df, crowd, True)), "links")
+    placed = stash(_placed(_at(kept.df.drop("at"), links).select("node", "at", "_fp", bucket).select("node", "at", "_fp", "h.*")), "mixed")
     kept.drop()
     many = F.col("n") > crowded
     salts = F.least(F.ceil(F.col("n") / 512), F.lit(64)).cast("int")  # a bucket of the usual size is one

@@ -154,3 +154,14 @@ def test_a_large_group_is_not_compared_in_pairs(spark, monkeypatch):
     out = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in out.collect()) == sorted(kept(rows))
     assert asked[-1] < 3 * 300
+
+
+def test_a_node_of_a_large_group_is_compared_with_one_at_a_time(spark, monkeypatch):
+    """Before the buckets are compared, every round asks for one pair a node at most, however many buckets it shares; before, for one a bucket."""
+    asked = []
+    similar = simhash._Texts.similar
+    monkeypatch.setattr(simhash._Texts, "similar", lambda self, pairs: asked.append(pairs.count()) or similar(self, pairs))
+    rows = near_copies(300)
+    out = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept(rows))
+    assert len(asked) > 1 and max(asked[:-1]) <= 300
