@@ -21,6 +21,8 @@ from pyspark.sql.functions import pandas_udf
 
 SPACE = "▁"
 CACHED_CHUNKS, KEPT, PART = 200_000, 64, 2_000_000
+#: Chunks that are searched many at once, at most.
+BATCH = 4000
 UNREACHED, NONE, NO_KEY = -(1 << 62), 1 << 62, np.uint64(2**64 - 1)
 #: Chunks up to these lengths are searched many at once, those of one range together.
 TOGETHER = (8, 12, 24)
@@ -236,11 +238,12 @@ class Trie:
         Forward, position by position, the Viterbi scores of all chunks; the score of the piece of d characters from
         a position stays in arcs. Then all chunks walk back together along their best paths."""
         n, width = np.array([len(c) for c in chunks]), max(map(len, chunks))
-        chars = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width)
+        # by position first, so that what one step touches lies together
+        chars = np.ascontiguousarray(np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width).T)
         deep = min(width, self.longest)
-        arcs, pieces = (np.zeros((len(chunks), width, deep + 1), t) for t in (np.int64, np.int32))
-        best = np.full((len(chunks), width + 1), UNREACHED)
-        best[:, 0] = 0
+        arcs, pieces = (np.zeros((width, deep + 1, len(chunks)), t) for t in (np.int64, np.int32))
+        best = np.full((width + 1, len(chunks)), UNREACHED)
+        best[0] = 0
         bytes_of = np.searchsorted([0x80, 0x800, 0x10000], chars, "right") + 1
         bytes_of[chars == ord(SPACE)] = 1
         for i in range(width):
@@ -252,14 +255,14 @@ class Trie:
                     rows, nodes = rows[on], nodes[on]
                 if not len(rows):
                     break
-                nodes = self.step(nodes, chars[rows, i + d - 1])
+                nodes = self.step(nodes, chars[i + d - 1][rows])
                 known = nodes >= 0
                 scores, ids = np.where(known, self.scores[nodes], 0), np.where(known, self.ids[nodes], -1)
                 if d == 1:
-                    scores = np.where(scores == 0, self.vocabulary.byte_score * bytes_of[rows, i], scores)
-                arcs[rows, i, d], pieces[rows, i, d] = scores, ids
-                there = np.where(scores != 0, best[rows, i] + scores, UNREACHED)
-                best[rows, i + d] = np.maximum(best[rows, i + d], there)
+                    scores = np.where(scores == 0, self.vocabulary.byte_score * bytes_of[i][rows], scores)
+                arcs[i, d][rows], pieces[i, d][rows] = scores, ids
+                there = np.where(scores != 0, best[i][rows] + scores, UNREACHED)
+                best[i + d][rows] = np.maximum(best[i + d][rows], there)
                 rows, nodes = rows[known], nodes[known]
         at, after = n.copy(), np.zeros(len(chunks), np.int64)
         second, told = np.full(len(chunks), UNREACHED), np.ones(len(chunks), bool)
@@ -267,20 +270,20 @@ class Trie:
         rows, lengths = np.arange(len(chunks)), np.arange(1, deep + 1)
         while len(rows):
             start = at[rows, None] - lengths
-            arc = np.where(start >= 0, arcs[rows[:, None], start, lengths], 0)
-            value = np.where(arc != 0, best[rows[:, None], start] + arc, UNREACHED)
+            arc = np.where(start >= 0, arcs[start, lengths, rows[:, None]], 0)
+            value = np.where(arc != 0, best[start, rows[:, None]] + arc, UNREACHED)
             take, each = value.argmax(axis=1), np.arange(len(rows))  # of equal ones the shortest piece
             value[each, take] = UNREACHED
             other = value.max(axis=1)
             second[rows] = np.maximum(second[rows], np.where(other == UNREACHED, UNREACHED, other + after[rows]))
-            piece = pieces[rows, start[each, take], take + 1]
+            piece = pieces[start[each, take], take + 1, rows]
             told[rows] &= piece >= 0
             count[rows] += 1
             path[rows, width - count[rows]] = piece
             after[rows] += arc[each, take]
             at[rows] = start[each, take]
             rows = rows[at[rows] > 0]
-        total = best[np.arange(len(chunks)), n]
+        total = best[n, np.arange(len(chunks))]
         loss = np.where(second == UNREACHED, NONE, total - second)
         rows = zip(told.tolist(), total.tolist(), path, count.tolist(), loss.tolist(), strict=True)
         return [(score, ids[width - k :].tobytes(), less) if sure else None for sure, score, ids, k, less in rows]
@@ -309,16 +312,14 @@ class Encoder:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
         todo: dict[int, list[str]] = {most: [] for most in TOGETHER}
-        for chunk in set(chunks):
-            if chunk in cache:
-                continue
+        for chunk in set(chunks).difference(cache):
             if (got := older.get(chunk)) is not None:
                 cache[chunk] = got
             elif len(chunk) <= TOGETHER[-1] and "\ue000" not in chunk:
                 todo[next(most for most in TOGETHER if len(chunk) <= most)].append(chunk)
         for some in todo.values():
-            for lo in range(0, len(some), 2000):
-                part = some[lo : lo + 2000]
+            for lo in range(0, len(some), BATCH):
+                part = some[lo : lo + BATCH]
                 cache.update((chunk, got) for chunk, got in zip(part, self.trie.first(part), strict=True) if got)
 
     def _keep(self, chunk: str, got: tuple[int, bytes, int]) -> None:
@@ -378,10 +379,12 @@ class Encoder:
         choices.sort(key=lambda c: c[:3])
         out = [(score, ids)]
         for loss, _, _, some in choices[1 : self.n]:
-            pieces = list(parts)
-            for _, at, _, other in some:
-                pieces[at] = other
-            out.append((score - loss, b"".join(pieces)))
+            changed, done = [], 0
+            for at, other in sorted((x[1], x[3]) for x in some):
+                begin = sum(map(len, parts[:at]))
+                changed += [ids[done:begin], other]
+                done = begin + len(parts[at])
+            out.append((score - loss, b"".join([*changed, ids[done:]])))
         return out
 
 

@@ -117,3 +117,19 @@ def test_query(spark, sf_dir):
 
 def test_unknown_ids(vocabulary):
     assert decode_ids(vocabulary, [10**9, -1]) == "��"
+
+
+def test_a_part_of_new_chunks_is_searched_at_once(vocabulary, monkeypatch):
+    """4,000 chunks of one range of lengths take one search (before: two), and each gets what the single search says."""
+    asked = []
+    search_all = Trie.first
+    monkeypatch.setattr(Trie, "first", lambda self, chunks: asked.append(len(chunks)) or search_all(self, chunks))
+    r = random.Random(3)
+    chunks = {"▁" + "".join(r.choice("abcdeinst") for _ in range(7)) for _ in range(4200)}
+    chunks = sorted(chunks)[:4000]
+    encoder = Encoder(vocabulary, 3)
+    encoder.prepare(chunks)
+    assert asked == [4000]
+    for chunk in chunks[::50]:
+        score, found, loss = first(vocabulary, chunk)
+        assert encoder.cache[chunk] == (score, found.tobytes(), loss)
