@@ -7,8 +7,9 @@ import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+#: What lasting() has to remove.
+_written: ContextVar[list | None] = ContextVar("written", default=None)
+#: A run's shuffle files go when it ends, not when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting while jobs are started inside; its own one comes back afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Stash:
     """A DataFrame written once as Parquet in the shared folder, so that lost executors lose none of it
     and later steps don't compute it again."""
@@ -44,7 +62,10 @@ class Stash:
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path)
+        if (made := _written.get()) is not None:
+            made.append(self)
+        with setting(self.spark, SHUFFLES_GO, "true"):
+            writer.parquet(self.path)
         self.schema = df.schema
 
     @property
@@ -62,6 +83,21 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return Stash(df, label).df
 
 
+def lasting(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make()'s result, written; all tables that make() has written go."""
+    scope = _written.set(made := [])
+    try:
+        result = make()
+        _written.reset(scope)
+        scope = None
+        return stash(result, label)
+    finally:
+        if scope:
+            _written.reset(scope)
+        for done in made:
+            done.drop()
+
+
 @contextmanager
 def freed_memory() -> Iterator[None]:
     """For a task's Python: what has been freed goes back to the machine, at its beginning (what earlier tasks of the same worker left) and at its
@@ -85,15 +121,10 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs started inside hand Python at most so many rows at a time, for rows that carry long arrays; the session's own
-    setting comes back afterwards."""
-    before = spark.conf.get(BATCH_ROWS)
-    fewer = rows if int(before) <= 0 else min(rows, int(before))
-    spark.conf.set(BATCH_ROWS, str(fewer))
-    try:
+    """Jobs started inside hand Python at most so many rows at a time, for rows that carry long arrays."""
+    before = int(spark.conf.get(BATCH_ROWS))
+    with setting(spark, BATCH_ROWS, str(rows if before <= 0 else min(rows, before))):
         yield
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
 
 
 #: A key of over one in so many rows is hot; so there are fewer hot keys than that.
@@ -151,7 +182,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node that links reach.
 
     Alternating large and small stars: each round links a node's larger neighbours, then its smaller ones,
-    to the smallest of them, until nothing changes; the rounds grow with the logarithm of the nodes. A hub's
+    to the smallest of them, until every link goes to a node that links to none; the rounds grow with the logarithm of the nodes. A hub's
     minimum is aggregated before the shuffle and comes back by a join, which adaptive execution splits when
     it is skewed. Rounds are written in the shared folder. Null ends and a = b are no links; a pair may repeat.
     """
@@ -162,24 +193,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def tidy(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(links: DataFrame) -> bool:
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down > 0 and up > 0").isEmpty()
 
     now = Stash(tidy(edges.select("a", "b")), "links")
-    before = mark(now.df)
-    while before[0]:
+    while not settled(now.df):
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = tidy(star(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = star(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # as many rows as links, repeats included
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = star(large, low).select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = low.select("a", F.col("m").alias("b"))
         after = Stash(tidy(small.unionByName(own)), "links")
         now.drop()
-        now, counted = after, mark(after.df)
-        if counted == before:
-            break
-        before = counted
+        now = after
     # now each link goes from a node to the smallest node of its component
     tops = now.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.df.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from auditloom.llm.common import Stash, bits_of, connected_components, freed_memory, matched, small_batches, stash
+from auditloom.llm.common import Stash, bits_of, connected_components, freed_memory, lasting, matched, small_batches, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -277,7 +277,7 @@ class _Texts:
 def _placed(members: DataFrame) -> DataFrame:
     """members, each with the component at that the node is in so far, and main, the bucket's largest; buckets with one component only go."""
     parts = members.groupBy("key", "at").agg(F.count("*").alias("n_at"))
-    main = parts.groupBy("key").agg(F.max_by("at", F.struct("n_at", "at")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main", F.lit(1).alias("one"))
+    main = parts.groupBy("key").agg(F.max_by("at", F.struct("n_at", "at")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
     return members.join(main, "key")
 
 
@@ -364,14 +364,20 @@ def _similar_groups(texts: _Texts, crowded: int) -> DataFrame:
     bucket = F.explode("held").alias("h")
     crowd = kept.df.select("node", "weight", "at", bucket).where(F.col("h.n") > crowded).select("node", "weight", "at", "h.key")
     links = stash(links.unionByName(_nearest(texts, kept.df, crowd, True)), "links")
-    placed = stash(_placed(_at(kept.df.drop("at"), links).select("node", "at", "_fp", bucket).select("node", "at", "_fp", "h.*")), "mixed")
+    # which buckets have more than one component is told without fingerprints; those that have are listed by node again
+    seen = _placed(_at(kept.df.select("node", "held"), links).select("node", "at", bucket).select("node", "at", "h.*"))
+    left = seen.groupBy("node", "at").agg(F.collect_list(F.struct("key", "own", "n", "main")).alias("held"))
+    mixed = Stash(left.join(kept.df.select("node", "_fp"), "node"), "mixed")
     kept.drop()
+    placed = mixed.df.select("node", "at", "_fp", bucket).select("node", "at", "_fp", "h.*")
     many = F.col("n") > crowded
     salts = F.least(F.ceil(F.col("n") / 512), F.lit(64)).cast("int")  # a bucket of the usual size is one
     rest = placed.where("at <> main").select("key", "node", "own", "at", "_fp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     every = placed.select("key", F.col("node").alias("other"), F.col("own").alias("owned"), F.col("at").alias("there"), F.col("_fp").alias("_other_fp"), many.alias("many"), F.pmod(F.hash("node"), salts).alias("salt"))
     pairs = rest.join(every, ["key", "salt"]).where(F.expr("at <> there and (own or owned or many)") & _close("_fp", "_other_fp", least))
-    return connected_components(links.unionByName(texts.similar(pairs.select(*_pair("node", "other")))))
+    last = texts.similar(pairs.select(*_pair("node", "other")))
+    mixed.drop()
+    return connected_components(links.unionByName(last))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, crowded: int = 16) -> DataFrame:
@@ -390,7 +396,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     printed = with_shingles(packed, text, width).withColumn("_s", _wide(segment_bits(rows))("_shingles"))
     with small_batches(docs.sparkSession, 200):
         tagged = stash(printed.select("_doc", "_id", "_row", F.col("_s.node").alias("_node"), F.col("_s.fp").alias("_fp"), F.col("_s.more").alias("_more"), F.col("_s.weak").alias("_weak")), "shingles")
-    linked = _similar_groups(_Texts(tagged, text, width, least, rows), crowded)
+    linked = lasting(lambda: _similar_groups(_Texts(tagged, text, width, least, rows), crowded), "linked")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
     first = tagged.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first"))
     stays = first.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first")).select(F.col("first.r").alias("_row"))
