@@ -73,7 +73,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     n_kept = (F.col("n_bytes") - F.col("n_removed")).alias("n_kept")
-    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256", n_kept, F.col("kept_text").alias("text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256", n_kept, F.col("kept_text").alias("text"), "n_shared_words")
 
 
 #: Rules of the url filter's query: `host/path` and what it says.

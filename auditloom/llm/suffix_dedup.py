@@ -24,25 +24,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.common import Stash, matched, stash
+from auditloom.llm.passages import shared_words, slide
 
 GRAM = 16
 WINDOW = 128
 PIECE = 1 << 20
 #: Neighbouring starts that are judged as a whole; undecided groups split to the next size.
 NODES = (WINDOW, 16, 4, 1)
+#: Stands for all words of a text that has copies.
+ALL = (1 << 31) - 1
 name_of = xxhash.xxh3_64_intdigest
 
 
-def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick over each window of width values, by doubling."""
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        values = pick(values[:-step], values[step:])
-        done += step
-    return values
-
-
 def anchors(texts: list[bytes]) -> list[np.ndarray]:
     """For each text all positions whose gram has the least hash in some window of WINDOW positions; ties are all taken.
     Long texts are read in overlapping pieces, which changes nothing, as a window lies in one piece whole; short ones
@@ -64,11 +57,11 @@ def anchors(texts: list[bytes]) -> list[np.ndarray]:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h |= np.uint64(1)  # zero marks windows over an end
-        low = _slide(h, WINDOW, np.minimum)
+        low = slide(h, WINDOW, np.minimum)
         for e in ends[:-1].tolist():
             low[max(e - reach + 1, 0) : e] = 0
         edge = np.zeros(WINDOW - 1, np.uint64)
-        at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), WINDOW, np.maximum) == h)
+        at = np.flatnonzero(slide(np.concatenate([edge, low, edge]), WINDOW, np.maximum) == h)
         bounds = np.searchsorted(at, ends)
         lo = 0
         for (n, offset, piece), hi, stop in zip(pieces[begin:end], bounds.tolist(), ends.tolist(), strict=True):
@@ -244,8 +237,8 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def _cut(length: int, schema: pa.Schema):
-    """Per text (row's id, packed, n_bytes, sha, starts as first * 2^32 + last): removed bytes, runs, and what is left."""
+def _cut(length: int, passage: int, schema: pa.Schema):
+    """Per text (row's id, packed, n_bytes, sha, starts as first * 2^32 + last, shared words): removed bytes, runs, what is left, and shared words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,15 +263,20 @@ def _cut(length: int, schema: pa.Schema):
                 kept.append(left.decode(errors="replace"))
             ends = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (froms, tos)]
             spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays(ends, ["start", "end"]))
-            columns = [batch.column(0), batch.column(2), pa.array(removed, pa.int64()), spans, pa.array(shas, pa.string()), pa.array(kept, pa.string())]
+            shared = batch.column(5).to_pylist()
+            for n, text in enumerate(_texts(batch.column(1))) if ALL in shared else ():
+                if shared[n] == ALL:
+                    shared[n] = words if (words := len(text.split())) >= passage else 0
+            columns = [batch.column(0), batch.column(2), pa.array(removed, pa.int64()), spans, pa.array(shas, pa.string()), pa.array(kept, pa.string()), pa.array(shared, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, spans (start, end in bytes), kept_sha256 of the rest, and the rest as
-    kept_text (bytes of a character that was cut through are replaced by U+FFFD there).
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int = 50) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, spans (start, end in bytes), kept_sha256 of the rest, the rest as
+    kept_text (bytes of a character that was cut through are replaced by U+FFFD there), and n_shared_words: how many words of the whole text lie in
+    passages of `passage` words that another row has too, whatever their bytes and the white space between; these are told, not removed.
 
     Removed is each byte covered by a string of length bytes that starts in at least one other place, of the
     same or another document. Null texts are empty; texts shorter than length lose nothing; repeated rows are
@@ -291,12 +289,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     kind = T.StructType([T.StructField("row", T.LongType()), known, T.StructField("packed", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.StringType())])
     texts = stash(whole.mapInArrow(_pack, kind), "texts")
     long = texts.where(F.col("n_bytes") >= length)
-    groups = stash(long.groupBy("sha").agg(F.min("row").alias("first_row"), F.count("*").alias("n")), "groups")
-    apart = long.select("row", "packed").join(groups.select(F.col("first_row").alias("row")), "row")
-    starts = repeated_starts(apart, length)
-    copies = matched(long.select("row", "sha", "n_bytes"), groups.where("n > 1").select("sha", "n"), ["sha"], "n")
-    starts = starts.unionByName(copies.select("row", F.lit(0).alias("first"), (F.col("n_bytes") - length).alias("last")))
+    worded = texts.where(F.col("n_bytes") >= min(length, 2 * passage - 1))  # of fewer bytes a text has no passage
+    groups = stash(worded.groupBy("sha").agg(F.min("row").alias("first_row"), F.count("*").alias("n")), "groups")
+    firsts = groups.select(F.col("first_row").alias("row"))
+    starts = repeated_starts(long.select("row", "packed").join(firsts, "row"), length)
+    copies = stash(matched(worded.select("row", "sha", "n_bytes"), groups.where("n > 1").select("sha", "n"), ["sha"], "n").select("row", "n_bytes"), "copies")
+    starts = starts.unionByName(copies.where(F.col("n_bytes") >= length).select("row", F.lit(0).alias("first"), (F.col("n_bytes") - length).alias("last")))
+    others = Stash(worded.select("row", "packed").join(firsts, "row"), "others")
+    shared = shared_words(others.df, passage).unionByName(copies.select("row", F.lit(ALL).cast("bigint").alias("n_shared")))
+    others.drop()
+    shared = shared.groupBy("row").agg(F.max("n_shared").alias("n_shared"))
     told = starts.groupBy("row").agg(F.collect_list(F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("last")).alias("starts"))
-    fields = [known, *(T.StructField(c, t) for c, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())))]
-    joined = texts.join(told, "row", "left").select("_id", "packed", "n_bytes", "sha", "starts")
-    return joined.mapInArrow(_cut(length, [f.name for f in fields]), T.StructType(fields)).withColumnRenamed("_id", id_col)
+    fields = [known, *(T.StructField(c, t) for c, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()), ("n_shared_words", T.LongType())))]
+    joined = texts.join(told, "row", "left").join(shared, "row", "left").select("_id", "packed", "n_bytes", "sha", "starts", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return joined.mapInArrow(_cut(length, passage, [f.name for f in fields]), T.StructType(fields)).withColumnRenamed("_id", id_col)
