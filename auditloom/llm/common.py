@@ -131,13 +131,16 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 HOT_SHARE = 1000
 
 
-def matched(rows: DataFrame, keyed: DataFrame, on: list[str], count_col: str) -> DataFrame:
+def matched(rows: DataFrame, keyed: DataFrame, on: list[str], count_col: str, hashed: bool = False) -> DataFrame:
     """rows joined with keyed, which has one row for each key and in count_col the number of rows with it (or more).
 
     Rows with hot keys stay where they are and get the hot part of keyed, which has fewer than HOT_SHARE rows whatever
-    the data, so no task gets all rows of such a key. The others are shuffled. rows should be a written table: it is read twice."""
+    the data, so no task gets all rows of such a key. The others are shuffled. rows should be a written table: it is read twice.
+    hashed: a task holds its part of keyed, which is even, as a hash table in place of sorting both."""
     least = rows.count() / HOT_SHARE
     hot = keyed.where(F.col(count_col) > least)
+    if hashed:
+        keyed = keyed.hint("shuffle_hash")
     if hot.isEmpty():
         return rows.join(keyed, on)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count_col) <= least), on)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import Stash, bits_of, freed_memory, matched
 
 GRAM, WINDOW = 4, 32
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Of the set of bits that holds the repeated cores.
 KEY_BITS = 29
 _RANDOM = np.random.default_rng(8)
@@ -36,7 +36,7 @@ def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
@@ -56,14 +56,14 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
+def run_sums(values: np.ndarray) -> np.ndarray:
     """Sums of the values before each place, each times a power of its place; of_run() makes a run's hash of them."""
     _POWERS.grow(len(values) + 1)
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _POWERS.up[: len(values)], dtype=np.uint64)])
 
 
-def _of_run(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _mixed((sums[end] - sums[first]) * _POWERS.down[first])
+def of_run(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mixed((sums[end] - sums[first]) * _POWERS.down[first])
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         part = raw[at : (end := at + int(gaps[-1]) + 1)]
         turns = np.diff((~_SPACE[part]).astype(np.int8), prepend=0)
         first, last = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
-        hashes.append(_of_run(_sums(_BYTES[part]), first, last))
+        hashes.append(of_run(run_sums(_BYTES[part]), first, last))
         starts.append(first + at)
         at = end
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -89,12 +89,12 @@ class _Places:
 
     def __init__(self, texts: list[bytes], least: int):
         words, self.bounds = word_hashes(texts)
-        self.least, self.sums = least, _sums(words)
+        self.least, self.sums = least, run_sums(words)
         self.anchors = np.zeros(0, np.int64)
         if len(words) < least:
             return
         at = np.arange(len(words) - GRAM + 1)
-        self.hashes = _of_run(self.sums, at, at + GRAM) | np.uint64(1)  # zero marks starts after which a text ends too soon
+        self.hashes = of_run(self.sums, at, at + GRAM) | np.uint64(1)  # zero marks starts after which a text ends too soon
         self.low = slide(self.hashes, WINDOW, np.minimum)
         for first, end in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
             self.low[max(first, end - least + 1) : end] = 0
@@ -102,7 +102,7 @@ class _Places:
         self.anchors = np.flatnonzero(slide(np.concatenate([edge, self.low, edge]), WINDOW, np.maximum) == self.hashes)
 
     def cores(self) -> np.ndarray:
-        return _of_run(self.sums, self.anchors, self.anchors + self.least - WINDOW + 1).view(np.int64)
+        return of_run(self.sums, self.anchors, self.anchors + self.least - WINDOW + 1).view(np.int64)
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
@@ -116,7 +116,7 @@ class _Places:
         return np.unique(at[fits])
 
     def names(self, starts: np.ndarray) -> np.ndarray:
-        return _of_run(self.sums, starts, starts + self.least).view(np.int64)
+        return of_run(self.sums, starts, starts + self.least).view(np.int64)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, _Places]]:
@@ -158,7 +158,7 @@ def shared_words(texts: DataFrame, least: int) -> DataFrame:
     starts = Stash(texts.select("row", "packed").mapInArrow(begun, "row bigint, at int, name bigint"), "begun")
     there.unpersist()
     several = Stash(starts.df.groupBy("name").agg(*span, F.count("*").alias("n")).where("low < high").select("name", "n"), "several")
-    found = matched(starts.df, several.df, ["name"], "n").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("ats"))  # one document's own
+    found = matched(starts.df, several.df, ["name"], "n", hashed=True).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("ats"))  # one document's own
     gaps = F.zip_with(F.slice("ats", 2, F.size("ats")), F.slice("ats", 1, F.size("ats") - 1), lambda b, a: F.least(b - a, F.lit(least)))
     out = Stash(found.select("row", (F.aggregate(gaps, F.lit(least), lambda s, x: s + x)).cast("bigint").alias("n_shared")), "shared")
     for done in (starts, several):

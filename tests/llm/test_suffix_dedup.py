@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
+import zstandard
 
 from auditloom.llm import common, queries, suffix_dedup
 
@@ -105,3 +107,30 @@ def test_kept_text(spark):
     df = spark.createDataFrame([(1, "é" + passage + " one"), (2, "two " + passage), (3, None)], "doc_id long, text string")
     got = {x.doc_id: x.kept_text for x in suffix_dedup.remove_repeats(df).collect()}
     assert got == {1: "é one", 2: "two ", 3: ""}
+
+
+def test_each_start_is_judged_at_one_anchor():
+    r = random.Random(12)
+    text = words(r, 700).encode()
+    at = suffix_dedup.anchors([text])[0].tolist()
+    packed = pa.RecordBatch.from_pydict({"row": [3], "packed": [zstandard.compress(text)], "listed": [at]})
+    for size, before in ((16, 128), (1, 4)):
+        around = pa.concat_tables([pa.Table.from_batches([b]) for b in suffix_dedup._contexts(400)[0](iter([packed]))])
+        los = pa.array([list(range(0, 128, before))] * len(at), pa.list_(pa.int32()))
+        ranks = pa.array([[0] * (128 // before)] * len(at), pa.list_(pa.int64()))
+        opened = around.append_column("los", los).append_column("ranks", ranks).combine_chunks().to_batches()
+        nodes = [n for b in suffix_dedup._nodes(400, size)[0](iter(opened)) for n in b.to_pylist()]
+        starts = sorted(n["at"] - n["lo"] - k for n in nodes for k in range(size))
+        assert set(starts) >= set(range(len(text) - 399))
+        assert len(starts) < 1.4 * len(text) if size > 1 else starts == list(range(len(text) - 399))
+
+
+def test_structured(spark):
+    r = random.Random(13)
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = [morse[:1024], morse[1024:], morse[300:800], "ab" * 256 + morse[:512], "".join(r.choice("ab") for _ in range(900))]
+    for _ in range(6):
+        t = list(("abcdefg" * 90)[: r.randrange(500, 620)])
+        t[r.randrange(len(t))] = "#"
+        texts.append("".join(t))
+    assert run(spark, texts) == expected([t.encode() for t in texts], 400)
