@@ -111,6 +111,7 @@ def clean_spice(v: Column) -> Column:
 
 
 def clean_bio(v: Column, words: int = 50, chars: int = 400) -> Column:
+    """The first words of a text, cut to a length; null if it has none."""
     said = F.slice(F.filter(F.split(collapse(v), " "), lambda w: w != ""), 1, words)
     return F.when(F.size(said) > 0, F.substring(F.array_join(said, " "), 1, chars))
 

@@ -55,3 +55,14 @@ def test_bundle_walks_structured_data_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(jsonld, "with_nodes", lambda pages: walked.append(1) or with_nodes(pages))
     assert registry.queries()["bundle_issues"](spark, sf_dir).where("rule = 'person_schema_thin'").count() > 0
     assert len(walked) == 1
+
+
+def test_bio_without_words(spark, tmp_path):
+    """A text without a word has an empty bio, a null text none; before, both were null."""
+    texts = [None, "", " ", "\t\n ", "\u00a0\ufeff", "\u200b", "\x00", " one\ttwo ", "w " * 60, "a" * 399 + " b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["clean_bio"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.oracle_sql()["clean_bio"]).fetchall())
+    assert [bio for _, bio in got[:5]] == [None, "", "", "", ""]
